@@ -1,19 +1,33 @@
-"""Near-duplicate records: an exact set-similarity join over word n-grams by a prefix tree."""
+"""Near-duplicate records: an exact set-similarity join over word n-grams by prefix trees."""
 
 from __future__ import annotations
 
 import math
+import re
+import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from issuelake.llm.components import hash_to_min
-from issuelake.session import cut_lineage
+from issuelake.session import stored
 
-#: Members of a block that one task indexes at a time; larger blocks become several.
-BLOCK = 2000
+#: Counters of the frequency sketch and bits of the presence bitmap, powers of two: a fixed size whatever the input.
+SKETCH_BITS, PRESENCE_BITS = 20, 23
+CHUNKS = 16
+#: Grams that a posting bucket should hold, and estimated occurrences from which a gram's postings are split.
+BUCKET_GRAMS, HOT = 3_000_000, 4_000
+#: Members of a tree that one probe meets at a time; more become several trees.
+BLOCK = 2_000
+#: Pairs compared at a time within a bucket.
+SLICE = 2_000_000
+WORD = re.compile(r"[^\W_]+")
+M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
 def record_text(title: Column, body: Column) -> Column:
@@ -21,12 +35,247 @@ def record_text(title: Column, body: Column) -> Column:
     return F.concat(F.coalesce(title, F.lit("")), F.lit("\n"), F.coalesce(body, F.lit("")))
 
 
-def shingle_sets(records: DataFrame, id_col: str, text: Column, size: int, least_words: int) -> DataFrame:
-    """id, grams (sorted array<bigint>, distinct): 64-bit hashes of the runs of `size` words, of records with `least_words` words or more."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    w = records.select(F.col(id_col).alias("id"), words.alias("w")).where(F.size("w") >= max(least_words, size))
-    gram = lambda i: F.xxhash64(F.slice("w", i, F.lit(size)))
-    return w.select("id", F.array_sort(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - (size - 1)), gram))).alias("grams"))
+def mix(x: np.ndarray) -> np.ndarray:
+    """A 64-bit finalizer, element by element."""
+    x = (x ^ (x >> np.uint64(30))) * M2
+    x = (x ^ (x >> np.uint64(27))) * M3
+    return x ^ (x >> np.uint64(31))
+
+
+class Shingler:
+    """Texts to 64-bit hashes of their runs of `size` words; remembers the hashes of words."""
+
+    def __init__(self, size: int, least_words: int):
+        self.size, self.least = size, max(size, least_words)
+        self.known: dict[str, int] = {}
+
+    def grams(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(text, gram) of every occurrence, in order; texts of too few words have none."""
+        known, flat, counts = self.known, [], []
+        for t in texts:
+            words = WORD.findall(t.lower()) if t else []
+            if len(words) < self.least:
+                counts.append(0)
+                continue
+            counts.append(len(words))
+            for w in words:
+                h = known.get(w)
+                if h is None:
+                    h = xxhash.xxh64_intdigest(w)
+                    if len(known) < 2_000_000:
+                        known[w] = h
+                flat.append(h)
+        f = np.array(flat, dtype=np.uint64)
+        owner = np.repeat(np.arange(len(texts), dtype=np.int64), counts)
+        k = self.size
+        if len(f) < k:
+            return owner[:0], f[:0]
+        n = len(f) - k + 1
+        g = np.zeros(n, dtype=np.uint64)
+        for i in range(k):
+            g = mix(g * M1 + f[i : i + n])
+        inside = owner[:n] == owner[k - 1 :]
+        return owner[:n][inside], g[inside]
+
+
+def starts(owner: np.ndarray) -> np.ndarray:
+    """Where each run of equal values begins."""
+    return np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1]))) if len(owner) else np.zeros(0, dtype=np.int64)
+
+
+def ordered_sets(owner: np.ndarray, grams: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text, gram) without repetition, the grams of each text in the global order: rarest level first, then by hash."""
+    if not len(grams):
+        return owner, grams
+    rank = (level[grams >> np.uint64(64 - SKETCH_BITS)].astype(np.uint64) << np.uint64(41)) | (grams >> np.uint64(23))
+    order = np.argsort((owner.astype(np.uint64) << np.uint64(48)) | rank)
+    o, g = owner[order], grams[order]
+    # hashes that agree in their leading 41 bits are put in order by the rest
+    close = np.flatnonzero((o[1:] == o[:-1]) & (g[1:] >> np.uint64(23) == g[:-1] >> np.uint64(23)) & (g[1:] < g[:-1]))
+    if len(close):
+        exact = np.lexsort((g, level[g >> np.uint64(64 - SKETCH_BITS)], o))
+        o, g = o[exact], g[exact]
+    keep = np.concatenate(([True], (g[1:] != g[:-1]) | (o[1:] != o[:-1])))
+    return o[keep], g[keep]
+
+
+def signatures(owner: np.ndarray, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, first, second) 64-bit sums over the grams of each text: equal texts agree in both."""
+    s = starts(owner)
+    if not len(s):
+        return owner[:0], grams[:0], grams[:0]
+    return owner[s], np.add.reduceat(mix(grams), s), np.add.reduceat(mix(grams ^ M3), s)
+
+
+def need(threshold: float, n: np.ndarray, own: bool) -> np.ndarray:
+    """Length of the prefix that has to hold a gram of any similar record: of the smaller one of a pair (own) or of the larger."""
+    share = 2 * threshold / (1 + threshold) if own else threshold
+    return n - np.ceil(n * share - 1e-9).astype(np.int64) + 1
+
+
+# ------------------------------------------------------------------- sketches
+
+
+def _chunks(counts: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    for i, part in enumerate(np.split(counts.astype(np.uint32), CHUNKS)):
+        yield i, zlib.compress(part.tobytes(), 1)
+
+
+def _summed(rows: DataFrame) -> np.ndarray:
+    """The sum of the count arrays in (chunk, counts); of fixed size, so it may reach the driver."""
+
+    def add(key, pdf):  # hints would be taken for a kind of function
+        total = sum(np.frombuffer(zlib.decompress(b), dtype=np.uint32).astype(np.uint64) for b in pdf["counts"])
+        return pd.DataFrame({"chunk": [key[0]], "counts": [zlib.compress(np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes(), 1)]})
+
+    parts = {r["chunk"]: r["counts"] for r in rows.select("chunk", "counts").groupBy("chunk").applyInPandas(add, "chunk int, counts binary").collect()}
+    if not parts:
+        return np.zeros(0, dtype=np.uint32)
+    return np.concatenate([np.frombuffer(zlib.decompress(parts[i]), dtype=np.uint32) for i in range(CHUNKS)])
+
+
+def presence(ids: DataFrame) -> np.ndarray:
+    """A fixed bitmap with the hashes of all ids, packed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(1 << PRESENCE_BITS, dtype=bool)
+        for b in batches:
+            bits[slots(b.column(0).to_numpy(zero_copy_only=False))] = True
+        words = np.packbits(bits).view(np.uint32)
+        pairs = list(_chunks(words))
+        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in pairs], pa.int32()), pa.array([c for _, c in pairs], pa.binary())], names=["chunk", "counts"])
+
+    def union(key, pdf):
+        total = np.bitwise_or.reduce([np.frombuffer(zlib.decompress(b), dtype=np.uint32) for b in pdf["counts"]])
+        return pd.DataFrame({"chunk": [key[0]], "counts": [zlib.compress(total.tobytes(), 1)]})
+
+    rows = ids.mapInArrow(run, "chunk int, counts binary").groupBy("chunk").applyInPandas(union, "chunk int, counts binary").collect()
+    parts = {r["chunk"]: zlib.decompress(r["counts"]) for r in rows}
+    return np.frombuffer(b"".join(parts[i] for i in range(CHUNKS)), dtype=np.uint8) if parts else np.zeros(1 << (PRESENCE_BITS - 3), dtype=np.uint8)
+
+
+def slots(ids: np.ndarray) -> np.ndarray:
+    """The bit of the presence bitmap of each id."""
+    return (mix(ids.astype(np.int64).view(np.uint64)) >> np.uint64(64 - PRESENCE_BITS)).astype(np.int64)
+
+
+# ------------------------------------------------------------------- postings
+
+
+def pack_postings(owner: np.ndarray, grams: np.ndarray, sig: np.ndarray, level: np.ndarray, threshold: float, buckets: int, words: int) -> Iterator[tuple[int, bytes]]:
+    """(bucket, packed postings) of the prefixes of the sets of one batch.
+
+    A packed posting list has the records of the bucket (signature, size,
+    bitmap of all grams in `words` words of 64 bits, number of postings) and
+    their postings (32 bits of the gram, whether within the shorter prefix).
+    """
+    s = starts(owner)
+    if not len(s):
+        return
+    sizes = np.diff(np.concatenate((s, [len(owner)])))
+    doc = np.repeat(np.arange(len(s)), sizes)
+    bit = (grams >> np.uint64(8)) % np.uint64(64 * words)
+    one = np.uint64(1) << (bit & np.uint64(63))
+    maps = np.stack([np.bitwise_or.reduceat(np.where(bit >> np.uint64(6) == np.uint64(w), one, np.uint64(0)), s) for w in range(words)], axis=1)
+    at = np.arange(len(owner)) - s[doc]
+    reach = np.flatnonzero(at < need(threshold, sizes, False)[doc])
+    own = at[reach] < need(threshold, sizes, True)[doc[reach]]
+    doc, g = doc[reach], grams[reach]
+    # postings of grams that may be frequent are split: own ones go to one part, all to every part as probes
+    count = np.exp2(level[g >> np.uint64(64 - SKETCH_BITS)] / 4.0)
+    parts = np.maximum(1, np.ceil(count / HOT)).astype(np.int64)
+    home = (mix(sig[doc]) % parts.astype(np.uint64)).astype(np.int64)
+    again = np.repeat(np.arange(len(doc)), parts)
+    part = np.arange(len(again)) - np.repeat(np.concatenate(([0], np.cumsum(parts)[:-1])), parts)
+    doc, g, own = doc[again], g[again], own[again] & (part == home[again])
+    cell = mix(g + part.astype(np.uint64) * M1)
+    bucket = (cell % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    doc, cell, own, bucket = doc[order], cell[order], own[order], bucket[order]
+    cuts = np.concatenate((starts(bucket), [len(bucket)]))
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        d = doc[a:b]
+        first = starts(d)
+        who = d[first]
+        held = np.diff(np.concatenate((first, [len(d)])))
+        yield int(bucket[a]), b"".join(
+            [
+                np.array([len(who), b - a], dtype=np.int64).tobytes(), sig[who].tobytes(), maps[who].tobytes(),
+                sizes[who].astype(np.uint32).tobytes(), held.astype(np.uint32).tobytes(), (cell[a:b] >> np.uint64(32)).astype(np.uint32).tobytes(), np.packbits(own[a:b]).tobytes(),
+            ]
+        )
+
+
+def unpack_postings(blobs: list[bytes], words: int) -> tuple[np.ndarray, ...]:
+    """sig, bitmap, size of the records; record, gram, own of the postings. Records of one signature count once."""
+    parts: list[list[np.ndarray]] = [[] for _ in range(6)]
+    base = 0
+    for blob in blobs:
+        n, m = np.frombuffer(blob, dtype=np.int64, count=2)
+        at = 16
+        for i, (kind, count) in enumerate(((np.uint64, n), (np.uint64, n * words), (np.uint32, n), (np.uint32, n), (np.uint32, m))):
+            parts[i].append(np.frombuffer(blob, dtype=kind, count=count, offset=at))
+            at += int(count) * np.dtype(kind).itemsize
+        parts[5].append(np.unpackbits(np.frombuffer(blob, dtype=np.uint8, offset=at), count=int(m)).astype(bool))
+        base += int(n)
+    sig, maps, size, held, gram, own = (np.concatenate(p) for p in parts)
+    record = np.repeat(np.arange(base), held)
+    _, first = np.unique(sig, return_index=True)
+    kept = np.zeros(base, dtype=bool)
+    kept[first] = True
+    here = kept[record]
+    return sig, maps.reshape(base, words), size.astype(np.int64), record[here], gram[here], own[here]
+
+
+def posting_pairs(blobs: list[bytes], threshold: float, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of pairs of one bucket that may be similar.
+
+    They share a gram within their prefixes, their sizes fit, and the bits in
+    which their bitmaps differ leave room for the overlap that the threshold
+    needs: each such bit is a gram of one of them only, so no similar pair is lost.
+    """
+    sig, maps, size, record, gram, own = unpack_postings(blobs, words)
+    order = np.lexsort((size[record], gram))
+    record, gram, own = record[order], gram[order], own[order]
+    first = starts(gram)
+    end = np.repeat(np.concatenate((first[1:], [len(gram)])), np.diff(np.concatenate((first, [len(gram)]))))
+    begin = np.repeat(first, np.diff(np.concatenate((first, [len(gram)]))))
+    left = np.flatnonzero(own & (end - begin > 1))
+    # records of equal size stand on both sides of each other: start at the first of that size
+    key = gram.astype(np.float64) * 2.0**20 + np.minimum(size[record], 2**20 - 1)
+    low_end = np.searchsorted(key, key[left], side="left")
+    room = end[left] - low_end
+    found_a, found_b = [], []
+    at = 0
+    total = np.cumsum(room)
+    while at < len(left):
+        done = total[at - 1] if at else 0
+        stop = max(at + 1, int(np.searchsorted(total, done + SLICE, side="right")))
+        l, r = left[at:stop], room[at:stop]
+        i = np.repeat(l, r)
+        j = np.arange(len(i)) - np.repeat(np.cumsum(r) - r, r) + np.repeat(low_end[at:stop], r)
+        x, y = record[i], record[j]
+        nx, ny = size[x], size[y]
+        ok = (x != y) & (nx >= np.ceil(ny * threshold - 1e-9))
+        x, y, nx, ny = x[ok], y[ok], nx[ok], ny[ok]
+        apart = np.zeros(len(x), dtype=np.int64)
+        for w in range(words):
+            apart += np.bitwise_count(maps[x, w] ^ maps[y, w])
+        ok = (nx + ny - apart) // 2 >= np.ceil((nx + ny) * (threshold / (1 + threshold)) - 1e-9)
+        a, b = sig[x[ok]], sig[y[ok]]
+        found_a.append(np.minimum(a, b))
+        found_b.append(np.maximum(a, b))
+        at = stop
+    if not found_a:
+        return sig[:0], sig[:0]
+    a, b = np.concatenate(found_a), np.concatenate(found_b)
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    keep = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))) if len(a) else np.zeros(0, dtype=bool)
+    return a[keep], b[keep]
+
+
+# ---------------------------------------------------------------- prefix trees
 
 
 class PrefixTree:
@@ -90,115 +339,130 @@ class PrefixTree:
         return found
 
 
-def _block_pairs(members: list[tuple[int, int, int, bool]], lists: list, threshold: float) -> Iterator[tuple[int, int, int, int, int]]:
-    """Pairs of one block. members: (size, row, position of the block's gram, indexed?). The gram itself counts as common."""
-    members.sort()
-    tree, filled = PrefixTree(), False
-    for size, row, at, own in members:
-        rest = lists[row][at + 1 :].tolist()
-        if filled:
-            for other, other_size, common in tree.probe(rest, size, threshold, 1):
-                yield other, row, other_size, size, common
-        if own:
-            tree.add(rest, row, size)
-            filled = True
-
-
-def _join_buckets(batches: Iterator[pd.DataFrame], threshold: float) -> Iterator[pd.DataFrame]:
-    """Pairs of class ids. The rows of a bucket follow one another; one bucket is held at a time, in packed arrays."""
-
-    def pairs(ids: list[int], lists: list, blocks: dict) -> pd.DataFrame:
-        found = {}
-        for members in blocks.values():
-            if len(members) > 1:
-                for x, y, nx, ny, common in _block_pairs(members, lists, threshold):
-                    a, b = (x, y) if ids[x] < ids[y] else (y, x)
-                    if common > found.get((a, b), (0,))[0]:
-                        found[a, b] = (common, nx + ny - common)
-        rows = [(ids[a], ids[b], c, u) for (a, b), (c, u) in found.items()]
-        return pd.DataFrame(rows, columns=["a", "b", "common", "either"]).astype("int64")
-
-    bucket, ids, lists, blocks = None, [], [], {}
+def _probe_blocks(batches: Iterator[pd.DataFrame], threshold: float) -> Iterator[pd.DataFrame]:
+    """Similar pairs of each block: its members come first and fill a tree, then its probe follows."""
+    key, tree, out = None, PrefixTree(), []
     for batch in batches:
-        for key, i, n, grams, entries in zip(batch["bucket"], batch["id"], batch["n"], batch["grams"], batch["entries"]):
-            if key != bucket:
-                if len(ids) > 1:
-                    yield pairs(ids, lists, blocks)
-                bucket, ids, lists, blocks = key, [], [], {}
-            row = len(ids)
-            ids.append(i)
-            lists.append(grams)
-            for e in entries:
-                blocks.setdefault((e["w"], e["part"]), []).append((n, row, e["pos"], e["own"]))
-    if len(ids) > 1:
-        yield pairs(ids, lists, blocks)
-
-
-def similar_pairs(
-    records: DataFrame, text: Column, id_col: str = "evidence_id", threshold: float = 0.8, size: int = 5, least_words: int = 1, block: int = BLOCK, bucket_rows: int = 50_000,
-) -> tuple[DataFrame, DataFrame]:
+        for a, part, probe, i, grams in zip(batch["a"], batch["part"], batch["probe"], batch["id"], batch["grams"]):
+            if (a, part) != key:
+                key, tree = (a, part), PrefixTree()
+            own = np.frombuffer(grams, dtype=np.uint64).tolist()
+            if not probe:
+                tree.add(own, i, len(own))
+                continue
+            out.extend((a, b, common, len(own) + size - common) for b, size, common in tree.probe(own, len(own), threshold))
+        if out:
+            yield pd.DataFrame(out, columns=["class_a", "class_b", "common", "either"]).astype("int64")
+            out = []
+
+
+def similar_pairs(records: DataFrame, text: Column, id_col: str = "evidence_id", threshold: float = 0.8, size: int = 5, least_words: int = 1) -> tuple[DataFrame, DataFrame]:
     """(members, pairs) of the records whose sets of word n-grams have a Jaccard similarity of `threshold` or more. Exact.
 
-    members: id, class_id - records with equal sets are one class, named by
-    their least id. pairs: class_a < class_b, common, either (grams in both
-    and in either), one row per pair of similar classes.
-
-    1. Equal sets collapse, so a text that a third of all rows repeat is one class.
-    2. Grams are ordered globally, the rarest first. Grams of a single class
-       cannot match, they only count for the sizes.
-    3. A pair must share a gram among the first n - ceil(t n) + 1 of the larger
-       record and the first n - ceil(2 t / (1 + t) n) + 1 of the smaller one;
-       those grams are the blocks. A record is sent to a bucket of blocks once,
-       with its ordered list. A gram in more than `block` classes is split:
-       each record is indexed in one part and probes all parts, so no block
-       outgrows a task and nothing is dropped.
-    4. A block keeps the rest of each list after its gram in a radix tree,
-       the smaller records first; probing it shares partial overlaps and prunes
-       by the remaining lengths. The block of the first common gram sees the
-       whole overlap.
+    members: id, class_id - records with the same n-grams, counted, are one
+    class, named by their least id. pairs: class_a < class_b, common, either
+    (grams in both and in either), one row per pair of similar classes.
+
+    1. One pass gives each record a signature, so that a text which a third of
+       all rows repeat is one class, and counts all grams in a sketch of fixed
+       size. The sketch defines the global order, the rarest grams first.
+    2. A pair must share a gram among the first n - ceil(t n) + 1 of the larger
+       record and the first n - ceil(2 t / (1 + t) n) + 1 of the smaller one. A
+       second pass sends each record once to every bucket of its prefix grams,
+       packed with a bitmap of all its grams; grams that may be frequent are
+       split into parts. Sizes and bitmaps rule out nearly all pairs of a bucket,
+       and never a similar one.
+    3. What is left of a record's partners fills a prefix tree of their whole
+       ordered lists, which the record traverses: partial overlaps are shared
+       between members, subtrees are pruned by the lengths that remain. The
+       overlap it finds decides. Lists are made in a third pass, for the records
+       concerned. A record of very many partners meets several trees.
 
     Records with fewer than max(size, least_words) words, null and empty texts
-    among them, are in no class. Repeated ids are one record if their texts
-    agree; a null id is dropped. Ties need no rule. Columns beside the id and
-    the text are not read.
+    among them, are in no class. Ids are integers; a repeated id is one record
+    for each different text; a null id is dropped. Ties need no rule. Columns
+    beside the id and the text are not read. N-grams are told apart by 64 bits.
     """
     if not 0 < threshold <= 1:
         raise ValueError("the threshold must be in (0, 1]")
-    sets = shingle_sets(records.where(F.col(id_col).isNotNull()), id_col, text, size, least_words)
-    signed = cut_lineage(sets.withColumn("sig", F.md5(F.concat_ws(",", F.col("grams").cast("array<string>")))))
-    least = signed.groupBy("sig").agg(F.min("id").alias("class_id"))
-    members = cut_lineage(signed.select("id", "sig").join(least, "sig").select("id", "class_id").distinct())
-    # the least id of a class carries its set; an id that is there twice with one text counts once
-    classes = signed.join(least, (signed["sig"] == least["sig"]) & (signed["id"] == least["class_id"]), "left_semi").dropDuplicates(["id", "sig"]).select("id", F.size("grams").alias("n"), "grams")
-    gram_rows = classes.select("id", "n", F.explode("grams").alias("g"))
-    frequency = gram_rows.groupBy("g").agg(F.count("*").alias("df")).where("df > 1")
-    shared = gram_rows.join(frequency, "g").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("x"))
-    alone = F.col("n") - F.size("x")
-    ceil = lambda share: F.ceil(F.col("n") * F.lit(share) - F.lit(1e-9))
-    lead = (F.col("n") - ceil(threshold) + 1 - alone).cast("int")
-    indexed = (F.col("n") - ceil(2 * threshold / (1 + threshold)) + 1 - alone).cast("int")
-    parts = lambda df: F.ceil(df / F.lit(block)).cast("int")
-    entry = lambda x, i, p, own: F.struct(x["g"].alias("w"), p.cast("int").alias("part"), i.cast("int").alias("pos"), own.alias("own"))
-    entries = F.flatten(
-        F.transform(
-            F.slice("x", F.lit(1), F.least(F.col("lead"), F.size("x"))),
-            lambda x, i: F.transform(F.sequence(F.lit(0), parts(x["df"]) - 1), lambda p: entry(x, i, p, (i < F.col("indexed")) & (p == F.pmod(F.xxhash64("id"), parts(x["df"]))))),
-        )
-    )
-    lists = cut_lineage(
-        shared.withColumn("lead", lead).withColumn("indexed", indexed).where("lead > 0")
-        .select("id", "n", F.transform("x", lambda x: x["g"]).alias("grams"), entries.alias("entries"))
+    docs = records.select(F.col(id_col).cast("long").alias("id"), text.cast("string").alias("t")).where("id is not null")
+
+    def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler, sketch = Shingler(size, least_words), np.zeros(1 << SKETCH_BITS, dtype=np.int64)
+        names = ["id", "s1", "s2", "n", "chunk", "counts"]
+        for b in batches:
+            owner, grams = shingler.grams(b.column(1).to_pylist())
+            sketch += np.bincount((grams >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS)
+            who, s1, s2 = signatures(owner, grams)
+            n = np.bincount(owner, minlength=b.num_rows)[who] if len(who) else who
+            m = len(who)
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(pa.array(who)), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array(n.astype(np.int64)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=names
+            )
+        c = list(_chunks(sketch))
+        none = pa.nulls(len(c), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array([i for i, _ in c], pa.int32()), pa.array([x for _, x in c], pa.binary())], names=names)
+
+    seen = stored(docs.mapInArrow(survey, "id bigint, s1 bigint, s2 bigint, n bigint, chunk int, counts binary"))
+    counts = _summed(seen.where("chunk is not null"))
+    level = np.minimum(np.floor(4 * np.log2(np.maximum(counts, 1))), 127).astype(np.uint8) if len(counts) else np.zeros(1 << SKETCH_BITS, dtype=np.uint8)
+    marked = seen.where("chunk is null").select("id", "s1", "s2", "n")
+    total, mean = marked.agg(F.sum("n"), F.avg("n")).first()
+    buckets = max(6, math.ceil((total or 0) / BUCKET_GRAMS))
+    words = math.ceil(3 * (mean or 1) / 64)  # bits enough that few grams of a usual record meet in one
+    classes = stored(marked.groupBy("s1", "s2").agg(F.min("id").alias("class_id"), F.count("*").alias("copies")))
+    members = marked.join(classes, ["s1", "s2"]).select("id", "class_id").distinct()
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(size, least_words)
+        for whole in batches:
+            for start in range(0, whole.num_rows, 65_536):
+                owner, grams = shingler.grams(whole.slice(start, 65_536).column(1).to_pylist())
+                who, sig, _ = signatures(owner, grams)
+                _, first = np.unique(sig, return_index=True)
+                keep = np.zeros(int(who.max()) + 1 if len(who) else 0, dtype=bool)
+                keep[who[first]] = True
+                kept = keep[owner]
+                owner, grams = ordered_sets(owner[kept], grams[kept], level)
+                rows = list(pack_postings(owner, grams, sig[np.sort(first)], level, threshold, buckets, words))
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "postings"])
+
+    def meet(key, held):
+        a, b = posting_pairs(held.column("postings").to_pylist(), threshold, words)
+        return pa.table({"sa": a.view(np.int64), "sb": b.view(np.int64)})
+
+    near = docs.mapInArrow(post, "bucket int, postings binary").groupBy("bucket").applyInArrow(meet, "sa bigint, sb bigint").distinct()
+    named = classes.select("s1", "class_id")
+    ids = (
+        near.join(named.select(F.col("s1").alias("sa"), F.col("class_id").alias("x")), "sa")
+        .join(named.select(F.col("s1").alias("sb"), F.col("class_id").alias("y")), "sb")
+        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a < b").distinct()
     )
-    total = lists.agg(F.sum(F.size("entries"))).first()[0] or 0
-    buckets = max(64, math.ceil(total / bucket_rows))
-    at = lambda e: F.pmod(F.xxhash64(e["w"], e["part"]), F.lit(buckets)).cast("int")
-    sent = (
-        lists.withColumn("bucket", F.explode(F.array_distinct(F.transform("entries", at))))
-        .select("bucket", "id", "n", "grams", F.filter("entries", lambda e: at(e) == F.col("bucket")).alias("entries"))
-        .repartition("bucket").sortWithinPartitions("bucket")
+    candidates = stored(ids)
+    bits = presence(candidates.select("a").union(candidates.select("b")))
+
+    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(size, least_words)
+        for b in batches:
+            at = slots(b.column(0).to_numpy(zero_copy_only=False))
+            b = b.filter(pa.array((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1))
+            owner, grams = ordered_sets(*shingler.grams(b.column(1).to_pylist()), level)
+            s = starts(owner)
+            cuts = np.concatenate((s, [len(owner)])) if len(s) else s
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(pa.array(owner[s])), pa.array([grams[x:y].tobytes() for x, y in zip(cuts[:-1], cuts[1:])], pa.binary())], names=["id", "grams"]
+            )
+
+    held = stored(docs.mapInArrow(lists, "id bigint, grams binary").distinct())
+    crowd = F.ceil(F.col("crowd") / BLOCK).cast("int")
+    sized = candidates.join(candidates.groupBy("a").agg(F.count("*").alias("crowd")), "a")
+    inside = sized.select("a", F.pmod(F.xxhash64("b"), crowd).cast("int").alias("part"), F.col("b").alias("id")).join(held, "id").select("a", "part", F.lit(False).alias("probe"), "id", "grams")
+    probes = (
+        sized.select("a", crowd.alias("parts")).distinct().join(held, F.col("a") == F.col("id"))
+        .select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("probe"), "id", "grams")
     )
-    found = sent.mapInPandas(lambda it: _join_buckets(it, threshold), "a bigint, b bigint, common bigint, either bigint")
-    pairs = found.groupBy(F.col("a").alias("class_a"), F.col("b").alias("class_b")).agg(F.max("common").alias("common"), F.min("either").alias("either"))
+    blocks = inside.union(probes).repartition("a", "part").sortWithinPartitions("a", "part", "probe")
+    pairs = blocks.mapInPandas(lambda it: _probe_blocks(it, threshold), "class_a bigint, class_b bigint, common bigint, either bigint").groupBy("class_a", "class_b").agg(F.max("common").alias("common"), F.min("either").alias("either"))
     return members, pairs
 
 
