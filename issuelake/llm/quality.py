@@ -24,17 +24,19 @@ MARKER = re.compile(r"\s*(?:[-*+•→–—·▪▫◦‣●○■□✓✔☐
 TAGS = re.compile(r"</?(?:table|thead|tbody|tfoot|tr|td|th|caption|colgroup|col)\b[^>]*>", re.I)
 RULE = re.compile(r"[\s|+:=─━═│┃║┌┐└┘├┤┬┴┼╔╗╚╝╠╣╦╩╬-]{3,}")
 COLUMNS = re.compile(r"\S(?: {2,}|\t+)(?=\S)")
-SENTENCE = re.compile(r"[.!?…。！？]['\")\]»”’*_`]*\s*$|[:;]\s*$")
+STOPS, PAUSES, CLOSERS = frozenset(".!?…。！？"), frozenset(":;"), "'\")]»”’*_`"
 PARTS = re.compile(r"\s*[;·•|]\s+|,\s+|\s+/\s+")
-SAYING = re.compile(r"[.!?]+\s+|[\r\n]+|[.!?]+$")
+MIXED = re.compile(r"[A-Za-z]\d+[A-Za-z]|\d[A-Za-z]{1,3}\d")
 PAIRS = 27
 
 
+#: Letters a-z as 1..26 whatever their case, anything else as 0.
+CODES = bytes((c | 0x20) - 96 if 65 <= c <= 90 or 97 <= c <= 122 else 0 for c in range(256))
+
+
 def letter_codes(text: str) -> np.ndarray:
-    """Letters a-z as 1..26 whatever their case, anything else as 0."""
-    raw = np.frombuffer(text.encode("ascii", "replace"), dtype=np.uint8)
-    low = raw | 0x20
-    return np.where((low >= 97) & (low <= 122) & (raw >= 65), low - 96, 0).astype(np.int64)
+    """CODES of every character."""
+    return np.frombuffer(text.encode("ascii", "replace").translate(CODES), dtype=np.uint8)
 
 
 def pair_counts(text: str) -> np.ndarray:
@@ -42,21 +44,27 @@ def pair_counts(text: str) -> np.ndarray:
     c = letter_codes(text)
     if len(c) < 2:
         return np.zeros(PAIRS * PAIRS, dtype=np.int64)
-    return np.bincount(c[:-1] * PAIRS + c[1:], minlength=PAIRS * PAIRS)
+    return np.bincount(c[:-1].astype(np.intp) * PAIRS + c[1:], minlength=PAIRS * PAIRS)
+
+
+def _ends(line: str) -> bool:
+    """Whether a line ends a sentence, or pauses in one at a colon or semicolon."""
+    x = line.rstrip()
+    return x[-1:] in PAUSES or x.rstrip(CLOSERS)[-1:] in STOPS
 
 
 def _one_cell_row(line: str) -> bool:
     """Whether a line is a row of cells, or the markup of one."""
     s = line.strip()
-    if RULE.fullmatch(s):
+    if not s[0].isalnum() and RULE.fullmatch(s):
         return len(s) >= 3 and bool(re.search(r"[|+│┃├┼─═]|-{3}|={3}", s)) and bool(set(s) - set("-=_ ") or " " in s)
-    if TAGS.search(s):
+    if "<" in s and TAGS.search(s):
         return True
     if s.count("|") >= 2 or s.count("│") >= 2 or s.count("┃") >= 2 or s.count("║") >= 2:
         return s[0] in "|│┃║" or s[-1] in "|│┃║" or all(len(c.split()) <= 5 for c in re.split(r"[|│┃║]", s))
     if "\t" in line.strip("\r\n ").strip(" "):
         return True
-    return len(COLUMNS.findall(s)) >= 2 or bool(re.search(r" & .*\\\\$", s))
+    return ("  " in s and len(COLUMNS.findall(s)) >= 2) or (s.endswith("\\\\") and " & " in s)
 
 
 def _separated_rows(lines: list[str]) -> int:
@@ -76,7 +84,7 @@ def _separated_rows(lines: list[str]) -> int:
     return best
 
 
-def _items_of(line: str, common: set[str]) -> float:
+def _items_of(line: str, common: dict[str, tuple[str, ...]]) -> float:
     """Share of a single line taken by items of an enumeration: four or more short parts without sentences in them."""
     for mark in (r"\s*;\s+", r"\s+[·•|/–]\s+", r"\s*,\s+", r"\s+(?=\(?\d{1,2}[.)]\s)"):
         parts = [p for p in re.split(mark, line.strip().rstrip(".")) if p.strip()]
@@ -88,55 +96,88 @@ def _items_of(line: str, common: set[str]) -> float:
     return 0.0
 
 
-def statistics(text: str, common: dict[str, set[str]], pair_scores: np.ndarray) -> dict:
+def _characters(text: str) -> dict[str, int]:
+    """How often each character occurs."""
+    if not text.isascii():
+        return Counter(text)
+    counts = np.bincount(np.frombuffer(text.encode("ascii"), dtype=np.uint8), minlength=128).tolist()
+    return {chr(i): n for i, n in enumerate(counts) if n}
+
+
+def languages_of(common: dict[str, set[str]]) -> dict[str, tuple[str, ...]]:
+    """The languages that list each common word."""
+    out: dict[str, tuple[str, ...]] = {}
+    for lang in sorted(common):
+        for w in common[lang]:
+            out[w] = (*out.get(w, ()), lang)
+    return out
+
+
+def statistics(text: str, common: dict[str, tuple[str, ...]], pair_scores: np.ndarray) -> dict:
     """The statistics of one text, rounded to four digits; see document_statistics."""
     lines = [x for x in EOL.split(text) if x.strip()]
     bare = [QUOTE.sub("", x, count=1) if x.lstrip().startswith(">") else x for x in lines]
     bare = [x for x in bare if x.strip()] or lines
-    words = WORD.findall(text)
-    lower = [w.lower() for w in words]
+    low = text.lower()
+    words = WORD.findall(low)
     n = len(words)
-    shares = {lang: sum(1 for w in lower if w in listed) / n if n else 0.0 for lang, listed in common.items()}
-    lang = max(sorted(shares), key=lambda k: shares[k], default="") if n else ""
-    every = set().union(*common.values()) if common else set()
-    solid = sum(1 for c in text if not c.isspace()) or 1
-    symbols = sum(1 for c in text if not (c.isalnum() or c.isspace()))
-    letters = pair_counts(text)
-    inner = letters.copy().reshape(PAIRS, PAIRS)
-    inner[0, :] = 0
-    inner[:, 0] = 0
-    pairs = int(inner.sum())
-    mixed = sum(1 for t in text.split() if re.search(r"[A-Za-z]\d+[A-Za-z]|\d[A-Za-z]{1,3}\d", t))
+    shares: dict[str, int] = {}
+    listed = 0
+    for w, count in Counter(words).items():
+        if langs := common.get(w):
+            listed += count
+            for lang in langs:
+                shares[lang] = shares.get(lang, 0) + count
+    lang = max(sorted(shares), key=lambda k: shares[k], default="")
+    best = shares.get(lang, 0) / n if n else 0.0
+    chars = _characters(text)
+    solid = symbols = foreign = most = 0
+    for c, count in chars.items():
+        if c.isspace():
+            continue
+        solid += count
+        most = max(most, count)
+        if c.isalpha():
+            foreign += count if ord(c) > 127 else 0
+        elif not c.isalnum():
+            symbols += count
+    solid = solid or 1
+    codes = letter_codes(text)
+    inner = (codes[:-1] > 0) & (codes[1:] > 0)
+    pairs = codes[:-1][inner].astype(np.intp) * PAIRS + codes[1:][inner]
     tokens = text.split()
+    mixed = sum(1 for t in tokens if not t[:-1].isalpha() and MIXED.search(t))
     marked = sum(1 for x in bare if MARKER.match(x) and not RULE.fullmatch(x.strip()))
     cells = max(sum(1 for x in bare if _one_cell_row(x)), _separated_rows(bare))
+    ends = [_ends(x) for x in bare]
     plain = 0
-    for x in bare:
+    for x, ended in zip(bare, ends):
+        if ended or x.count(" ") > 16 or x.lstrip().startswith("#") or MARKER.match(x):
+            continue
         w = WORD.findall(x.lower())
-        if 0 < len(w) <= 7 and not SENTENCE.search(x) and not MARKER.match(x) and not x.lstrip().startswith("#") and sum(v in every for v in w) <= 0.25 * len(w):
+        if 0 < len(w) <= 7 and sum(v in common for v in w) <= 0.25 * len(w):
             plain += 1
-    in_line = _items_of(bare[0], every) if len(bare) == 1 else 0.0
+    in_line = _items_of(bare[0], common) if len(bare) == 1 and listed <= n / 3 else 0.0
     items = max(marked, plain if len(bare) >= 3 else 0) / len(bare) if bare else 0.0
-    said = [x.strip().lower() for x in SAYING.split(text) if x.strip()]
+    said = [x for x in low.replace("\r", "\n").replace("\n", ". ").replace("!", ".").replace("?", ".").split(". ") if x.strip()]
     again = Counter(said).most_common(1)[0][1] / len(said) if len(said) >= 3 else 0.0
-    chars = Counter(text)
-    space = sum(v for c, v in chars.items() if c.isspace())
     out = {
         "word_count": n,
         "mean_word_length": sum(map(len, words)) / n if n else 0.0,
         "symbol_ratio": symbols / solid,
-        "line_end_share": sum(1 for x in bare if SENTENCE.search(x)) / len(bare) if bare else 0.0,
-        "common_share": shares.get(lang, 0.0),
+        "line_end_share": sum(ends) / len(bare) if bare else 0.0,
+        "common_share": best,
         "marker_share": marked / len(bare) if bare else 0.0,
         "item_share": max(items, in_line),
         "cell_share": cells / len(bare) if bare else 0.0,
-        "pair_score": float((inner.ravel() * pair_scores).sum() / pairs) if pairs else 0.0,
+        "pair_score": float(pair_scores[pairs].mean()) if len(pairs) else 0.0,
         "mixed_share": mixed / len(tokens) if tokens else 0.0,
         "longest_word": float(max(map(len, tokens), default=0)),
-        "repeat_share": max(again, max((v for c, v in chars.items() if not c.isspace()), default=0) / max(1, len(text) - space)),
-        "language": lang if shares.get(lang, 0.0) > 0.02 else "",
+        "repeat_share": max(again, most / solid),
+        "language": lang if best > 0.02 else "",
         "n_lines": len(bare),
-        "all_common_share": sum(1 for w in lower if w in every) / n if n else 0.0,
+        "all_common_share": listed / n if n else 0.0,
+        "foreign_letters": foreign / solid,
     }
     return {k: round(v, 4) if isinstance(v, float) else v for k, v in out.items()}
 
@@ -239,13 +280,14 @@ def document_statistics(docs: DataFrame, common_words: DataFrame, id_col: str =
     common: dict[str, set[str]] = {}
     for lang, word in sorted((r[0], r[1]) for r in listed):
         common.setdefault(lang, set()).add(word)
+    listing = languages_of(common)
     scores = letter_pair_scores(docs, text_col)
     source = docs.select(F.col(id_col).alias("k"), F.col(text_col).cast("string").alias("t"), F.lower(F.trim(F.col(lang_col).cast("string"))).alias("declared"))
     kind = source.schema["k"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [statistics(t, common, scores) if t and t.strip() else None for t in batch.column(1).to_pylist()]
+            rows = [statistics(t, listing, scores) if t and t.strip() else None for t in batch.column(1).to_pylist()]
             langs = [None if r is None else r["language"] if r["common_share"] >= 0.1 and r["language"] else d if d in common else None for r, d in zip(rows, batch.column(2).to_pylist())]
             column = lambda name, of: pa.array([None if r is None else r[name] for r in rows], of)
             yield pa.RecordBatch.from_arrays(
