@@ -238,10 +238,10 @@ def tail_probabilities(values: DataFrame) -> DataFrame:
 def kind_rules():
     """What the statistics of an outlier tell: garbage first, then rows of cells, then items, then words without sense."""
     c = F.col
-    odd_symbols = (c("symbol_ratio") > 0.85) | ((c("symbol_ratio") > 0.2) & (c("n_lines") < 3))
+    odd_symbols = (c("symbol_ratio") > 0.97) | ((c("symbol_ratio") > 0.85) & (c("cell_share") <= 0.5)) | ((c("symbol_ratio") > 0.2) & (c("n_lines") < 3))
     encoded = ((c("mixed_share") > 0.2) & (c("all_common_share") < 0.1)) | ((c("longest_word") >= 60) & (c("all_common_share") < 0.02) & (c("cell_share") <= 0.5) & (c("n_lines") < 3))
     return (
-        F.when(odd_symbols | (c("repeat_share") >= 0.5), "junk")
+        F.when(odd_symbols | (c("repeat_share") >= F.when(c("cell_share") > 0.5, 0.9).otherwise(0.5)), "junk")
         .when(c("cell_share") > 0.5, "table")
         .when(c("marker_share") > 0.5, "list")
         .when((c("all_common_share") > 0.75) & (c("word_count") >= 8), "junk")

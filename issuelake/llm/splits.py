@@ -12,7 +12,7 @@ from issuelake.session import cut_lineage
 
 SHARES = {"train": 0.70, "validation": 0.15, "test": 0.15}
 #: Values that stand for "nothing known".
-FILLERS = ["", "-", "--", "?", "n/a", "na", "none", "null", "nil", "nan", "unknown", "undefined", "unspecified", "missing", "tbd", "todo", "example", "owner/name", "owner/repo", "none/none", "null/null", "unknown/unknown", "n/a/n/a"]
+FILLERS = ["", "-", "--", "?", "n/a", "na", "none", "null", "nil", "nan", "unknown", "undefined", "unspecified", "missing", "tbd", "todo", "none/none", "null/null", "unknown/unknown", "n/a/n/a"]
 
 
 def repository_key(value: Column) -> Column:
