@@ -7,11 +7,25 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from issuelake.session import cut_lineage
+
+
+def numbered(df: DataFrame, order: Sequence[Column], name: str = "pos") -> DataFrame:
+    """df with a column that counts all rows from 0 in a total order, without one task that sees them all.
+
+    Rows are partitioned by ranges of the order and numbered within each part;
+    one tally of the parts gives where each begins.
+    """
+    placed = cut_lineage(df.repartitionByRange(*order).withColumn("__pid", F.spark_partition_id()))
+    begins = placed.groupBy("__pid").agg(F.count("*").alias("__c")).select("__pid", (F.sum("__c").over(Window.orderBy("__pid")) - F.col("__c")).alias("__b"))
+    within = placed.withColumn("__n", F.row_number().over(Window.partitionBy("__pid").orderBy(*order)) - 1)
+    return within.join(begins, "__pid").withColumn(name, F.col("__b") + F.col("__n")).drop("__pid", "__n", "__b")
+
 
 def rotation_ring(df: DataFrame, group: Column, order: Sequence[Column]) -> DataFrame:
-    """pos: the groups take turns, each with its best row that is left. The ring is as long as the table of repositories, so it is ordered as a whole."""
+    """pos: the groups take turns, each with its best row that is left."""
     depth = df.withColumn("grp", group).withColumn("depth", F.row_number().over(Window.partitionBy("grp").orderBy(*order)))
-    return depth.withColumn("pos", F.row_number().over(Window.orderBy("depth", "grp")) - 1)
+    return numbered(depth, [F.col("depth"), F.col("grp")])
 
 
 def ring_slice(ring: DataFrame, offset: int, n: int) -> DataFrame:

@@ -1 +1,6 @@
-"""See the README for what lives here."""
+"""Queries over the tables, with the SQL that checks them."""
+
+from issuelake.plans import analysis, relational, retrieval  # noqa: F401
+from issuelake.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
