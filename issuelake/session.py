@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,8 +27,17 @@ def local_session(name: str = "issuelake", cpus: int | str = "*", partitions: in
     return spark
 
 
+def share_code(spark: SparkSession) -> None:
+    """Let Python workers find this package where the driver found it, wherever they are started."""
+    root, env = str(Path(__file__).resolve().parent.parent), spark.sparkContext.environment
+    known = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in known:
+        env["PYTHONPATH"] = os.pathsep.join([root, *known])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The parquet table `name` of a data directory; pruning and pushdown are left to the optimizer."""
+    share_code(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
