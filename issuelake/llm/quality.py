@@ -61,7 +61,7 @@ def _one_cell_row(line: str) -> bool:
     if "<" in s and TAGS.search(s):
         return True
     if s.count("|") >= 2 or s.count("│") >= 2 or s.count("┃") >= 2 or s.count("║") >= 2:
-        return s[0] in "|│┃║" or s[-1] in "|│┃║" or all(len(c.split()) <= 5 for c in re.split(r"[|│┃║]", s))
+        return s[0] in "|│┃║" or s[-1] in "|│┃║" or not ("||" in s or "`" in s) and all(len(c.split()) <= 5 for c in re.split(r"[|│┃║]", s))
     if "\t" in line.strip("\r\n ").strip(" "):
         return True
     return ("  " in s and len(COLUMNS.findall(s)) >= 2) or (s.endswith("\\\\") and " & " in s)
