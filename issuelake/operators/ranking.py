@@ -10,22 +10,35 @@ from pyspark.sql import functions as F
 from issuelake.session import cut_lineage
 
 
-def numbered(df: DataFrame, order: Sequence[Column], name: str = "pos") -> DataFrame:
-    """df with a column that counts all rows from 0 in a total order, without one task that sees them all.
+def running(df: DataFrame, keys: Sequence[str], order: Sequence[Column], value: str | None = None) -> DataFrame:
+    """df with rn, the number of each row within its key from 1, and with `value` also cum, the sum up to it.
 
-    Rows are partitioned by ranges of the order and numbered within each part;
-    one tally of the parts gives where each begins.
+    A key may hold a third of all rows: rows are partitioned by ranges of key
+    and order, numbered within each part, and one tally of the parts gives what
+    precedes each. The order has to be total within a key.
     """
-    placed = cut_lineage(df.repartitionByRange(*order).withColumn("__pid", F.spark_partition_id()))
-    begins = placed.groupBy("__pid").agg(F.count("*").alias("__c")).select("__pid", (F.sum("__c").over(Window.orderBy("__pid")) - F.col("__c")).alias("__b"))
-    within = placed.withColumn("__n", F.row_number().over(Window.partitionBy("__pid").orderBy(*order)) - 1)
-    return within.join(begins, "__pid").withColumn(name, F.col("__b") + F.col("__n")).drop("__pid", "__n", "__b")
+    placed = cut_lineage(df.repartitionByRange(*[F.col(k) for k in keys], *order).withColumn("__pid", F.spark_partition_id()))
+    sums = [F.count("*").alias("__c"), *([F.sum(value).alias("__s")] if value else [])]
+    before = Window.partitionBy(*keys).orderBy("__pid")
+    parts = placed.groupBy(*keys, "__pid").agg(*sums)
+    begins = parts.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__pid").alias("__q"), *[(F.sum(c).over(before) - F.col(c)).alias(f"{c}b") for c in (["__c", "__s"] if value else ["__c"])])
+    inside = Window.partitionBy("__pid", *keys).orderBy(*order)
+    rows = placed.withColumn("__n", F.row_number().over(inside))
+    if value:
+        rows = rows.withColumn("__v", F.sum(value).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    on = F.col("__pid") == F.col("__q")
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    joined = rows.join(begins, on).withColumn("rn", F.col("__n") + F.col("__cb"))
+    if value:
+        joined = joined.withColumn("cum", F.col("__v") + F.col("__sb"))
+    return joined.select(*df.columns, "rn", *(["cum"] if value else []))
 
 
 def rotation_ring(df: DataFrame, group: Column, order: Sequence[Column]) -> DataFrame:
     """pos: the groups take turns, each with its best row that is left."""
-    depth = df.withColumn("grp", group).withColumn("depth", F.row_number().over(Window.partitionBy("grp").orderBy(*order)))
-    return numbered(depth, [F.col("depth"), F.col("grp")])
+    depth = running(df.withColumn("grp", group), ["grp"], order).withColumnRenamed("rn", "depth")
+    return running(depth, [], [F.col("depth"), F.col("grp")]).withColumn("pos", F.col("rn") - 1).drop("rn")
 
 
 def ring_slice(ring: DataFrame, offset: int, n: int) -> DataFrame:
@@ -37,9 +50,7 @@ def ring_slice(ring: DataFrame, offset: int, n: int) -> DataFrame:
 
 def budget_prefix(df: DataFrame, keys: Sequence[str], order: Sequence[Column], cost: str, budget: int) -> DataFrame:
     """Per key, rows in order until the budget is passed; the first one always."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    summed = df.withColumn("cum", F.sum(cost).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("rn", F.row_number().over(w))
-    return summed.where((F.col("rn") == 1) | (F.col("cum") <= budget))
+    return running(df, keys, order, cost).where((F.col("rn") == 1) | (F.col("cum") <= budget))
 
 
 def line_windows(df: DataFrame, text: Column, size: int = 40, overlap: int = 5) -> DataFrame:

@@ -146,8 +146,10 @@ def assemble(df: DataFrame, order: Sequence[Column], content: str, file: str, ca
 
 def prefer_exact(df: DataFrame, exact: Column, keys: Sequence[str]) -> DataFrame:
     """Per key, the rows for which `exact` holds if there are any, else all of them."""
-    e = F.coalesce(exact, F.lit(False))
-    return df.withColumn("__e", e).withColumn("__any", F.max("__e").over(Window.partitionBy(*keys))).where(F.col("__e") | ~F.col("__any")).drop("__e", "__any")
+    marked = df.withColumn("__e", F.coalesce(exact, F.lit(False)))
+    found = marked.where("__e").select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]).distinct().withColumn("__any", F.lit(True))
+    on = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
+    return marked.join(found, on, "left").where(F.col("__e") | F.col("__any").isNull()).select(*df.columns)
 
 
 def context_text(df: DataFrame, keys: Sequence[str], pos: str, header: Column, content: Column) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from issuelake.functions import text as tx
-from issuelake.operators import ranking, relational as rel
+from issuelake.operators import relational as rel
 from issuelake.plans.registry import query
 from issuelake.session import table
 
@@ -89,8 +89,9 @@ def active_chunks(spark, d):
     """Source chunks of active snapshots by a semi join, with a role by their order."""
     active = table(spark, d, "repo_snapshot").where("status = 'ACTIVE'").select("snapshot_id")
     chunks = table(spark, d, "code_chunk").where("info_class = 'SOURCE_CODE'").join(active, "snapshot_id", "left_semi").select("chunk_id", "repo_name", "file_path", "start_line").distinct()
-    rn = F.row_number().over(ranking.Window.partitionBy("repo_name").orderBy("file_path", "start_line", "chunk_id"))
-    return chunks.select("chunk_id", "repo_name", "file_path", F.when(rn == 1, "primary").otherwise("related").alias("role"))
+    place = F.struct("file_path", "start_line", "chunk_id")
+    first = chunks.groupBy("repo_name").agg(F.min(place).alias("first"))
+    return chunks.join(first, "repo_name").select("chunk_id", "repo_name", "file_path", F.when(place == F.col("first"), "primary").otherwise("related").alias("role"))
 
 
 KEY = "regexp_extract(lower(dataset_id), '[0-9a-f]{12}')"
