@@ -8,33 +8,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from issuelake.llm.components import hash_to_min
-from issuelake.session import cut_lineage
+from issuelake.session import cut_lineage, stored
 
 SHARES = {"train": 0.70, "validation": 0.15, "test": 0.15}
 #: Values that stand for "nothing known".
 FILLERS = ["", "-", "--", "?", "n/a", "na", "none", "null", "nil", "nan", "unknown", "undefined", "unspecified", "missing", "tbd", "todo", "none/none", "null/null", "unknown/unknown", "n/a/n/a"]
 
 
-def repository_key(value: Column) -> Column:
-    """owner/name in lower case for every notation that leads to the repository; null for fillers and junk.
+def bare_repository(value: Column) -> Column:
+    """What follows host and scheme in any notation of a repository: surrounding white space, percent-encoded slashes, web, API and git addresses with any user, host or port, scp-like git@host:owner/name, queries and fragments are undone."""
+    v = F.lower(F.trim(F.regexp_replace(value, r"[\s\u00a0\u200b\ufeff]+", " ")))
+    v = F.regexp_replace(F.translate(F.replace(v, F.lit("%2f"), F.lit("/")), "\\", "/"), r"[?#].*$", "")
+    # a scheme with its host, a scp-like address, or a bare host before owner/name; then the API's prefix
+    v = F.regexp_replace(v, r"^(?:(?:git\+)?(?:[a-z][a-z0-9+.-]*:)?//[^/]*/+|[^/@\s]+@[^/:\s]+[:/]/*|(?:www\.|api\.)?[a-z0-9-]+\.(?:example|com|org|io|net|dev)/(?=[^/]+/[^/]+))", "")
+    return F.regexp_replace(v, r"^/*repos/+(?=[^/]+/+[^/]+)", "")
 
-    Understood: surrounding white space, percent-encoded slashes, web, API and
-    git addresses with any user, host or port, scp-like git@host:owner/name,
-    trailing slashes, queries and fragments, deeper paths such as /issues/7,
-    and a final .git.
-    """
-    v = F.lower(F.trim(F.regexp_replace(value, r"[\s ​﻿]+", " ")))
-    v = F.regexp_replace(F.regexp_replace(v, "%2f", "/"), r"\\", "/")
-    v = F.regexp_replace(v, r"[?#].*$", "")
-    # a scheme with its host, a scp-like address, or a bare host before owner/name
-    v = F.regexp_replace(v, r"^(?:git\+)?(?:[a-z][a-z0-9+.-]*:)?//[^/]*/+", "")
-    v = F.regexp_replace(v, r"^[^/@\s]+@[^/:\s]+[:/]/*", "")
-    v = F.regexp_replace(v, r"^(?:www\.|api\.)?[a-z0-9-]+\.(?:example|com|org|io|net|dev)/(?=[^/]+/[^/]+)", "")
-    v = F.regexp_replace(v, r"^/*repos/+(?=[^/]+/+[^/]+)", "")
-    owner = F.regexp_extract(v, r"^/*([a-z0-9][a-z0-9_.-]*)/+[a-z0-9_.-]+", 1)
-    name = F.regexp_replace(F.regexp_extract(v, r"^/*[a-z0-9][a-z0-9_.-]*/+([a-z0-9_.-]+)", 1), r"(?:\.git)+$", "")
-    bad = (owner == "") | (name == "") | F.lower(F.trim(value)).isin(FILLERS) | F.concat_ws("/", owner, name).isin(FILLERS)
-    return F.when(value.isNull() | bad, F.lit(None)).otherwise(F.concat_ws("/", owner, name))
+
+def owner_and_name(bare: Column) -> Column:
+    """owner/name at the start of what bare_repository leaves, without a final .git and whatever lies deeper; null for fillers and junk."""
+    pair = F.regexp_extract(bare, r"^/*([a-z0-9][a-z0-9_.-]*/+[a-z0-9_.-]+)", 1)
+    tidy = F.regexp_replace(F.regexp_replace(pair, "/+", "/"), r"(?:\.git)+$", "")
+    return F.when((tidy != "") & ~bare.isin(FILLERS) & ~tidy.isin(FILLERS) & ~tidy.endswith("/"), tidy)
+
+
+def repository_key(value: Column) -> Column:
+    """owner/name in lower case for every notation that leads to the repository; null for fillers and junk."""
+    return owner_and_name(bare_repository(value))
 
 
 def dataset_key(value: Column) -> Column:
@@ -55,11 +54,8 @@ def related_groups(records: DataFrame, id_col: str = "record_id", repo_col: str
     one). Repeated rows stay repeated; an empty table gives an empty result;
     columns besides the three are not read.
     """
-    keyed = records.select(
-        F.col(id_col).alias("rid"),
-        F.concat(F.lit("0"), repository_key(F.col(repo_col))).alias("repo_node"),
-        F.concat(F.lit("1"), dataset_key(F.col(dataset_col))).alias("data_node"),
-    )
+    bare = records.select(F.col(id_col).alias("rid"), bare_repository(F.col(repo_col)).alias("bare"), F.concat(F.lit("1"), dataset_key(F.col(dataset_col))).alias("data_node"))
+    keyed = stored(bare.select("rid", F.concat(F.lit("0"), owner_and_name(F.col("bare"))).alias("repo_node"), "data_node"))
     edges = keyed.where("repo_node is not null or data_node is not null").select(
         F.coalesce("repo_node", "data_node").alias("a"), F.coalesce("data_node", "repo_node").alias("b")
     ).distinct()
