@@ -50,3 +50,24 @@ def token_estimate(text: Column) -> Column:
 def iso_time(text: Column) -> Column:
     """A timestamp from the notations in use, null where none fits."""
     return F.coalesce(F.try_to_timestamp(text, F.lit("yyyy-MM-dd'T'HH:mm:ss'Z'")), F.try_to_timestamp(text, F.lit("yyyy-MM-dd HH:mm:ss")))
+
+
+def uuid5(name: Column, namespace: str = "6ba7b8119dad11d180b400c04fd430c8") -> Column:
+    """The version 5 UUID of a name; the default namespace is that of addresses."""
+    h = F.sha1(F.concat(F.unhex(F.lit(namespace)), F.encode(name, "UTF-8")))
+    variant = F.lower(F.hex((F.conv(F.substring(h, 17, 1), 16, 10).cast("int") % 4 + 8).cast("bigint")))
+    return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 18, 3)), F.substring(h, 21, 12))
+
+
+def line_range(text: Column, default_to: int = 30) -> Column:
+    """A struct (first, last) from 'a-b'; 'a' is one line; anything else is 1 to default_to."""
+    a, b = F.regexp_extract(text, r"^ *(\d+) *(?:- *(\d+))? *$", 1), F.regexp_extract(text, r"^ *(\d+) *(?:- *(\d+))? *$", 2)
+    fits = F.coalesce(a != "", F.lit(False))
+    first = F.when(fits, a.try_cast("int")).otherwise(1)
+    last = F.when(fits & (b != ""), b.try_cast("int")).when(fits, a.try_cast("int")).otherwise(default_to)
+    return F.struct(first.alias("first"), last.alias("last"))
+
+
+def filled(*parts: Column) -> Column:
+    """The first part that is neither null nor empty."""
+    return F.coalesce(*[F.nullif(p, F.lit("")) for p in parts])

@@ -263,3 +263,12 @@ def test_streams_give_what_batches_give(spark, tmp_path):
     waits = run_stream(spark, feeds.limited(timed), "append", "w3")
     plain = allocate.quota_simulation(e.withColumn("t", F.unix_micros("ts") / 1e6).withColumn("c", F.col("value").cast("bigint")), "user_id", "t", "c")
     assert sorted(map(tuple, waits.collect())) == sorted(map(tuple, plain.collect()))
+
+
+def test_uuids_and_line_ranges(spark):
+    import uuid
+
+    df = spark.createDataFrame([("https://forge.example/a/b/issues/1",), ("é",), ("",)], "n string")
+    assert all(r.u == str(uuid.uuid5(uuid.NAMESPACE_URL, r.n)) for r in df.select("n", tx.uuid5(F.col("n")).alias("u")).collect())
+    ranges = spark.createDataFrame([("3-9",), ("7",), ("x",), (None,), (" 2 - 4 ",)], "t string").select(tx.line_range(F.col("t")).alias("r")).select("r.*").collect()
+    assert [tuple(r) for r in ranges] == [(3, 9), (7, 7), (1, 30), (1, 30), (2, 4)]
