@@ -122,14 +122,14 @@ def test_repository_and_dataset_keys(spark):
     ]
     got = spark.createDataFrame(rows, "v string, want string").select("want", splits.repository_key(F.col("v")).alias("got")).collect()
     assert [r.got for r in got] == [r.want for r in got]
-    ids = [("gn_raw_0123456789ab", "0123456789ab"), (" GN-RAW-0123456789AB\n", "0123456789ab"), ("0123456789ab", "0123456789ab"), ("0123456789abc", None), ("unknown", None), (None, None)]
+    ids = [("ds_raw_0123456789ab", "0123456789ab"), (" DS-RAW-0123456789AB\n", "0123456789ab"), ("0123456789ab", "0123456789ab"), ("0123456789abc", None), ("unknown", None), (None, None)]
     got = spark.createDataFrame(ids, "v string, want string").select("want", splits.dataset_key(F.col("v")).alias("got")).collect()
     assert [r.got for r in got] == [r.want for r in got]
 
 
 def test_splits_keep_groups_and_shares(spark):
     rng = random.Random(3)
-    rows = [(i, f"o/r{min(rng.randrange(400), 300)}", f"gn_raw_{rng.randrange(3000):012x}") for i in range(3000)] + [(None, None, None), (None, None, None), (7000, "unknown", "")]
+    rows = [(i, f"o/r{min(rng.randrange(400), 300)}", f"ds_raw_{rng.randrange(3000):012x}") for i in range(3000)] + [(None, None, None), (None, None, None), (7000, "unknown", "")]
     df = spark.createDataFrame(rows, "record_id bigint, repo_name string, dataset_id string").withColumn("split", F.lit("x")).withColumn("n", F.lit(1))
     out = splits.grouped_splits(df).collect()
     assert len(out) == len(rows)
