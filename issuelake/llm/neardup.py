@@ -17,11 +17,12 @@ from pyspark.sql import functions as F
 from issuelake.llm.components import hash_to_min
 from issuelake.session import stored
 
-#: Counters of the frequency sketch and bits of the presence bitmap, powers of two: a fixed size whatever the input.
-SKETCH_BITS, PRESENCE_BITS = 20, 23
+#: Counters of the frequency sketch (it grows with the rows between two bounds) and bits of the presence bitmap, as powers of two.
+LEAST_BITS, MOST_BITS, PRESENCE_BITS = 20, 24, 23
 CHUNKS = 16
-#: Grams that a posting bucket should hold, and estimated occurrences from which a gram's postings are split.
-BUCKET_GRAMS, HOT = 3_000_000, 4_000
+#: Grams that a posting bucket should hold, and estimated occurrences from which a gram's postings are split;
+#: so many times the median counter is taken for what other grams have added to one.
+BUCKET_GRAMS, HOT, NOISE = 3_000_000, 4_000, 2
 #: Members of a tree that one probe meets at a time; more become several trees.
 BLOCK = 2_000
 #: Pairs compared at a time within a bucket.
@@ -83,17 +84,22 @@ def starts(owner: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1]))) if len(owner) else np.zeros(0, dtype=np.int64)
 
 
+def slot_of(grams: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """The counter of each gram in a sketch with as many counters as `level`."""
+    return (grams >> np.uint64(65 - len(level).bit_length())).astype(np.int64)
+
+
 def ordered_sets(owner: np.ndarray, grams: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(text, gram) without repetition, the grams of each text in the global order: rarest level first, then by hash."""
     if not len(grams):
         return owner, grams
-    rank = (level[grams >> np.uint64(64 - SKETCH_BITS)].astype(np.uint64) << np.uint64(41)) | (grams >> np.uint64(23))
+    rank = (level[slot_of(grams, level)].astype(np.uint64) << np.uint64(41)) | (grams >> np.uint64(23))
     order = np.argsort((owner.astype(np.uint64) << np.uint64(48)) | rank)
     o, g = owner[order], grams[order]
     # hashes that agree in their leading 41 bits are put in order by the rest
     close = np.flatnonzero((o[1:] == o[:-1]) & (g[1:] >> np.uint64(23) == g[:-1] >> np.uint64(23)) & (g[1:] < g[:-1]))
     if len(close):
-        exact = np.lexsort((g, level[g >> np.uint64(64 - SKETCH_BITS)], o))
+        exact = np.lexsort((g, level[slot_of(g, level)], o))
         o, g = o[exact], g[exact]
     keep = np.concatenate(([True], (g[1:] != g[:-1]) | (o[1:] != o[:-1])))
     return o[keep], g[keep]
@@ -122,7 +128,7 @@ def _chunks(counts: np.ndarray) -> Iterator[tuple[int, bytes]]:
 
 
 def _summed(rows: DataFrame) -> np.ndarray:
-    """The sum of the count arrays in (chunk, counts); of fixed size, so it may reach the driver."""
+    """The sum of the count arrays in (chunk, counts); of bounded size, so it may reach the driver."""
 
     def add(key, pdf):  # hints would be taken for a kind of function
         total = sum(np.frombuffer(zlib.decompress(b), dtype=np.uint32).astype(np.uint64) for b in pdf["counts"])
@@ -162,7 +168,7 @@ def slots(ids: np.ndarray) -> np.ndarray:
 # ------------------------------------------------------------------- postings
 
 
-def pack_postings(owner: np.ndarray, grams: np.ndarray, sig: np.ndarray, level: np.ndarray, threshold: float, buckets: int, words: int) -> Iterator[tuple[int, bytes]]:
+def pack_postings(owner: np.ndarray, grams: np.ndarray, sig: np.ndarray, level: np.ndarray, threshold: float, buckets: int, words: int, hot: tuple[np.ndarray, np.ndarray]) -> Iterator[tuple[int, bytes]]:
     """(bucket, packed postings) of the prefixes of the sets of one batch.
 
     A packed posting list has the records of the bucket (signature, size,
@@ -182,8 +188,11 @@ def pack_postings(owner: np.ndarray, grams: np.ndarray, sig: np.ndarray, level:
     own = at[reach] < need(threshold, sizes, True)[doc[reach]]
     doc, g = doc[reach], grams[reach]
     # postings of grams that may be frequent are split: own ones go to one part, all to every part as probes
-    count = np.exp2(level[g >> np.uint64(64 - SKETCH_BITS)] / 4.0)
-    parts = np.maximum(1, np.ceil(count / HOT)).astype(np.int64)
+    parts = np.ones(len(g), dtype=np.int64)
+    if len(hot[0]):
+        slot = slot_of(g, level)
+        near = np.minimum(np.searchsorted(hot[0], slot), len(hot[0]) - 1)
+        parts = np.where(hot[0][near] == slot, hot[1][near], 1)
     home = (mix(sig[doc]) % parts.astype(np.uint64)).astype(np.int64)
     again = np.repeat(np.arange(len(doc)), parts)
     part = np.arange(len(again)) - np.repeat(np.concatenate(([0], np.cumsum(parts)[:-1])), parts)
@@ -364,7 +373,7 @@ def similar_pairs(records: DataFrame, text: Column, id_col: str = "evidence_id",
     (grams in both and in either), one row per pair of similar classes.
 
     1. One pass gives each record a signature, so that a text which a third of
-       all rows repeat is one class, and counts all grams in a sketch of fixed
+       all rows repeat is one class, and counts all grams in a sketch of bounded
        size. The sketch defines the global order, the rarest grams first.
     2. A pair must share a gram among the first n - ceil(t n) + 1 of the larger
        record and the first n - ceil(2 t / (1 + t) n) + 1 of the smaller one. A
@@ -387,12 +396,15 @@ def similar_pairs(records: DataFrame, text: Column, id_col: str = "evidence_id",
         raise ValueError("the threshold must be in (0, 1]")
     docs = records.select(F.col(id_col).cast("long").alias("id"), text.cast("string").alias("t")).where("id is not null")
 
+    bits = min(MOST_BITS, max(LEAST_BITS, (2 * docs.count()).bit_length()))
+
     def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, sketch = Shingler(size, least_words), np.zeros(1 << SKETCH_BITS, dtype=np.int64)
+        shingler, sketch = Shingler(size, least_words), np.zeros(1 << bits, dtype=np.uint32)
         names = ["id", "s1", "s2", "n", "chunk", "counts"]
         for b in batches:
             owner, grams = shingler.grams(b.column(1).to_pylist())
-            sketch += np.bincount((grams >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS)
+            slot, times = np.unique(slot_of(grams, sketch), return_counts=True)
+            sketch[slot] += times.astype(np.uint32)
             who, s1, s2 = signatures(owner, grams)
             n = np.bincount(owner, minlength=b.num_rows)[who] if len(who) else who
             m = len(who)
@@ -405,7 +417,11 @@ def similar_pairs(records: DataFrame, text: Column, id_col: str = "evidence_id",
 
     seen = stored(docs.mapInArrow(survey, "id bigint, s1 bigint, s2 bigint, n bigint, chunk int, counts binary"))
     counts = _summed(seen.where("chunk is not null"))
-    level = np.minimum(np.floor(4 * np.log2(np.maximum(counts, 1))), 127).astype(np.uint8) if len(counts) else np.zeros(1 << SKETCH_BITS, dtype=np.uint8)
+    counts = counts if len(counts) else np.zeros(1 << bits, dtype=np.uint32)
+    level = np.minimum(np.floor(4 * np.log2(np.maximum(counts, 1))), 127).astype(np.uint8)
+    excess = counts - NOISE * float(np.median(counts[counts > 0])) if counts.any() else counts.astype(np.float64)
+    often = np.flatnonzero(excess > HOT)
+    hot = (often, np.ceil(excess[often] / HOT).astype(np.int64))
     marked = seen.where("chunk is null").select("id", "s1", "s2", "n")
     total, mean = marked.agg(F.sum("n"), F.avg("n")).first()
     buckets = max(6, math.ceil((total or 0) / BUCKET_GRAMS))
@@ -424,7 +440,7 @@ def similar_pairs(records: DataFrame, text: Column, id_col: str = "evidence_id",
                 keep[who[first]] = True
                 kept = keep[owner]
                 owner, grams = ordered_sets(owner[kept], grams[kept], level)
-                rows = list(pack_postings(owner, grams, sig[np.sort(first)], level, threshold, buckets, words))
+                rows = list(pack_postings(owner, grams, sig[np.sort(first)], level, threshold, buckets, words, hot))
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "postings"])
 
     def meet(key, held):

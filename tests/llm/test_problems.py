@@ -60,6 +60,7 @@ def test_near_duplicates_equal_brute_force(spark, threshold, size):
 
 def test_near_duplicates_with_hot_parts_split(spark, monkeypatch):
     monkeypatch.setattr(neardup, "HOT", 2)
+    monkeypatch.setattr(neardup, "NOISE", 0)
     monkeypatch.setattr(neardup, "BLOCK", 2)
     monkeypatch.setattr(neardup, "SLICE", 50)
     rng = random.Random(6)
