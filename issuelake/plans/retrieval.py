@@ -63,10 +63,11 @@ def _fused(spark, d):
     return docs, ret.fuse(vector, lexical, "doc_id")
 
 
-@query(f"WITH {RANKED} SELECT doc_id, vrank, lrank, round(raw_rrf_score, 6) AS raw_rrf_score FROM r")
+@query(f"WITH {RANKED} SELECT doc_id, coalesce(vrank, 0)::int AS vrank, coalesce(lrank, 0)::int AS lrank, round(raw_rrf_score, 6) AS raw_rrf_score FROM r")
 def rrf_fuse(spark, d):
-    """Two ranked lists fused by reciprocal ranks."""
-    return _fused(spark, d)[1].withColumn("raw_rrf_score", F.round("raw_rrf_score", 6))
+    """Two ranked lists fused by reciprocal ranks; a rank is 0 where a list does not have the document."""
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return _fused(spark, d)[1].select("doc_id", zero("vrank"), zero("lrank"), F.round("raw_rrf_score", 6).alias("raw_rrf_score"))
 
 
 HYBRID = f"""
