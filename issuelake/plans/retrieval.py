@@ -82,7 +82,8 @@ HYBRID = f"""
 
 def _hybrid(spark, d):
     docs, fused = _fused(spark, d)
-    joined = fused.join(docs.select("doc_id", "text", "source"), "doc_id").where("text is not null and text <> ''")
+    # two lists of 60 rows: the documents stay where they are
+    joined = docs.select("doc_id", "text", "source").where("text is not null and text <> ''").join(F.broadcast(fused), "doc_id")
     scored = ret.weighted(joined, F.col("source"), WEIGHTS, "issue_thread").withColumn("rrf_score", F.round("rrf_score", 9))
     return ret.assemble(scored, [F.desc("rrf_score"), F.col("doc_id")], "text", "source", 3, 15000)
 
