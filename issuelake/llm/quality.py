@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections import Counter
@@ -104,6 +105,11 @@ def _characters(text: str) -> dict[str, int]:
     return {chr(i): n for i, n in enumerate(counts) if n}
 
 
+def text_digest(text: str) -> bytes:
+    """What tells equal texts."""
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+
 def languages_of(common: dict[str, set[str]]) -> dict[str, tuple[str, ...]]:
     """The languages that list each common word."""
     out: dict[str, tuple[str, ...]] = {}
@@ -189,7 +195,7 @@ WHOLE = ("word_count", "n_lines")
 
 
 def letter_pair_scores(docs: DataFrame, text_col: str) -> np.ndarray:
-    """Log probability of each pair of letters within words, over all documents; 729 numbers whatever the input."""
+    """Log probability of each pair of letters within words, over all distinct texts; 729 numbers whatever the input."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(PAIRS * PAIRS, dtype=np.int64)
@@ -199,7 +205,7 @@ def letter_pair_scores(docs: DataFrame, text_col: str) -> np.ndarray:
                     total += pair_counts(text)
         yield pa.RecordBatch.from_arrays([pa.array(range(PAIRS * PAIRS), pa.int32()), pa.array(total)], names=["pair", "n"])
 
-    rows = docs.select(F.col(text_col).cast("string").alias("t")).mapInArrow(run, "pair int, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).collect()
+    rows = docs.select(F.col(text_col).cast("string").alias("t")).distinct().mapInArrow(run, "pair int, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).collect()
     m = np.zeros(PAIRS * PAIRS)
     for r in rows:
         m[r["pair"]] = r["n"]
@@ -236,7 +242,7 @@ def tail_probabilities(values: DataFrame) -> DataFrame:
 
 
 def kind_rules():
-    """What the statistics of an outlier tell: garbage first, then rows of cells, then items, then words without sense."""
+    """What the statistics of a text tell: garbage first, then rows of cells, then items, then words without sense."""
     c = F.col
     odd_symbols = (c("symbol_ratio") > 0.97) | ((c("symbol_ratio") > 0.85) & (c("cell_share") <= 0.5)) | ((c("symbol_ratio") > 0.2) & (c("n_lines") < 3))
     encoded = ((c("mixed_share") > 0.2) & (c("all_common_share") < 0.1)) | ((c("longest_word") >= 60) & (c("all_common_share") < 0.02) & (c("cell_share") <= 0.5) & (c("n_lines") < 3))
@@ -259,18 +265,17 @@ def document_statistics(docs: DataFrame, common_words: DataFrame, id_col: str =
     among the common words of the document's language. marker_share, item_share
     and cell_share: lines that begin with a bullet or number, that are short and
     without a sentence, that are rows of cells. pair_score: mean log probability
-    of the letter pairs, as counted over the whole table. repeat_share: the most
+    of the letter pairs, as counted over the distinct texts. repeat_share: the most
     frequent sentence or character. mixed_share: tokens with letters and digits
     mixed. longest_word: characters of the longest token. Shares are rounded to
     four digits.
 
     language is the one with most common words, if that is a tenth of all
     words; else what lang_col says, if known; else null. Each statistic gets its
-    exact tail probability within its language and over all documents;
-    outlier_score is the larger of the two sums of -ln(tail). A document whose
-    mean is above 1 - tails of less than 1/e on average - is an outlier, and its
-    kind follows from the statistics: 'table', 'list' or 'junk'; all else is
-    'prose'. Null, empty and blank texts have no statistics, score or kind and
+    exact tail probability among the distinct texts, within its language and
+    over all; outlier_score is the larger of the two sums of -ln(tail). The kind
+    follows from the statistics of the text alone, however common such texts
+    are: 'table', 'list' or 'junk'; all else is 'prose'. Null, empty and blank texts have no statistics, score or kind and
     count in no rank. Every input row gives one row, repeated ids and null ids
     too. An empty table gives no rows. Columns beside the three are not read.
     """
@@ -291,20 +296,24 @@ def document_statistics(docs: DataFrame, common_words: DataFrame, id_col: str =
             langs = [None if r is None else r["language"] if r["common_share"] >= 0.1 and r["language"] else d if d in common else None for r, d in zip(rows, batch.column(2).to_pylist())]
             column = lambda name, of: pa.array([None if r is None else r[name] for r in rows], of)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(langs, pa.string()), *[column(c, pa.int64()) for c in WHOLE], *[column(c, pa.float64()) for c in DOUBLES]],
-                names=[id_col, "language", *WHOLE, *DOUBLES],
+                [batch.column(0), pa.array([None if r is None else text_digest(t) for r, t in zip(rows, batch.column(1).to_pylist())], pa.binary()), pa.array(langs, pa.string()), *[column(c, pa.int64()) for c in WHOLE], *[column(c, pa.float64()) for c in DOUBLES]],
+                names=[id_col, "digest", "language", *WHOLE, *DOUBLES],
             )
 
-    schema = ", ".join([f"`{id_col}` {kind}", "language string", *[f"{c} bigint" for c in WHOLE], *[f"{c} double" for c in DOUBLES]])
-    stats = cut_lineage(source.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()))
+    schema = ", ".join([f"`{id_col}` {kind}", "digest binary", "language string", *[f"{c} bigint" for c in WHOLE], *[f"{c} double" for c in DOUBLES]])
+    stats = cut_lineage(source.mapInArrow(run, schema))
+    # copies are one text, and count once over all and once in each language that they are given
+    texts = stats.where("digest is not null").select("digest", "language", *RANKED).dropDuplicates(["digest", "language"])
+    texts = texts.withColumn("first", F.row_number().over(Window.partitionBy("digest").orderBy("language")) == 1)
     long = (
-        stats.where("n_lines is not null")
-        .select("row", F.explode(F.array_compact(F.array(F.lit("*"), F.col("language")))).alias("grp"), *RANKED)
-        .select("row", "grp", F.explode(F.array(*[F.struct(F.lit(c).alias("stat"), F.col(c).alias("value")) for c in RANKED])).alias("x"))
-        .select("row", "grp", "x.stat", "x.value")
+        texts.select("digest", F.explode(F.array_compact(F.array(F.when(F.col("first"), "*"), F.col("language")))).alias("grp"), *RANKED)
+        .select("digest", "grp", F.explode(F.array(*[F.struct(F.lit(c).alias("stat"), F.col(c).alias("value")) for c in RANKED])).alias("x"))
+        .select("digest", "grp", "x.stat", "x.value")
     )
     tails = tail_probabilities(long.select("grp", "stat", "value"))
-    summed = long.join(tails, ["grp", "stat", "value"]).groupBy("row", "grp").agg(F.sum(-F.log("tail")).alias("s"))
-    outliers = summed.groupBy("row").agg(F.round(F.max("s"), 6).alias("outlier_score"))
-    told = F.when(F.col("n_lines").isNull(), F.lit(None)).when(F.col("outlier_score") > len(RANKED), F.coalesce(kind_rules(), F.lit("prose"))).otherwise("prose")
-    return stats.join(outliers, "row", "left").withColumn("kind", told).drop("row", "all_common_share")
+    summed = long.join(tails, ["grp", "stat", "value"]).groupBy("digest", "grp").agg(F.sum(-F.log("tail")).alias("s"))
+    over_all = F.max(F.when(F.col("grp") == "*", F.col("s"))).over(Window.partitionBy("digest"))
+    outliers = summed.select("digest", F.col("grp").alias("within"), F.round(F.greatest("s", over_all), 6).alias("outlier_score"))
+    told = F.when(F.col("n_lines").isNotNull(), F.coalesce(kind_rules(), F.lit("prose")))
+    scored = stats.withColumn("within", F.coalesce("language", F.lit("*"))).join(outliers, ["digest", "within"], "left")
+    return scored.withColumn("kind", told).drop("digest", "within", "all_common_share")

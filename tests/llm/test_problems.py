@@ -413,6 +413,23 @@ def test_kinds(spark):
     assert quality.document_statistics(df.limit(0), table(spark, SMALL, "common_word")).count() == 0
 
 
+@pytest.mark.parametrize(("text", "kind"), [
+    ("- one thing\n- another thing\n- third thing\n- last thing", "list"), ("| a | b |\n| --- | --- |\n| 1 | 2 |\n| 3 | 4 |", "table"), ("xkq zzvt qqpw jjk " * 20, "junk"),
+])
+def test_kinds_of_texts_copied_into_a_third_of_the_rows(spark, text, kind):
+    rng = random.Random(8)
+    words = [w for (w,) in table(spark, SMALL, "common_word").where("lang = 'en'").select("word").collect()]
+    nouns = ["window", "buffer", "report", "reader", "change", "server", "answer", "column", "module", "button"]
+    rows = [(i, " ".join(f"{rng.choice(words)} {rng.choice(nouns)} {rng.choice(nouns)}" for _ in range(30)).capitalize() + ".", "en") for i in range(120)]
+    # declared in two languages, the copies are still one text over all
+    rows += [(1000 + i, text, "en" if i % 2 else "de") for i in range(60)]
+    out = quality.document_statistics(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), table(spark, SMALL, "common_word")).collect()
+    assert len(out) == len(rows)
+    assert {r.kind for r in out if r.doc_id >= 1000} == {kind} and {r.kind for r in out if r.doc_id < 1000} == {"prose"}
+    # ranked among 121 distinct texts, the copied one is extreme
+    assert min(r.outlier_score for r in out if r.doc_id >= 1000) > len(quality.RANKED)
+
+
 # ------------------------------------------------------------------ queries
 
 COLUMNS = {
