@@ -12,14 +12,14 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from issuelake.llm.repair import infer
 from issuelake.session import stored
 
 GRAM = 24  #: tokens of a fingerprinted run, and the least size of a rule that tells of copying
-PRINTS = 8  #: fingerprints kept of a file, the smallest
+WINDOW = 8  #: of so many neighbouring runs one at least is a fingerprint, the smallest
 BLOCK = 48  #: classes of files that share a fingerprint and are put into one grammar
 RULE, USES = 5, 6  #: tokens of a rule, and times that it has to be used, to count as reused
 REUSED = 0.8  #: share of a file that one reused rule has to make up
@@ -195,18 +195,43 @@ def powers(length: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers(1 << max(10, (length - 1).bit_length()))
 
 
-def fingerprints(code: list[str]) -> list[int]:
-    """The PRINTS smallest 64-bit hashes of runs of GRAM tokens."""
+def fingerprints(code: list[str]) -> tuple[list[int], list[int]]:
+    """Places and 64-bit hashes of the winnowed runs of GRAM tokens: the smallest of every WINDOW neighbouring ones.
+
+    Their number grows with the file, and two files that have any GRAM + WINDOW - 1
+    tokens in a row in common have a fingerprint in common.
+    """
     n = len(code) - GRAM + 1
     if n < 1:
-        return []
+        return [], []
     h = np.array([token_hash(t) for t in code], dtype=np.uint64)
     up, down = powers(len(code) + 1)
     total = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(h * up[: len(code)], dtype=np.uint64)))
     run = (total[GRAM:] - total[:-GRAM]) * down[:n]
     run = (run ^ (run >> np.uint64(29))) * ODD
     run ^= run >> np.uint64(32)
-    return np.unique(run.view(np.int64))[:PRINTS].tolist()
+    w = min(WINDOW, n)
+    places = np.unique(np.lib.stride_tricks.sliding_window_view(run, w).argmin(axis=1) + np.arange(n - w + 1))
+    return places.tolist(), run.view(np.int64)[places].tolist()
+
+
+def most_shared(places: list[int], prints: list[int], shared: set[int], n: int) -> float:
+    """A bound on the share of a file of n tokens that lies in stretches with a fingerprint of other repositories and none that only its own has."""
+    stretches, start, held = [], 0, False
+    for place, x in zip(places, prints):
+        if x in shared:
+            held = True
+            continue
+        if held:
+            stretches.append((start, place + GRAM - 1))
+        start, held = place + 1, False
+    if held:
+        stretches.append((start, n))
+    covered = end = 0
+    for low, high in stretches:
+        covered += high - max(low, end)
+        end = high
+    return covered / n if n else 0.0
 
 
 NUMBERS = ("reuse", "literal_share", "packed", "space")
@@ -214,21 +239,21 @@ COUNTS = ("n_tokens", "words", "literal_chars")
 
 
 def file_forms(files: DataFrame, id_col: str, repo_col: str | None, path_col: str, text_col: str, known: str | None = None) -> DataFrame:
-    """One row per file with a text: row data, marks, the numbers of form(), sig, prints and body (tokens, joined)."""
+    """One row per file with a text: row data, marks, the numbers of form(), sig, places and prints of fingerprints, and body (tokens, joined)."""
     repo = F.col(repo_col).cast("string") if repo_col else F.lit("")
     source = files.select(F.col(id_col).alias("k"), repo.alias("repo"), F.col(path_col).cast("string").alias("p"), F.col(text_col).cast("string").alias("t"))
     kind = source.schema["k"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[str, list] = {c: [] for c in ("k", "repo", "path", "marks", *NUMBERS, *COUNTS, "sig", "prints", "body")}
+            out: dict[str, list] = {c: [] for c in ("k", "repo", "path", "marks", *NUMBERS, *COUNTS, "sig", "places", "prints", "body")}
             for k, repo, path, text in zip(*[c.to_pylist() for c in batch.columns]):
                 out["k"].append(k)
                 out["repo"].append(repo)
                 p = plain_path(path)
                 out["path"].append(p)
                 if not text or not text.strip():
-                    for c in ("marks", *NUMBERS, *COUNTS, "sig", "prints", "body"):
+                    for c in ("marks", *NUMBERS, *COUNTS, "sig", "places", "prints", "body"):
                         out[c].append(None)
                     continue
                 f = form(text)
@@ -238,12 +263,14 @@ def file_forms(files: DataFrame, id_col: str, repo_col: str | None, path_col: st
                 for c in (*NUMBERS, *COUNTS):
                     out[c].append(f[c])
                 out["sig"].append(hashlib.blake2b(body.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest())
-                out["prints"].append(fingerprints(code))
+                places, prints = fingerprints(code)
+                out["places"].append(places)
+                out["prints"].append(prints)
                 out["body"].append(body)
-            types = {"k": batch.schema.field(0).type, "marks": pa.list_(pa.string()), "prints": pa.list_(pa.int64()), **{c: pa.float64() for c in NUMBERS}, **{c: pa.int64() for c in COUNTS}}
+            types = {"k": batch.schema.field(0).type, "marks": pa.list_(pa.string()), "places": pa.list_(pa.int32()), "prints": pa.list_(pa.int64()), **{c: pa.float64() for c in NUMBERS}, **{c: pa.int64() for c in COUNTS}}
             yield pa.RecordBatch.from_arrays([pa.array(v, types.get(c, pa.string())) for c, v in out.items()], names=list(out))
 
-    schema = f"k {kind}, repo string, path string, marks array<string>, " + ", ".join([f"{c} double" for c in NUMBERS] + [f"{c} bigint" for c in COUNTS]) + ", sig string, prints array<bigint>, body string"
+    schema = f"k {kind}, repo string, path string, marks array<string>, " + ", ".join([f"{c} double" for c in NUMBERS] + [f"{c} bigint" for c in COUNTS]) + ", sig string, places array<int>, prints array<bigint>, body string"
     return source.mapInArrow(run, schema)
 
 
@@ -304,25 +331,43 @@ def shared_cover(bodies: list[list[str]], repos: list[set[str]]) -> list[float]:
 def shared_code(forms: DataFrame) -> DataFrame:
     """sig, shared: how much of each class of equal files is shared with other repositories.
 
-    `forms` has sig, repo, known, prints, body. Equal files are one class,
-    whatever their number, with its least and greatest repository. Classes
-    that have a fingerprint in common, from two repositories, meet in a block;
-    one Re-Pair grammar of the block tells which rules they share. A
-    fingerprint of more than BLOCK classes is split into parts, each with all
+    `forms` has sig, repo, known, n_tokens, places, prints, body. Equal files
+    are one class, whatever their number, with its least and greatest
+    repository. Classes whose most_shared stays below SHARED need no grammar.
+    All others, the wanted ones, meet every class that has a fingerprint in
+    common with them, from two repositories, in a block; one Re-Pair grammar of
+    the block tells which rules they share. Fingerprints of the same classes
+    make one block.
+    A fingerprint of more than BLOCK classes is split into parts, each with all
     known upstream files of that fingerprint; a file that is shared within any
     part is shared.
     """
-    classes = forms.where("sig is not null").groupBy("sig").agg(F.min("repo").alias("lo"), F.max("repo").alias("hi"), F.max("known").alias("known"), F.first("prints").alias("prints"))
-    prints = classes.select("sig", "lo", "hi", "known", F.explode("prints").alias("print"))
-    met = prints.groupBy("print").agg(F.min("lo").alias("l"), F.max("hi").alias("h"), F.count("*").alias("c")).where("l <> h and c > 1")
-    parts = F.ceil(F.col("c") / BLOCK).cast("int")
-    seats = (
-        prints.join(met, "print")
-        .withColumn("part", F.explode(F.when(F.col("known"), F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.pmod(F.xxhash64("sig"), parts).cast("int")))))
-        .select("print", "part", "sig", "lo", "hi")
+    ids = forms.where("sig is not null")
+    classes = ids.groupBy("sig").agg(F.min("repo").alias("lo"), F.max("repo").alias("hi"), F.max("known").alias("known"), F.first("n_tokens").alias("n"), F.first("places").alias("places"), F.first("prints").alias("prints"))
+    prints = classes.select(
+        F.unhex("sig").alias("id"), "known", F.least(F.xxhash64("lo"), F.xxhash64("hi")).alias("l"), F.greatest(F.xxhash64("lo"), F.xxhash64("hi")).alias("h"), F.explode(F.array_distinct("prints")).alias("print")
+    )
+    alike = Window.partitionBy("print")
+    # the classes of a fingerprint, told by their number and two sums: equal ones give equal blocks
+    who = [F.count("*").over(alike).alias("c"), *[F.bit_xor(F.xxhash64("id", F.lit(i))).over(alike).alias(f"x{i}") for i in (0, 1)]]
+    met = stored(
+        prints.select("print", "id", "known", F.min("l").over(alike).alias("l"), F.max("h").over(alike).alias("h"), *who)
+        .where("l <> h and c > 1").select("print", F.lower(F.hex("id")).alias("sig"), "known", "c", "x0", "x1")
     )
-    bodies = forms.where("sig is not null").select("sig", "body").dropDuplicates(["sig"])
-    rows = seats.join(bodies, "sig").repartition("print", "part").sortWithinPartitions("print", "part")
+    own = classes.join(met.groupBy("sig").agg(F.collect_list("print").alias("shared")), "sig").select("sig", "n", "places", "prints", "shared")
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sig, n, places, hashes, shared = [c.to_pylist() for c in batch.columns]
+            yield pa.RecordBatch.from_arrays([pa.array([s for s, *x in zip(sig, places, hashes, shared, n) if most_shared(x[0], x[1], set(x[2]), x[3]) >= SHARED], pa.string())], names=["sig"])
+
+    wanted = own.mapInArrow(bound, "sig string").withColumn("wanted", F.lit(1))
+    one = met.withColumn("first", F.min("print").over(Window.partitionBy("c", "x0", "x1"))).where("print = first")
+    counted = one.join(wanted, "sig", "left").withColumn("k", F.count("wanted").over(alike)).where("k > 0")
+    parts = F.ceil(F.col("c") / BLOCK).cast("int")
+    seats = counted.withColumn("part", F.explode(F.when(F.col("known"), F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.pmod(F.xxhash64("sig"), parts).cast("int"))))).select("print", "part", "sig")
+    bodies = ids.select("sig", "body").dropDuplicates(["sig"])
+    rows = seats.join(classes.select("sig", "lo", "hi"), "sig").join(bodies, "sig").repartition("print", "part").sortWithinPartitions("print", "part")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, held = None, []
@@ -375,7 +420,8 @@ def classify_files(docs: DataFrame, upstream: DataFrame, id_col: str = "document
         .withColumn("known", F.lit(True))
     )
     forms = stored(own)
-    cover = shared_code(forms.select("sig", "repo", "known", "prints", "body").unionByName(stored(other.select("sig", "repo", "known", "prints", "body"))))
+    of = ["sig", "repo", "known", "n_tokens", "places", "prints", "body"]
+    cover = shared_code(forms.select(*of).unionByName(stored(other.select(*of))))
     c = F.col
     prose = c("path").rlike(DOCUMENTATION.pattern) | c("path").rlike(CONFIGURATION.pattern)
     templated = ~prose & (c("n_tokens") >= LEAST_TOKENS) & (c("reuse") >= REUSED) & ~c("path").rlike(r"\.json$")
@@ -392,7 +438,7 @@ def classify_files(docs: DataFrame, upstream: DataFrame, id_col: str = "document
             )
         )
     )
-    judged = forms.drop("prints", "body", "known").join(cover, "sig", "left").withColumn("shared", F.coalesce("shared", F.lit(0.0))).withColumn("reasons", F.coalesce(reasons, F.array().cast("array<string>")))
+    judged = forms.drop("places", "prints", "body", "known").join(cover, "sig", "left").withColumn("shared", F.coalesce("shared", F.lit(0.0))).withColumn("reasons", F.coalesce(reasons, F.array().cast("array<string>")))
     return judged.select(
         c("k").alias(id_col), F.array_distinct(F.transform("reasons", lambda r: F.substring_index(r, ":", 1))).alias("kinds"), "reasons", (F.size("reasons") == 0).alias("handwritten"),
         "n_tokens", *[F.round(x, 4).alias(x) for x in (*NUMBERS, "shared")],

@@ -233,6 +233,34 @@ def test_files_of_each_kind(spark):
     assert handwritten.classify_files(docs.limit(0), upstream.limit(0)).count() == 0
 
 
+def source_of(rng, lines):
+    """Statements of names that occur nowhere else."""
+    name = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(8))
+    forms = ["{a} = {b}.{c}({d})", "if {a} is None: return {b}", "for {a} in {b}: {c}.{d}()", "{a}.{b} = [{c} for {c} in {d}]", "log.debug('{a}', {b})", "assert {a} > 3, '{b}'", "with {a}({b}) as {c}: {d}.run()"]
+    return "\n".join(rng.choice(forms).format(a=name(), b=name(), c=name(), d=name()) for _ in range(lines))
+
+
+def vendored(spark, rows, upstream=()):
+    docs = spark.createDataFrame(rows, "document_id bigint, repo_full_name string, relative_path string, content string")
+    known = spark.createDataFrame(list(upstream), "library_name string, file_name string, content string")
+    return {r.document_id for r in handwritten.classify_files(docs, known).collect() if "vendored" in r.kinds}
+
+
+def test_parts_of_a_bundle_are_vendored(spark):
+    rng = random.Random(11)
+    parts = [source_of(rng, 30) for _ in range(40)]
+    rows = [(i, f"o/{i}", "src/a.py", p + "\n" + source_of(rng, 10)) for i, p in enumerate(parts)] + [(100 + i, f"o/h{i}", "src/a.py", source_of(rng, 40)) for i in range(10)]
+    assert vendored(spark, rows, [("lib", "bundle.py", "\n".join(parts))]) == set(range(40))
+
+
+def test_fingerprints_meet_in_any_long_stretch():
+    rng = random.Random(12)
+    for _ in range(200):
+        common = [str(rng.random()) for _ in range(handwritten.GRAM + handwritten.WINDOW - 1)]
+        a, b = ([str(rng.random()) for _ in range(rng.randrange(300))] + common + [str(rng.random()) for _ in range(rng.randrange(300))] for _ in range(2))
+        assert set(handwritten.fingerprints(a)[1]) & set(handwritten.fingerprints(b)[1])
+
+
 # ------------------------------------------------------------------ 5 personal information
 
 
