@@ -338,9 +338,9 @@ def shared_code(forms: DataFrame) -> DataFrame:
     common with them, from two repositories, in a block; one Re-Pair grammar of
     the block tells which rules they share. Fingerprints of the same classes
     make one block.
-    A fingerprint of more than BLOCK classes is split into parts, each with all
-    known upstream files of that fingerprint; a file that is shared within any
-    part is shared.
+    A fingerprint of more than BLOCK classes is split into groups of half a
+    block, and every group of wanted classes meets every group of all classes;
+    a file that is shared within any block is shared.
     """
     ids = forms.where("sig is not null")
     classes = ids.groupBy("sig").agg(F.min("repo").alias("lo"), F.max("repo").alias("hi"), F.max("known").alias("known"), F.first("n_tokens").alias("n"), F.first("places").alias("places"), F.first("prints").alias("prints"))
@@ -364,8 +364,11 @@ def shared_code(forms: DataFrame) -> DataFrame:
     wanted = own.mapInArrow(bound, "sig string").withColumn("wanted", F.lit(1))
     one = met.withColumn("first", F.min("print").over(Window.partitionBy("c", "x0", "x1"))).where("print = first")
     counted = one.join(wanted, "sig", "left").withColumn("k", F.count("wanted").over(alike)).where("k > 0")
-    parts = F.ceil(F.col("c") / BLOCK).cast("int")
-    seats = counted.withColumn("part", F.explode(F.when(F.col("known"), F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.pmod(F.xxhash64("sig"), parts).cast("int"))))).select("print", "part", "sig")
+    groups = lambda c: F.when(F.col("c") <= BLOCK, 1).otherwise(F.ceil(F.col(c) / (BLOCK // 2))).cast("int")
+    group = lambda n: F.pmod(F.xxhash64("sig"), F.col(n)).cast("int")
+    asked = F.when(F.col("wanted") == 1, F.transform(F.sequence(F.lit(0), F.col("all") - 1), lambda j: group("few") * F.col("all") + j)).otherwise(F.array().cast("array<int>"))
+    answers = F.transform(F.sequence(F.lit(0), F.col("few") - 1), lambda i: i * F.col("all") + group("all"))
+    seats = counted.withColumn("few", groups("k")).withColumn("all", groups("c")).select("print", "sig", F.explode(F.array_union(asked, answers)).alias("part"))
     bodies = ids.select("sig", "body").dropDuplicates(["sig"])
     rows = seats.join(classes.select("sig", "lo", "hi"), "sig").join(bodies, "sig").repartition("print", "part").sortWithinPartitions("print", "part")
 

@@ -261,6 +261,21 @@ def test_fingerprints_meet_in_any_long_stretch():
         assert set(handwritten.fingerprints(a)[1]) & set(handwritten.fingerprints(b)[1])
 
 
+def test_copies_meet_whose_fingerprints_are_all_frequent(spark, monkeypatch):
+    monkeypatch.setattr(handwritten, "BLOCK", 4)
+    rng = random.Random(13)
+    rows, copies = [], set()
+    for lib in range(3):
+        pieces = [source_of(rng, 12) for _ in range(4)]
+        for side in "ab":
+            copies.add(len(rows))
+            rows.append((len(rows), f"o/{lib}{side}", "src/a.py", "\n".join(piece + "\n" + source_of(rng, 2) for piece in pieces)))
+        for piece in pieces:
+            for _ in range(12):
+                rows.append((len(rows), f"o/{len(rows)}", "src/a.py", piece + "\n" + source_of(rng, 40)))
+    assert vendored(spark, rows) == copies
+
+
 # ------------------------------------------------------------------ 5 personal information
 
 
