@@ -30,6 +30,12 @@ def nearest(base: DataFrame, query: DataFrame, k: int = 20, id_col: str = "vec_i
     return scored.orderBy(F.desc_nulls_last("similarity"), id_col).limit(k)
 
 
+def rounded_half_up(s: np.ndarray, digits: int = 6) -> np.ndarray:
+    """Rounded as SQL does, halves away from zero; infinite ones stay."""
+    # the zero added makes one zero of both
+    return np.copysign(np.floor(np.abs(s) * 10.0**digits + 0.5), s) / 10.0**digits + 0.0
+
+
 def nearest_each(base: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", dims: int = 64) -> DataFrame:
     """query_id, id, similarity, rank: the k rows most similar to each query, the query's own row left out. Exact.
 
@@ -59,18 +65,20 @@ def nearest_each(base: DataFrame, queries: DataFrame, k: int = 10, id_col: str =
         ids, qs = base_rows.column("id").to_numpy(), query_rows.column("id").to_numpy()
         s[~np.isfinite(s)] = -np.inf
         s[qs[:, None] == ids[None, :]] = -np.inf
-        # nearly equal similarities may change places with another order of summation: keep some more, ties are settled later
-        keep = min(len(ids), k + 16)
-        top = np.argpartition(-s, keep - 1, axis=1)[:, :keep]
-        r = np.repeat(np.arange(len(qs)), keep)
-        c = top.ravel()
+        # all above the k-th of the rounded similarities, and of those equal to it the least ids: ties are settled by the same numbers as in the end
+        s = rounded_half_up(s)
+        keep = min(len(ids), k)
+        order = np.argsort(ids, kind="stable")
+        s, ids = s[:, order], ids[order]
+        kth = -np.partition(-s, keep - 1, axis=1)[:, keep - 1 : keep]
+        above, equal = s > kth, s == kth
+        r, c = np.nonzero(above | (equal & (np.cumsum(equal, axis=1) <= keep - above.sum(axis=1, keepdims=True))))
         ok = np.isfinite(s[r, c])
         return pa.table({"query_id": qs[r[ok]], "id": ids[c[ok]], "similarity": s[r[ok], c[ok]]})
 
     found = left.groupBy("bb", "qb").cogroup(right.groupBy("bb", "qb")).applyInArrow(best, f"query_id {kinds}, id {kinds}, similarity double")
-    rounded = found.withColumn("similarity", F.round("similarity", 6))
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
-    return rounded.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def matching_all(docs: DataFrame, terms: Sequence[str], id_col: str, text: Column, k: int | None = 20) -> DataFrame:

@@ -7,6 +7,7 @@ import decimal
 import io
 import json
 import math
+import random
 import tarfile
 
 import duckdb
@@ -100,6 +101,18 @@ def test_nearest_handles_zero_and_other_lengths(spark):
     assert {(r.query_id, r.id) for r in each} == {(1, 3), (3, 1)}
 
 
+def test_nearest_of_many_copies_are_those_of_least_id(spark):
+    rng = random.Random(4)
+    rows = [(i, [1.0, 1.0] if i % 3 == 0 else [rng.random(), -rng.random()]) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id int, embedding array<float>")
+    got = {}
+    for r in retrieval.nearest_each(df, df.where("vec_id < 5"), 10, dims=2).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = r.id
+    copies = [i for i in range(400) if i % 3 == 0]
+    for q in (0, 3):
+        assert [got[q][n] for n in range(1, 11)] == [i for i in copies if i != q][:10]
+
+
 def test_suffixes(spark):
     df = spark.createDataFrame([("a/b.py", "b.py", True), ("ab.py", "b.py", False), ("b.py", "b.py", True)], "x string, y string, want boolean")
     assert all(r.got == r.want for r in df.select("want", tx.ends_with_path(F.col("x"), F.col("y")).alias("got")).collect())
