@@ -64,6 +64,10 @@ COPIED = re.compile(
     re.I | re.M,
 )
 
+#: Compiled modules begin so, behind comments if any; lock files have their version on a line of its own or behind the brace.
+COMPILED = re.compile(r"^[ \t]*[\"']use strict[\"'];?\s*(?:\r\n|\r|\n)\s*Object\.defineProperty\(exports", re.M)
+LOCKED = re.compile(r"(?:^|[{,])\s*\"lockfileVersion\"\s*:", re.M)
+
 
 def plain_path(path: str | None) -> str:
     """Forward slashes, no leading ./ or /, lower case."""
@@ -74,17 +78,22 @@ def plain_path(path: str | None) -> str:
 
 
 def comment_lines(text: str, ahead: int = 24, behind: int = 6) -> list[str]:
-    """Lines of comments among the first and the last lines that are not blank. Strings of code are none."""
+    """Lines of comments, wherever they stand. Strings of code are none, nor are lines of long strings between the first and the last lines that are not blank."""
     lines = [x for x in EOL.split(text) if x.strip()]
-    picked, open_ = [], False
+    picked, open_, quoted = [], False, ""
     for i, line in enumerate(lines):
         s = line.strip()
-        inside = open_
-        if s.startswith("/*") or s.startswith("<!--"):
+        within, inside = quoted, open_
+        if not quoted and (s.startswith("/*") or s.startswith("<!--")):
             open_ = inside = True
         if open_ and ("*/" in s or "-->" in s):
             open_ = False
-        if (i < ahead or i >= len(lines) - behind) and (inside or s.startswith(("//", "#", "--", ";", "%", "*"))) and not s.startswith("#include"):
+        comment = inside or s.startswith(("//", "#", "--", ";", "%", "*"))
+        if quoted:
+            quoted = "" if s.count(quoted) % 2 else quoted
+        elif not comment:
+            quoted = next((q for q in ('"""', "'''", "`") if s.count(q) % 2), "")
+        if comment and (not within or i < ahead or i >= len(lines) - behind) and not s.startswith("#include"):
             picked.append(s)
     return picked
 
@@ -106,10 +115,9 @@ def marks(path: str, text: str) -> list[str]:
         found.append("generated:comment")
     if COPIED.search(together) and any(COPIED.search(x) and not DENIED.search(x) for x in comments):
         found.append("vendored:comment")
-    head = text[:400]
-    if re.search(r"^\s*[\"']use strict[\"'];?\s*(?:\r\n|\r|\n)\s*Object\.defineProperty\(exports", head) or "sourceMappingURL=" in together:
+    if COMPILED.search(text) or "sourceMappingURL=" in together:
         found.append("generated:compiled")
-    if re.search(r"\"lockfileVersion\"\s*:", head):
+    if LOCKED.search(text):
         found.append("generated:lock")
     return found
 
@@ -400,7 +408,7 @@ def classify_files(docs: DataFrame, upstream: DataFrame, id_col: str = "document
     kinds holds what applies of 'generated', 'minified', 'vendored', 'data':
 
     * generated: one rule of the grammar of token shapes, reused, makes up most
-      of the file; or a comment near the start or end says that a program wrote
+      of the file; or a comment says that a program wrote
       it; or it is a lock file or compiled output.
     * minified: hardly any white space, or named so.
     * data: literals make up most of the file, and neither does their own

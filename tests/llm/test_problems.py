@@ -276,6 +276,17 @@ def test_copies_meet_whose_fingerprints_are_all_frequent(spark, monkeypatch):
     assert vendored(spark, rows) == copies
 
 
+def test_markers_anywhere_in_a_file():
+    licence = "\n".join(f"// line {i} of a licence" for i in range(40)) + "\n"
+    code = "\n".join(f"let a{i} = b{i}(c);" for i in range(40)) + "\n"
+    assert handwritten.marks("a.ts", licence + "// Code generated by tool. DO NOT EDIT.\n" + code) == ["generated:comment"]
+    assert handwritten.marks("a.ts", code + "// copied from left-pad v1.2\n" + code) == ["vendored:comment"]
+    assert handwritten.marks("a.js", "/* banner */\n" + '"use strict";\nObject.defineProperty(exports, "__esModule", {});\n' + code) == ["generated:compiled"]
+    assert handwritten.marks("deps.json", '{\n "name": "' + "x" * 500 + '",\n "lockfileVersion": 3\n}') == ["generated:lock"]
+    # a program that writes such comments is not marked by them
+    assert handwritten.marks("a.ts", code + "const head = `\n// Code generated by tool. DO NOT EDIT.\n`;\n" + code) == []
+
+
 # ------------------------------------------------------------------ 5 personal information
 
 
