@@ -15,14 +15,15 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from issuelake.llm.repair import infer
+from issuelake.llm.repair import Grammar, infer
 from issuelake.session import stored
 
 GRAM = 24  #: tokens of a fingerprinted run, and the least size of a rule that tells of copying
 WINDOW = 8  #: of so many neighbouring runs one at least is a fingerprint, the smallest
 BLOCK = 48  #: classes of files that share a fingerprint and are put into one grammar
 RULE, USES = 5, 6  #: tokens of a rule, and times that it has to be used, to count as reused
-REUSED = 0.8  #: share of a file that one reused rule has to make up
+REUSED = 0.8  #: share of a file that reused rules have to make up, one of any length or several of the first of MIXED
+MIXED = ((16, REUSED), (12, 0.92))  #: tokens of rules that count together, and the share from which they do; written code stays below
 LEAST_TOKENS = 150  #: shorter files are not called generated by their form
 LITERAL = 0.6  #: share of the characters that literals have to make up
 LEAST_LITERALS = 800  #: characters in literals from which they are bulk data
@@ -139,12 +140,13 @@ def shape(token: str) -> str:
 
 
 def may_reuse(shapes: list[str]) -> bool:
-    """Whether any one rule of RULE tokens or more, used USES times or more, can make up REUSED of the file.
+    """Whether a rule of RULE tokens or more, used USES times or more, or the rules of MIXED together, can make up enough of the file.
 
     Every run of RULE tokens inside such a rule of z tokens occurs as often as
     the rule, u times; so z is at least REUSED n / (most occurrences of a run),
     and u (z - RULE + 1) places begin a run that occurs USES times or more.
-    Files below these bounds need no grammar; no other is left out.
+    Rules that count together lie in runs of their least length that occur so
+    often. Files below these bounds need no grammar; no other is left out.
     """
     n = len(shapes)
     if n < RULE * USES:
@@ -154,15 +156,47 @@ def may_reuse(shapes: list[str]) -> bool:
     if most < USES:
         return False
     z = max(RULE, REUSED * n / most)
-    return sum(c for c in counts if c >= USES) >= REUSED * n * (1 - (RULE - 1) / z) - 1e-6
+    often = sum(c for c in counts if c >= USES)
+    if often >= REUSED * n * (1 - (RULE - 1) / z) - 1e-6:
+        return True
+    return any(often >= share * n * (1 - (RULE - 1) / size) - 1e-6 and often_covered(shapes, size) >= share * n - 1e-6 for size, share in MIXED)
+
+
+def often_covered(shapes: list[str], size: int) -> int:
+    """Tokens that lie in runs of `size` that occur USES times or more."""
+    _, which, counts = np.unique(run_hashes(shapes, size), return_inverse=True, return_counts=True)
+    edge = np.zeros(len(shapes) + 1, dtype=np.int64)
+    begins = np.flatnonzero(counts[which] >= USES)
+    edge[begins] += 1
+    edge[begins + size] -= 1
+    return int((np.cumsum(edge) > 0).sum())
+
+
+def reuse_of(g: Grammar, n: int) -> float:
+    """The share of n tokens made up by the one rule used most, or by all maximal rules of MIXED together."""
+    uses, sizes = g.uses(), g.sizes()
+    best = max((u * z / n for u, z in zip(uses, sizes) if z >= RULE and u >= USES), default=0.0)
+    for size, share in MIXED:
+        held, stack = 0, list(g.sequence)
+        while stack:
+            s = stack.pop() - g.first
+            if s < 0 or sizes[s] < size:
+                continue
+            if uses[s] >= USES:
+                held += sizes[s]
+            else:
+                stack.extend(g.rules[s])
+        if held >= share * n:
+            best = max(best, held / n)
+    return best
 
 
 def form(text: str) -> dict:
     """What the grammars of one file tell.
 
     reuse: the share of the token shapes made up by the one rule of five or
-    more of them that is used most, six times at least; 0 where may_reuse
-    shows that it stays below REUSED. literal_share: characters
+    more of them that is used most, six times at least, or by all longer ones
+    of MIXED; 0 where may_reuse shows that they stay too rare. literal_share: characters
     in numbers and strings. packed: grammar size of the literals against their
     length, character by character, for files made of literals with few words beside them. words: names and
     keywords. space: share of white space, literals left out. literal_chars: what
@@ -175,7 +209,7 @@ def form(text: str) -> dict:
     if may_reuse(shapes):
         # a rule is used as often as its pair occurs when it is made: rarer pairs cannot give a rule used so often
         g = infer(shapes, least=USES)
-        reuse = max((u * z / n for u, z in zip(g.uses(), g.sizes()) if z >= RULE and u >= USES), default=0.0)
+        reuse = reuse_of(g, n)
     chars = sum(map(len, code))
     literals = [t for t, s in zip(code, shapes) if s in "SN"]
     held = sum(map(len, literals))
@@ -203,6 +237,17 @@ def powers(length: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers(1 << max(10, (length - 1).bit_length()))
 
 
+def run_hashes(code: list[str], length: int) -> np.ndarray:
+    """64-bit hashes of all runs of `length` tokens."""
+    n = len(code) - length + 1
+    h = np.array([token_hash(t) for t in code], dtype=np.uint64)
+    up, down = powers(len(code) + 1)
+    total = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(h * up[: len(code)], dtype=np.uint64)))
+    run = (total[length:] - total[:-length]) * down[:n]
+    run = (run ^ (run >> np.uint64(29))) * ODD
+    return run ^ (run >> np.uint64(32))
+
+
 def fingerprints(code: list[str]) -> tuple[list[int], list[int]]:
     """Places and 64-bit hashes of the winnowed runs of GRAM tokens: the smallest of every WINDOW neighbouring ones.
 
@@ -212,12 +257,7 @@ def fingerprints(code: list[str]) -> tuple[list[int], list[int]]:
     n = len(code) - GRAM + 1
     if n < 1:
         return [], []
-    h = np.array([token_hash(t) for t in code], dtype=np.uint64)
-    up, down = powers(len(code) + 1)
-    total = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(h * up[: len(code)], dtype=np.uint64)))
-    run = (total[GRAM:] - total[:-GRAM]) * down[:n]
-    run = (run ^ (run >> np.uint64(29))) * ODD
-    run ^= run >> np.uint64(32)
+    run = run_hashes(code, GRAM)
     w = min(WINDOW, n)
     places = np.unique(np.lib.stride_tricks.sliding_window_view(run, w).argmin(axis=1) + np.arange(n - w + 1))
     return places.tolist(), run.view(np.int64)[places].tolist()
@@ -407,8 +447,8 @@ def classify_files(docs: DataFrame, upstream: DataFrame, id_col: str = "document
 
     kinds holds what applies of 'generated', 'minified', 'vendored', 'data':
 
-    * generated: one rule of the grammar of token shapes, reused, makes up most
-      of the file; or a comment says that a program wrote
+    * generated: rules of the grammar of token shapes, reused, make up most of
+      the file; or a comment says that a program wrote
       it; or it is a lock file or compiled output.
     * minified: hardly any white space, or named so.
     * data: literals make up most of the file, and neither does their own

@@ -287,6 +287,15 @@ def test_markers_anywhere_in_a_file():
     assert handwritten.marks("a.ts", code + "const head = `\n// Code generated by tool. DO NOT EDIT.\n`;\n" + code) == []
 
 
+def test_several_templates_in_mixed_order_are_reuse():
+    rng = random.Random(14)
+    name = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    forms = ["  get_{a}(): number {{ return this.{b}; }}", "  set_{a}({b}: number): void {{ this.{c} = {b}; this.{d}(); }}"]
+    text = "\n".join(rng.choice(forms).format(a=name(), b=name(), c=name(), d=name()) for _ in range(120))
+    assert handwritten.form(text)["reuse"] >= handwritten.REUSED
+    assert max(handwritten.form(source_of(rng, 150))["reuse"] for _ in range(20)) < handwritten.REUSED
+
+
 # ------------------------------------------------------------------ 5 personal information
 
 
