@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -63,15 +64,45 @@ def python_symbols(source: str) -> list[tuple[str, str, str | None, int, int]]:
     return out
 
 
-def symbol_chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, symbol_type, qualified_symbol_name, parent_symbol, start_line, end_line of the Python sources that parse."""
-    source = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("k"), F.col(text_col).alias("t"))
+def bounded_windows(lines: list[str], size: int = 50, overlap: int = 10, most_tokens: int = 1500) -> list[tuple[int, int]]:
+    """First and last line of windows of `size` lines, shorter by five at a time while they have more than most_tokens; single lines may."""
+    ends = [0]
+    for x in lines:
+        ends.append(ends[-1] + len(x))
+    out, at = [], 0
+    while at < len(lines):
+        end = min(at + size, len(lines))
+        while end - at > 1 and (ends[end] - ends[at]) // 4 > most_tokens:
+            end = max(at + 1, end - 5)
+        out.append((at + 1, end))
+        if end == len(lines):
+            break
+        at = max(at + 1, end - overlap)
+    return out
+
+
+def file_chunks(path: str | None, source: str, most_lines: int = 120, most_tokens: int = 1500) -> list[tuple[str, str, str | None, int, int]]:
+    """As python_symbols, with symbols above the bounds cut into windows; windows of the whole file where there are no symbols or it is not Python."""
+    lines = [x for x in re.split(r"(?<=\n)|(?<=\r)(?!\n)", source) if x]
+    out: list[tuple[str, str, str | None, int, int]] = []
+    for kind, name, parent, first, last in python_symbols(source) if (path or "").lower().endswith(".py") else []:
+        own = lines[first - 1 : last]
+        if kind != "module_docstring" and (len(own) > most_lines or sum(map(len, own)) // 4 > most_tokens):
+            out += [(f"{kind}_part", name, parent, first + a - 1, first + b - 1) for a, b in bounded_windows(own, most_tokens=most_tokens)]
+        else:
+            out.append((kind, name, parent, first, last))
+    return out or [("text_block", f"{path or ''}:{a}-{b}", None, a, b) for a, b in bounded_windows(lines, most_tokens=most_tokens)]
+
+
+def symbol_chunks(docs: DataFrame, id_col: str, path_col: str, text_col: str) -> DataFrame:
+    """id, symbol_type, qualified_symbol_name, parent_symbol, start_line, end_line of the chunks of every file with a text; see file_chunks."""
+    source = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("k"), F.col(path_col).alias("p"), F.col(text_col).alias("t"))
     kind = source.schema["k"].dataType.simpleString()
     names = [id_col, "symbol_type", "qualified_symbol_name", "parent_symbol", "start_line", "end_line"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(k, *s) for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for s in python_symbols(t)]
+            rows = [(k, *s) for k, p, t in zip(*[c.to_pylist() for c in b.columns]) for s in file_chunks(p, t)]
             cols = list(zip(*rows)) or [[]] * 6
             types = [b.schema.field(0).type, pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)

@@ -252,9 +252,9 @@ def info_class(spark, d):
 
 @query()
 def ast_chunks(spark, d):
-    """Symbols of the Python files that parse."""
-    docs = table(spark, d, "repo_document").where("lower(relative_path) like '%.py'").select("document_id", "content")
-    return chunking.symbol_chunks(docs, "document_id", "content")
+    """Symbols of the Python files that parse, windows of all other files and of large symbols."""
+    docs = table(spark, d, "repo_document").select("document_id", "relative_path", "content")
+    return chunking.symbol_chunks(docs, "document_id", "relative_path", "content")
 
 
 @query()

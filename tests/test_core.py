@@ -152,6 +152,17 @@ def test_windows_and_sections_of_edge_texts(spark):
     assert sections == [(1, "A", "# A\ntext"), (2, "B", "## B\n#no")]
 
 
+def test_every_file_gives_chunks(spark):
+    long = "def f():\n" + "    x = 1\n" * 129
+    rows = [(1, "a.go", "x\n" * 60), (2, "b.py", "def ("), (3, "c.py", "x = 1\n"), (4, "d.py", long), (5, "e.js", "y" * 8000 + "\nz\n"), (6, None, "q"), (7, "g.py", None), (8, "h.c", "")]
+    df = spark.createDataFrame(rows, "id int, path string, content string")
+    got = sorted((r.id, r.symbol_type, r.start_line, r.end_line) for r in chunking.symbol_chunks(df, "id", "path", "content").collect())
+    assert got == [
+        (1, "text_block", 1, 50), (1, "text_block", 41, 60), (2, "text_block", 1, 1), (3, "text_block", 1, 1), (4, "function_part", 1, 50), (4, "function_part", 41, 90), (4, "function_part", 81, 130),
+        (5, "text_block", 1, 1), (5, "text_block", 2, 2), (6, "text_block", 1, 1),
+    ]
+
+
 def test_python_symbols():
     source = '"""Doc."""\n@x\ndef f():\n    def inner(): pass\n\nclass A:\n    def m(self): pass\n    class B:\n        async def n(self): pass\n'
     assert [s[:2] for s in chunking.python_symbols(source)] == [("module_docstring", "module"), ("function", "f"), ("class", "A"), ("method", "A.m"), ("class", "A.B"), ("method", "A.B.n")]
