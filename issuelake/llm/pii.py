@@ -125,7 +125,10 @@ AFTER_NUMBER = re.compile(
 BOX = re.compile(rf"(?<![\w.-])p\.?[ ]?o\.?[ ]?box[ ]+\d+{NEXT}(?P<city1>{CITY})(?:[ ]\d{{4,6}}(?!\d))?(?![\w-])", re.I)
 STREET_ENDS = ("str. ", "straße ", "strasse ", "weg ", "platz ", "allee ", "gasse ", "ring ", "damm ", "ufer ", "steig ")
 STREET = re.compile(rf"(?<![\w.-])[^\W\d_][\w'’-]*?(?:str\.|stra(?:ß|ss)e|weg|platz|allee|gasse|ring|damm|ufer|steig)[ ]\d{{1,4}}[ ]?[a-z]?{NEXT}(?:[A-Z]-)?(?:\d{{4,5}}[ ])?(?P<city1>{CITY})(?![\w-])", re.I)
-LABEL_PARTS = ("ssn", "sec", "insur", "nino", "ni ", "ni:", "ni=", "ni\t", "national", "personal", "citizen", "identity", "id card", "dni", "nif", "nie", "documento", "tax", "tin", "steuer", "pass", "document", "licen", "führerschein", "permis", "sécurit", "securit", "nir", "bsn", "cpf", "curp", "aadhaar", "pesel")
+LABEL_PARTS = ("ssn", "sec", "insur", "nino", "national", "personal", "citizen", "identity", "dni", "nif", "nie", "documento", "tax", "tin", "steuer", "pass", "document", "licen", "führerschein", "permis", "sécurit", "securit", "nir", "bsn", "cpf", "curp", "aadhaar", "pesel")
+#: The labels without a part of their own, and the spellings of "at" in brackets.
+SHORT_LABELS = re.compile(r"(?<![\w-])(?:ni(?![a-z])|id\s+card)", re.I)
+BRACKETED_AT = re.compile(r"[\[(]\s?at\s?[\])]", re.I)
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 BEFORE_TITLE = re.compile(r"(?<!\w)([^\W\d_]+)\.?[ \t]+$")
 BEFORE_INITIAL = re.compile(r"(?<![\w.])[^\W\d_]\.[ \t]+$")
@@ -299,10 +302,10 @@ def find_spans(text: str, names: Names, username: str | None = None) -> list[tup
     """(start, end, type), in order and without overlaps. `username` is the writer's own, looked for where it is one."""
     proposals = []
     low = text.lower()
-    if "@" in low or (" at " in low and " dot " in low) or "at)" in low or "at]" in low or "at )" in low or "at ]" in low:
+    if "@" in low or (" at " in low and " dot " in low) or BRACKETED_AT.search(text):
         proposals += [(s, e, sc, "EMAIL") for s, e, sc in propose_emails(text)]
     proposals += [(s, e, sc, "ADDRESS") for s, e, sc in propose_addresses(text, low)]
-    if any(x in low for x in LABEL_PARTS):
+    if any(x in low for x in LABEL_PARTS) or SHORT_LABELS.search(text):
         proposals += [(s, e, sc, "ID_NUMBER") for s, e, sc in propose_ids(text)]
     proposals += [(s, e, sc, "PHONE") for s, e, sc in propose_phones(text)]
     proposals += [(s, e, sc, "NAME") for s, e, sc in propose_names(text, names, [p[:2] for p in proposals if p[3] == "EMAIL" and p[2] >= ACCEPT])]

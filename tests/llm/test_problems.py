@@ -331,6 +331,15 @@ def test_spans(names, text, want):
     assert [(k, text[s:e]) for s, e, k in pii.find_spans(text, names, "own-name1")] == want
 
 
+@pytest.mark.parametrize("text", ['{"ni": "QQ123456C"}', "NI#QQ123456C", "NI\nQQ123456C", "NI\u00a0QQ123456C", "id\ncard 12345678", "id  card: 12345678", "ann[at\t]example[dot]org"])
+def test_gates_are_no_narrower_than_their_patterns(names, text):
+    ungated = {(s, e, kind) for f, kind in ((pii.propose_ids, "ID_NUMBER"), (pii.propose_emails, "EMAIL")) for s, e, score in f(text) if score >= pii.ACCEPT}
+    assert ungated <= set(pii.find_spans(text, names))
+    low = text.lower()
+    if pii.ID_NUMBER.search(text):
+        assert any(x in low for x in pii.LABEL_PARTS) or pii.SHORT_LABELS.search(text)
+
+
 def test_validators():
     assert pii.luhn("4111111111111111") and not pii.luhn("4111111111111112") and not pii.luhn("")
     assert pii.mod97("WEST12345698765432" + "GB82".replace("GB", "1611")) and not pii.mod97("1234")
