@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from issuelake.session import cut_lineage
 
+#: A node with this fraction of all rows or more is joined by a broadcast; at most so many nodes are.
+HEAVY = 1_000
+
 
 def hash_to_min(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Label every node of an undirected graph with the least node of its component.
@@ -19,10 +22,12 @@ def hash_to_min(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     least member m and sends m to every other member, until nothing changes.
     The clusters are rows (node, member), so the cluster of a least node may
     hold a third of all rows and still is spread over tasks: no round collects
-    a cluster, its minimum is a partially aggregated `min`, and the join that
-    hands the minimum back is split by AQE where one node is hot. Rounds grow
-    with the logarithm of the diameter. Each round is cut by a reliable
-    checkpoint, and the change test is one aggregated row.
+    a cluster, and its minimum is a partially aggregated `min`. The minimum is
+    handed back without moving the rows of a node that holds a HEAVY-th of all
+    rows or more: there are at most HEAVY of these, whatever the input, and
+    they are broadcast; the other nodes join on their key. Rounds grow with the
+    logarithm of the diameter. Each round is cut by a reliable checkpoint, and
+    the change test is one aggregated row.
     """
     pairs = edges.select(F.col("a"), F.col("b")).where("a is not null and b is not null")
     state = cut_lineage(
@@ -34,8 +39,12 @@ def hash_to_min(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     )
     seen = _fingerprint(state)
     for _ in range(max_rounds):
-        least = state.groupBy("node").agg(F.min("member").alias("least"))
-        held = state.join(least, "node")
+        least = state.groupBy("node").agg(F.min("member").alias("least"), F.count("*").alias("held"))
+        # nodes with a share of 1 / HEAVY of the rows: HEAVY of them at most
+        heavy = least.where(F.col("held") * HEAVY >= F.lit(seen[0])).select(F.col("node").alias("big"), F.col("least").alias("of_big"))
+        marked = state.join(F.broadcast(heavy), F.col("node") == F.col("big"), "left")
+        rest = marked.where("big is null").select("node", "member").join(least.where(F.col("held") * HEAVY < F.lit(seen[0])), "node")
+        held = marked.where("big is not null").select("node", "member", F.col("of_big").alias("least")).union(rest.select("node", "member", "least"))
         state = cut_lineage(
             held.select(
                 F.explode(

@@ -117,13 +117,13 @@ ORACLES: dict[str, str] = {
     """,
     "p2_found": r"""
         WITH RECURSIVE k AS (
-            SELECT record_id,
-                regexp_replace(replace(lower(trim(repo_name, ' ' || chr(9) || chr(10) || chr(13))), '%2f', '/'), '^([a-z]+://[^/]*/|[^/@]+@[^/:]+:)(repos/)?', '') AS r,
-                regexp_extract(lower(dataset_id), '(^|[^0-9a-z])([0-9a-f]{12})($|[^0-9a-z])', 2) AS d
-            FROM dataset_record
+            SELECT record_id, lower(trim(repo_name, ' ' || chr(9) || chr(10) || chr(13))) AS r, regexp_extract_all(lower(dataset_id), '[0-9a-z]+') AS runs FROM dataset_record
         ), m AS (
-            SELECT record_id, CASE WHEN d <> '' THEN '1' || d END AS d,
-                CASE WHEN r NOT IN ('n/a') AND regexp_matches(r, '^[a-z0-9][a-z0-9_.-]*/[a-z0-9_.-]+') THEN '0' || regexp_replace(regexp_extract(r, '^[a-z0-9][a-z0-9_.-]*/[a-z0-9_.-]+'), '\.git$', '') END AS r
+            SELECT record_id,
+                -- owner and name stand behind host and "repos", if there are any
+                CASE WHEN r NOT IN ('n/a', 'none/none', 'unknown/unknown') THEN '0' || nullif(regexp_replace(regexp_extract(replace(r, '%2f', '/'), '^([a-z]+://[^/]+/(?:repos/)?|[^/@]+@[^/:]+:)?([a-z0-9][a-z0-9_.-]*/[a-z0-9_.-]+)', 2), '\.git$', ''), '') END AS r,
+                -- twelve hexadecimal digits that are not all the same are an id, one digit repeated is a filler
+                '1' || list_filter(runs, lambda x: length(x) = 12 AND regexp_full_match(x, '[0-9a-f]*') AND replace(x, x[1], '') <> '')[1] AS d
             FROM k
         ), e AS (
             SELECT DISTINCT coalesce(r, d) AS a, coalesce(d, r) AS b FROM m WHERE r IS NOT NULL OR d IS NOT NULL

@@ -37,10 +37,10 @@ def repository_key(value: Column) -> Column:
 
 
 def dataset_key(value: Column) -> Column:
-    """The twelve hexadecimal digits of a dataset id in lower case, whatever surrounds them; null without exactly one such run."""
-    v = F.lower(value)
-    hexes = F.regexp_extract(v, r"(?:^|[^0-9a-z])([0-9a-f]{12})(?:$|[^0-9a-z])", 1)
-    return F.when(hexes != "", hexes)
+    """The twelve hexadecimal digits of a dataset id in lower case, whatever surrounds them; null without exactly one such run, or where all its digits are the same, which is a filler."""
+    runs = F.array_distinct(F.regexp_extract_all(F.lower(value), F.lit(r"(?<![0-9a-z])([0-9a-f]{12})(?![0-9a-z])"), F.lit(1)))
+    only = F.when(F.size(runs) == 1, runs[0])
+    return F.when(~only.rlike(r"^(.)\1*$"), only)
 
 
 def related_groups(records: DataFrame, id_col: str = "record_id", repo_col: str = "repo_name", dataset_col: str = "dataset_id") -> DataFrame:
@@ -68,45 +68,42 @@ def related_groups(records: DataFrame, id_col: str = "record_id", repo_col: str
     return out.withColumn("group_key", F.when(F.col("component").startswith("0"), F.substring("component", 2, 1_000_000)))
 
 
-def rendezvous(key: Column, shares: Mapping[str, float], seed: int = 7) -> Column:
-    """The split that wins the weighted rendezvous for `key`: the largest of -weight / ln(u), u hashed from key and split."""
-    live = [(name, w) for name, w in sorted(shares.items()) if w > 0]
-    if not live:
-        raise ValueError("no split has a positive share")
+def rendezvous(key: Column, weights: Mapping[str, Column], seed: int = 7) -> Column:
+    """The split that wins the weighted rendezvous for `key`: the largest of -weight / ln(u), u hashed from key and split; splits without a positive weight do not bid."""
     bids = []
-    for name, w in live:
+    for name, w in sorted(weights.items()):
         u = (F.pmod(F.xxhash64(key, F.lit(name), F.lit(seed)), F.lit(1 << 52)) + F.lit(1.0)) / F.lit(float((1 << 52) + 2))
-        bids.append(F.struct((F.lit(-float(w)) / F.log(u)).alias("bid"), F.lit(name).alias("split")))
+        bids.append(F.when(w > 0, F.struct((-w / F.log(u)).alias("bid"), F.lit(name).alias("split"))))
     return (F.greatest(*bids) if len(bids) > 1 else bids[0])["split"]
 
 
-def grouped_splits(records: DataFrame, shares: Mapping[str, float] = SHARES, heavy_share: float = 0.001, seed: int = 7, id_col: str = "record_id", repo_col: str = "repo_name", dataset_col: str = "dataset_id") -> DataFrame:
+def grouped_splits(records: DataFrame, shares: Mapping[str, float] = SHARES, seed: int = 7, id_col: str = "record_id", repo_col: str = "repo_name", dataset_col: str = "dataset_id") -> DataFrame:
     """id, component, group_key, split: every component goes to one split as a whole.
 
-    Components are assigned by weighted rendezvous hashing, so adding records
-    elsewhere does not move them. Rendezvous meets the shares over many small
-    components only; a component with `heavy_share` of all rows or more (there
-    are at most 1 / heavy_share of them, whatever the input) is given, largest
-    first, to the split that is furthest below its share, and the rendezvous
-    weights of all others are what the heavy ones leave free.
+    One rule holds for all components: weighted rendezvous hashing, so that a
+    component moves only if the weights change, and then no more of them move
+    than the change asks for. Rendezvous meets given shares over many
+    components alone; therefore components are taken by the powers of two of
+    their sizes, the largest first, the weight of a split is the room that the
+    larger ones left in it, and a split bids only for what it has room for;
+    where none has, the splits bid with their shares. Components of one power
+    of two bid at once, so their own chance is not made up for by each other
+    but by the smaller ones. There is one small aggregate for each power of two
+    that occurs, at most the logarithm of the number of rows.
     """
+    whole = float(sum(w for w in shares.values() if w > 0))
+    if not whole:
+        raise ValueError("no split has a positive share")
     groups = cut_lineage(related_groups(records, id_col, repo_col, dataset_col))
-    sizes = groups.groupBy("component").agg(F.count("*").alias("n"))
-    total = groups.count()
-    heavy = [] if not total else sizes.where(F.col("n") >= F.lit(heavy_share * total)).orderBy(F.desc("n"), "component").collect()
-    whole = sum(shares.values())
-    room = {k: v / whole * total for k, v in sorted(shares.items())}
-    fixed: dict[str, str] = {}
-    for r in heavy:
-        best = max(room, key=lambda k: (room[k], k))
-        fixed[r["component"]] = best
-        room[best] -= r["n"]
-    weights = {k: max(v, 0.0) for k, v in room.items()}
-    if not any(w > 0 for w in weights.values()):
-        weights = dict(shares)
-    split = rendezvous(F.col("component"), weights, seed)
-    if fixed:
-        chosen = groups.sparkSession.createDataFrame(list(fixed.items()), "component string, fixed string")
-        groups = groups.join(F.broadcast(chosen), "component", "left")  # at most 1 / heavy_share rows
-        split = F.coalesce("fixed", split)
-    return groups.select(id_col, "component", "group_key", split.alias("split"))
+    sizes = stored(groups.groupBy("component").agg(F.count("*").alias("n")).withColumn("power", F.floor(F.log2("n")).cast("int")))
+    powers = {r["power"]: r["n"] for r in sizes.groupBy("power").agg(F.sum("n").alias("n")).collect()}
+    room = {k: max(w, 0.0) / whole * sum(powers.values()) for k, w in sorted(shares.items())}
+    chosen = F.lit(None).cast("string")
+    for power in sorted(powers, reverse=True):
+        fits = {k: F.when(F.col("n") <= F.lit(room[k]), F.lit(room[k])).otherwise(0.0) for k in room}
+        split = F.coalesce(rendezvous(F.col("component"), fits, seed), rendezvous(F.col("component"), {k: F.lit(float(max(w, 0.0))) for k, w in shares.items()}, seed))
+        chosen = F.when(F.col("power") == power, split).otherwise(chosen)
+        if power:
+            for r in sizes.where(F.col("power") == power).groupBy(split.alias("split")).agg(F.sum("n").alias("n")).collect():
+                room[r["split"]] -= r["n"]
+    return groups.join(sizes.select("component", chosen.alias("split")), "component").select(id_col, "component", "group_key", "split")

@@ -123,7 +123,8 @@ def test_repository_and_dataset_keys(spark):
     ]
     got = spark.createDataFrame(rows, "v string, want string").select("want", splits.repository_key(F.col("v")).alias("got")).collect()
     assert [r.got for r in got] == [r.want for r in got]
-    ids = [("ds_raw_0123456789ab", "0123456789ab"), (" DS-RAW-0123456789AB\n", "0123456789ab"), ("0123456789ab", "0123456789ab"), ("0123456789abc", None), ("unknown", None), (None, None)]
+    ids = [("ds_raw_0123456789ab", "0123456789ab"), (" DS-RAW-0123456789AB\n", "0123456789ab"), ("0123456789ab", "0123456789ab"), ("0123456789abc", None), ("unknown", None), (None, None),
+           ("gn_raw_000000000000", None), ("FFFFFFFFFFFF", None), ("ds_0123456789ab_ba9876543210", None), ("0123456789ab/0123456789AB", "0123456789ab"), ("000000000001", "000000000001")]
     got = spark.createDataFrame(ids, "v string, want string").select("want", splits.dataset_key(F.col("v")).alias("got")).collect()
     assert [r.got for r in got] == [r.want for r in got]
 
@@ -141,6 +142,24 @@ def test_splits_keep_groups_and_shares(spark):
     assert splits.grouped_splits(df.limit(0)).count() == 0
 
 
+def test_fillers_join_nothing(spark):
+    rows = [(i, f"o/r{i}", "gn_raw_000000000000") for i in range(5)] + [(10, "unknown", "0123456789ab"), (11, "o/r1", "0123456789AB"), (12, "-", "000000000000"), (13, None, "ds-0123456789ab")]
+    df = spark.createDataFrame(rows, "record_id bigint, repo_name string, dataset_id string")
+    got = {r.record_id: r.group_key for r in splits.related_groups(df).collect()}
+    assert got == {**{i: f"o/r{i}" for i in range(5)}, 10: "o/r1", 11: "o/r1", 12: None, 13: "o/r1"}
+
+
+def test_splits_meet_their_shares_around_a_component_of_a_third(spark):
+    rows = [(i, "big/one", None) for i in range(1500)] + [(i, f"mid/r{i % 20}", None) for i in range(1500, 2700)] + [(i, f"o/r{i}", None) for i in range(2700, 4500)]
+    df = spark.createDataFrame(rows, "record_id bigint, repo_name string, dataset_id string")
+    out = splits.grouped_splits(df).collect()
+    share = Counter(r.split for r in out)
+    assert abs(share["train"] / 4500 - 0.7) < 0.03 and abs(share["test"] / 4500 - 0.15) < 0.03
+    # one record more moves few of the others
+    more = {r.record_id: r.split for r in splits.grouped_splits(df.union(spark.createDataFrame([(9999, "new/one", None)], df.schema))).collect()}
+    assert sum(more[r.record_id] != r.split for r in out) <= 45
+
+
 # ------------------------------------------------------------------ 3 cutting
 
 
