@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from issuelake.session import cut_lineage
+from issuelake.session import stored
 
 #: More common words than this are refused rather than sent to every task.
 MOST_WORDS = 100_000
@@ -28,6 +28,13 @@ COLUMNS = re.compile(r"\S(?: {2,}|\t+)(?=\S)")
 STOPS, PAUSES, CLOSERS = frozenset(".!?…。！？"), frozenset(":;"), "'\")]»”’*_`"
 PARTS = re.compile(r"\s*[;·•|]\s+|,\s+|\s+/\s+")
 MIXED = re.compile(r"[A-Za-z]\d+[A-Za-z]|\d[A-Za-z]{1,3}\d")
+SENTENCES = re.compile(r"[.!?]+\s+|[\r\n]+")
+#: What a reader takes for a word or a number, between signs at its edges; and what parts tokens, or only draws lines.
+READABLE = re.compile(r"[^\W\d_]+(?:['’._/-]+[^\W\d_]+)*|[+-]?\d+(?:[.,:/-]\d+)*(?:%|[^\W\d_]{1,3})?")
+APART = re.compile(r"[|│┃║,;/]+")
+DRAWN = frozenset("&\\-=|+:_*~#>.`─━═│┃║┌┐└┘├┤┬┴┼╔╗╚╝╠╣╦╩╬,;/")
+BOXES = frozenset("─━═│┃║┌┐└┘├┤┬┴┼╔╗╚╝╠╣╦╩╬")
+EDGES = "'\"([{<«„“”‘’»>}]).,:;!?*_`~=+-"
 PAIRS = 27
 
 
@@ -89,7 +96,7 @@ def _items_of(line: str, common: dict[str, tuple[str, ...]]) -> float:
     """Share of a single line taken by items of an enumeration: four or more short parts without sentences in them."""
     for mark in (r"\s*;\s+", r"\s+[·•|/–]\s+", r"\s*,\s+", r"\s+(?=\(?\d{1,2}[.)]\s)"):
         parts = [p for p in re.split(mark, line.strip().rstrip(".")) if p.strip()]
-        if len(parts) >= 4:
+        if len(parts) >= 4 and 2 * len({p.strip().lower() for p in parts}) > len(parts):
             words = [WORD.findall(p.lower()) for p in parts]
             short = sum(1 for w in words if len(w) <= 6 and sum(x in common for x in w) <= len(w) / 3)
             if short >= 0.8 * len(parts):
@@ -119,6 +126,19 @@ def languages_of(common: dict[str, set[str]]) -> dict[str, tuple[str, ...]]:
     return out
 
 
+def _readable(token: str) -> tuple[int, int, int]:
+    """(readable, all, longest) words and numbers of a token that is not plain letters; the parts between bars, commas and slashes count on their own."""
+    bare = token.strip(EDGES)
+    if bare.isalpha():
+        return 1, 1, len(bare)
+    parts = [x for x in APART.split(token) if x and not DRAWN.issuperset(x)]
+    good = 0
+    for x in parts:
+        bare = x.strip(EDGES)
+        good += bool(bare and len(x) - len(bare) <= 4 and READABLE.fullmatch(bare))
+    return good, len(parts), max(map(len, parts), default=0)
+
+
 def statistics(text: str, common: dict[str, tuple[str, ...]], pair_scores: np.ndarray) -> dict:
     """The statistics of one text, rounded to four digits; see document_statistics."""
     lines = [x for x in EOL.split(text) if x.strip()]
@@ -137,24 +157,38 @@ def statistics(text: str, common: dict[str, tuple[str, ...]], pair_scores: np.nd
     lang = max(sorted(shares), key=lambda k: shares[k], default="")
     best = shares.get(lang, 0) / n if n else 0.0
     chars = _characters(text)
-    solid = symbols = foreign = most = 0
+    solid = symbols = most = 0
     for c, count in chars.items():
         if c.isspace():
             continue
         solid += count
-        most = max(most, count)
-        if c.isalpha():
-            foreign += count if ord(c) > 127 else 0
-        elif not c.isalnum():
+        if count > most and c not in BOXES:
+            most = count
+        if not c.isalnum():
             symbols += count
     solid = solid or 1
     codes = letter_codes(text)
     inner = (codes[:-1] > 0) & (codes[1:] > 0)
     pairs = codes[:-1][inner].astype(np.intp) * PAIRS + codes[1:][inner]
-    tokens = text.split()
-    mixed = sum(1 for t in tokens if not t[:-1].isalpha() and MIXED.search(t))
+    mixed = seen = readable = longest = 0
+    tokens = (TAGS.sub(" ", text) if "<" in text else text).split()
+    for t in tokens:
+        if t.isalpha() or t[:-1].isalpha():
+            seen += 1
+            readable += 1
+        else:
+            good, of, most_of = _readable(t)
+            seen += of
+            readable += good
+            mixed += bool(MIXED.search(t))
+            if most_of > longest and t.isascii():
+                longest = most_of
+            continue
+        if len(t) > longest and t.isascii():
+            longest = len(t)
     marked = sum(1 for x in bare if MARKER.match(x) and not RULE.fullmatch(x.strip()))
-    cells = max(sum(1 for x in bare if _one_cell_row(x)), _separated_rows(bare))
+    # one line alone is no table, unless it is marked up as one
+    cells = max(sum(1 for x in bare if _one_cell_row(x)), _separated_rows(bare)) if len(bare) > 1 or TAGS.search(text) else 0
     ends = [_ends(x) for x in bare]
     plain = 0
     for x, ended in zip(bare, ends):
@@ -165,8 +199,8 @@ def statistics(text: str, common: dict[str, tuple[str, ...]], pair_scores: np.nd
             plain += 1
     in_line = _items_of(bare[0], common) if len(bare) == 1 and listed <= n / 3 else 0.0
     items = max(marked, plain if len(bare) >= 3 else 0) / len(bare) if bare else 0.0
-    said = [x for x in low.replace("\r", "\n").replace("\n", ". ").replace("!", ".").replace("?", ".").split(". ") if x.strip()]
-    again = Counter(said).most_common(1)[0][1] / len(said) if len(said) >= 3 else 0.0
+    said = [x for x in map(str.strip, SENTENCES.split(low)) if x]
+    again = 1 - len(set(said)) / len(said) if len(said) >= 3 else 0.0
     out = {
         "word_count": n,
         "mean_word_length": sum(map(len, words)) / n if n else 0.0,
@@ -176,22 +210,31 @@ def statistics(text: str, common: dict[str, tuple[str, ...]], pair_scores: np.nd
         "marker_share": marked / len(bare) if bare else 0.0,
         "item_share": max(items, in_line),
         "cell_share": cells / len(bare) if bare else 0.0,
-        "pair_score": float(pair_scores[pairs].mean()) if len(pairs) else 0.0,
+        "pair_score": float(pair_scores[pairs].mean()) if len(pairs) else None,
         "mixed_share": mixed / len(tokens) if tokens else 0.0,
-        "longest_word": float(max(map(len, tokens), default=0)),
-        "repeat_share": max(again, most / solid),
+        "longest_token": math.log2(longest) if longest else 0.0,
+        "again_share": again,
+        "char_share": most / solid,
+        "readable_share": readable / seen if seen else 0.0,
+        "all_common_share": listed / n if n else 0.0,
         "language": lang if best > 0.02 else "",
         "n_lines": len(bare),
-        "all_common_share": listed / n if n else 0.0,
-        "foreign_letters": foreign / solid,
     }
     return {k: round(v, 4) if isinstance(v, float) else v for k, v in out.items()}
 
 
-#: Statistics whose tail probabilities are combined.
-RANKED = ["mean_word_length", "symbol_ratio", "line_end_share", "common_share", "marker_share", "item_share", "cell_share", "pair_score", "repeat_share", "mixed_share", "longest_word"]
-DOUBLES = [*RANKED, "all_common_share"]
+#: Statistics whose tails are combined: which side is the odd one, and the least scale on which a difference counts.
+RANKED = {
+    "readable_share": (-1, 0.03), "symbol_ratio": (1, 0.01), "pair_score": (-1, 0.04), "again_share": (1, 0.04), "char_share": (1, 0.02), "mixed_share": (1, 0.02), "longest_token": (1, 0.25), "all_common_share": (1, 0.03),
+}
+DOUBLES = ["mean_word_length", "line_end_share", "common_share", "marker_share", "item_share", "cell_share", *RANKED]
 WHOLE = ("word_count", "n_lines")
+#: The body of a distribution ends at its last fifth; half of the texts lie before its middle.
+MIDDLE, BODY = 0.5, 0.8
+#: Summed -ln of tail probabilities, beyond that of the body's end, from which a text is junk.
+JUNK = 10.0
+#: A language of fewer distinct texts is measured by all texts.
+LEAST_RANKED = 50
 
 
 def letter_pair_scores(docs: DataFrame, text_col: str) -> np.ndarray:
@@ -217,8 +260,8 @@ def letter_pair_scores(docs: DataFrame, text_col: str) -> np.ndarray:
     return scores.ravel()
 
 
-def tail_probabilities(values: DataFrame) -> DataFrame:
-    """grp, stat, value, tail for every distinct value: the smaller of the shares of values up to and from it. Exact.
+def exact_ranks(values: DataFrame) -> DataFrame:
+    """grp, stat, value, upto, total for every distinct value: how many values there are up to it, and in all. Exact.
 
     `values` has grp, stat, value. Equal values are counted first, so ties,
     even those of a third of all rows, are one row. The distinct values are
@@ -227,33 +270,32 @@ def tail_probabilities(values: DataFrame) -> DataFrame:
     No group is sorted in one task.
     """
     counted = values.groupBy("grp", "stat", "value").agg(F.count("*").alias("c"))
-    placed = cut_lineage(counted.repartitionByRange("grp", "stat", "value").withColumn("pid", F.spark_partition_id()))
+    placed = stored(counted.repartitionByRange("grp", "stat", "value").withColumn("pid", F.spark_partition_id()))
     part = placed.groupBy("grp", "stat", "pid").agg(F.sum("c").alias("held"))
     whole = Window.partitionBy("grp", "stat")
     offsets = part.select(
         "grp", "stat", "pid",
         (F.sum("held").over(whole.orderBy("pid")) - F.col("held")).alias("offset"), F.sum("held").over(whole).alias("total"),
     )
-    upto = F.sum("c").over(Window.partitionBy("pid", "grp", "stat").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
-    ranked = placed.withColumn("upto", upto).join(offsets, ["grp", "stat", "pid"])
-    le = F.col("offset") + F.col("upto")
-    ge = F.col("total") - le + F.col("c")
-    return ranked.select("grp", "stat", "value", (F.least(le, ge) / F.col("total")).alias("tail"))
-
-
-def kind_rules():
-    """What the statistics of a text tell: garbage first, then rows of cells, then items, then words without sense."""
-    c = F.col
-    odd_symbols = (c("symbol_ratio") > 0.97) | ((c("symbol_ratio") > 0.85) & (c("cell_share") <= 0.5)) | ((c("symbol_ratio") > 0.2) & (c("n_lines") < 3))
-    encoded = ((c("mixed_share") > 0.2) & (c("all_common_share") < 0.1)) | ((c("longest_word") >= 60) & (c("all_common_share") < 0.02) & (c("cell_share") <= 0.5) & (c("n_lines") < 3))
-    return (
-        F.when(odd_symbols | (c("repeat_share") >= F.when(c("cell_share") > 0.5, 0.9).otherwise(0.5)), "junk")
-        .when(c("cell_share") > 0.5, "table")
-        .when(c("marker_share") > 0.5, "list")
-        .when((c("all_common_share") > 0.75) & (c("word_count") >= 8), "junk")
-        .when(encoded | (c("pair_score") < -6.3) | (c("symbol_ratio") > 0.2), "junk")
-        .when(c("item_share") > 0.5, "list")
-    )
+    within = F.sum("c").over(Window.partitionBy("pid", "grp", "stat").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = placed.withColumn("within", within).join(F.broadcast(offsets), ["grp", "stat", "pid"])
+    return ranked.select("grp", "stat", "value", (F.col("offset") + F.col("within")).alias("upto"), "total")
+
+
+def tail_scales(ranks: DataFrame) -> DataFrame:
+    """grp, stat, total, body, scale: where the body of a statistic ends, and what -ln of the tail probability grows by one on.
+
+    The empirical tail probabilities of the middle and of the body's end tell
+    how fast the tail falls. What lies beyond the body is given the tail that
+    the body foretells, since the empirical one is made by the very texts that
+    are looked for: many junk texts would make each of them look usual.
+    """
+    reach = lambda share: F.min(F.when(F.col("upto") >= F.col("total") * share, F.col("value")))
+    found = ranks.groupBy("grp", "stat").agg(F.max("total").alias("total"), reach(MIDDLE).alias("middle"), reach(BODY).alias("body"))
+    least = F.lit(0.0)
+    for stat, (_, scale) in RANKED.items():
+        least = F.when(F.col("stat") == stat, scale).otherwise(least)
+    return found.select("grp", "stat", "total", "body", F.greatest((F.col("body") - F.col("middle")) / math.log((1 - MIDDLE) / (1 - BODY)), least).alias("scale"))
 
 
 def document_statistics(docs: DataFrame, common_words: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -262,22 +304,33 @@ def document_statistics(docs: DataFrame, common_words: DataFrame, id_col: str =
     word_count: runs of letters. mean_word_length: their letters. symbol_ratio:
     neither letter, digit nor white space among what is not white space.
     line_end_share: non-blank lines that end a sentence. common_share: words
-    among the common words of the document's language. marker_share, item_share
-    and cell_share: lines that begin with a bullet or number, that are short and
-    without a sentence, that are rows of cells. pair_score: mean log probability
-    of the letter pairs, as counted over the distinct texts. repeat_share: the most
-    frequent sentence or character. mixed_share: tokens with letters and digits
-    mixed. longest_word: characters of the longest token. Shares are rounded to
-    four digits.
+    among the common words of the document's language; all_common_share: of any
+    language. marker_share, item_share and cell_share: lines that begin with a
+    bullet or number, that are short and without a sentence, that are rows of
+    cells. pair_score: mean log probability of the letter pairs, as counted over
+    the distinct texts. again_share: sentences that stood there before.
+    char_share: the most frequent character. readable_share: tokens that are
+    words or numbers. mixed_share: tokens with letters and digits mixed.
+    longest_token: binary logarithm of the characters between white space, bars,
+    commas and slashes. Frames of tables are no characters here. All rounded to four digits.
 
     language is the one with most common words, if that is a tenth of all
-    words; else what lang_col says, if known; else null. Each statistic gets its
-    exact tail probability among the distinct texts, within its language and
-    over all; outlier_score is the larger of the two sums of -ln(tail). The kind
-    follows from the statistics of the text alone, however common such texts
-    are: 'table', 'list' or 'junk'; all else is 'prose'. Null, empty and blank texts have no statistics, score or kind and
-    count in no rank. Every input row gives one row, repeated ids and null ids
-    too. An empty table gives no rows. Columns beside the three are not read.
+    words; else what lang_col says, if known; else null.
+
+    Texts of which most lines are rows of cells, else items, are candidates for
+    'table' and 'list'; all others are running text. Each text is then ranked
+    among its like: the distinct texts of its language, for running text, or
+    the candidates of its form. The exact ranks give the tail probabilities of
+    each statistic of RANKED, on its odd side; beyond the body of the
+    distribution the tail is carried on as tail_scales says. outlier_score sums
+    -ln(tail / tail at the end of the body) over the statistics. From JUNK on
+    the text is 'junk', whatever its form; below, a candidate is what it is a
+    candidate for, and running text is 'prose'. A text copied into any share of
+    the rows is one text and moves no rank.
+
+    Null, empty and blank texts have no statistics, score or kind and count in
+    no rank. Every input row gives one row, repeated ids and null ids too. An
+    empty table gives no rows. Columns beside the three are not read.
     """
     listed = common_words.select(F.lower("lang"), F.lower("word")).where("lang is not null and word is not null").distinct().limit(MOST_WORDS + 1).collect()
     if len(listed) > MOST_WORDS:
@@ -301,19 +354,27 @@ def document_statistics(docs: DataFrame, common_words: DataFrame, id_col: str =
             )
 
     schema = ", ".join([f"`{id_col}` {kind}", "digest binary", "language string", *[f"{c} bigint" for c in WHOLE], *[f"{c} double" for c in DOUBLES]])
-    stats = cut_lineage(source.mapInArrow(run, schema))
+    form = F.when(F.col("cell_share") > 0.5, "table").when((F.col("marker_share") > 0.5) | (F.col("item_share") > 0.5), "list")
+    stats = stored(source.mapInArrow(run, schema).withColumn("form", form))
     # copies are one text, and count once over all and once in each language that they are given
-    texts = stats.where("digest is not null").select("digest", "language", *RANKED).dropDuplicates(["digest", "language"])
-    texts = texts.withColumn("first", F.row_number().over(Window.partitionBy("digest").orderBy("language")) == 1)
+    texts = stats.where("digest is not null").select("digest", "language", "form", *RANKED).dropDuplicates(["digest", "language"])
+    first = F.row_number().over(Window.partitionBy("digest").orderBy("language")) == 1
+    groups = F.array_compact(F.array(F.when(first, "*"), F.concat(F.lit("lang:"), "language"), F.when(first, F.concat(F.lit("form:"), "form"))))
     long = (
-        texts.select("digest", F.explode(F.array_compact(F.array(F.when(F.col("first"), "*"), F.col("language")))).alias("grp"), *RANKED)
-        .select("digest", "grp", F.explode(F.array(*[F.struct(F.lit(c).alias("stat"), F.col(c).alias("value")) for c in RANKED])).alias("x"))
-        .select("digest", "grp", "x.stat", "x.value")
+        texts.select(groups.alias("grps"), *RANKED).select(F.explode("grps").alias("grp"), *RANKED)
+        .select("grp", F.explode(F.array(*[F.struct(F.lit(c).alias("stat"), (F.col(c) * side).alias("value")) for c, (side, _) in RANKED.items()])).alias("x"))
+        .select("grp", "x.stat", "x.value").where("value is not null")
     )
-    tails = tail_probabilities(long.select("grp", "stat", "value"))
-    summed = long.join(tails, ["grp", "stat", "value"]).groupBy("digest", "grp").agg(F.sum(-F.log("tail")).alias("s"))
-    over_all = F.max(F.when(F.col("grp") == "*", F.col("s"))).over(Window.partitionBy("digest"))
-    outliers = summed.select("digest", F.col("grp").alias("within"), F.round(F.greatest("s", over_all), 6).alias("outlier_score"))
-    told = F.when(F.col("n_lines").isNotNull(), F.coalesce(kind_rules(), F.lit("prose")))
-    scored = stats.withColumn("within", F.coalesce("language", F.lit("*"))).join(outliers, ["digest", "within"], "left")
-    return scored.withColumn("kind", told).drop("digest", "within", "all_common_share")
+    # one row for each language and form: as many as the list of common words has languages, and three
+    scales = tail_scales(exact_ranks(long)).groupBy("grp").agg(F.max("total").alias("texts"), *[F.max(F.when(F.col("stat") == c, F.struct("body", "scale"))).alias(f"{c}_tail") for c in RANKED])
+    usable = stored(scales.where((F.col("texts") >= LEAST_RANKED) | ~F.col("grp").startswith("lang:")))
+    large = F.broadcast(usable.where("grp like 'lang:%'").select("grp"))
+    placed = stats.join(large.withColumnRenamed("grp", "known"), F.concat(F.lit("lang:"), "language") == F.col("known"), "left")
+    placed = placed.withColumn("within", F.coalesce(F.concat(F.lit("form:"), "form"), F.col("known"), F.lit("*"))).join(F.broadcast(usable.withColumnRenamed("grp", "within").drop("texts")), "within", "left")
+    beyond = [F.coalesce(F.greatest(F.lit(0.0), (F.col(c) * side - F.col(f"{c}_tail")["body"]) / F.col(f"{c}_tail")["scale"]), F.lit(0.0)) for c, (side, _) in RANKED.items()]
+    score = beyond[0]
+    for x in beyond[1:]:
+        score = score + x
+    told = F.when(F.col("outlier_score") >= JUNK, "junk").otherwise(F.coalesce("form", F.lit("prose")))
+    scored = placed.withColumn("outlier_score", F.when(F.col("n_lines").isNotNull(), F.round(score, 6)))
+    return scored.withColumn("kind", F.when(F.col("n_lines").isNotNull(), told)).select(id_col, "language", *WHOLE, *DOUBLES, "outlier_score", "kind")

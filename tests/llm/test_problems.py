@@ -467,13 +467,18 @@ def test_packing_places_everything_once(spark):
 # ------------------------------------------------------------------ 8 quality
 
 
-def test_tails_are_exact(spark):
+def test_ranks_are_exact_and_give_the_tails(spark):
     rng = random.Random(2)
-    rows = [(rng.choice("ab"), rng.choice("xy"), round(rng.choice([0.0, rng.random()]), 2)) for _ in range(800)]
-    got = {(r.grp, r.stat, r.value): r.tail for r in quality.tail_probabilities(spark.createDataFrame(rows, "grp string, stat string, value double")).collect()}
+    stats = list(quality.RANKED)[:2]
+    rows = [(rng.choice("ab"), rng.choice(stats), round(rng.choice([0.0, rng.random()]), 2)) for _ in range(800)]
+    ranks = quality.exact_ranks(spark.createDataFrame(rows, "grp string, stat string, value double"))
+    got = {(r.grp, r.stat, r.value): (r.upto, r.total) for r in ranks.collect()}
+    scales = {(r.grp, r.stat): r for r in quality.tail_scales(ranks).collect()}
     for g, s, v in set(rows):
-        same = [x for a, b, x in rows if (a, b) == (g, s)]
-        assert got[g, s, v] == pytest.approx(min(sum(x <= v for x in same), sum(x >= v for x in same)) / len(same))
+        same = sorted(x for a, b, x in rows if (a, b) == (g, s))
+        assert got[g, s, v] == (sum(x <= v for x in same), len(same))
+        middle, body = (next(x for x in same if sum(y <= x for y in same) >= p * len(same)) for p in (0.5, 0.8))
+        assert scales[g, s].body == body and scales[g, s].scale == pytest.approx(max((body - middle) / quality.math.log(2.5), quality.RANKED[s][1]))
 
 
 def test_statistics_by_hand():
@@ -517,8 +522,16 @@ def test_kinds_of_texts_copied_into_a_third_of_the_rows(spark, text, kind):
     out = quality.document_statistics(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), table(spark, SMALL, "common_word")).collect()
     assert len(out) == len(rows)
     assert {r.kind for r in out if r.doc_id >= 1000} == {kind} and {r.kind for r in out if r.doc_id < 1000} == {"prose"}
-    # ranked among 121 distinct texts, the copied one is extreme
-    assert min(r.outlier_score for r in out if r.doc_id >= 1000) > len(quality.RANKED)
+    assert all((r.outlier_score >= quality.JUNK) == (kind == "junk") for r in out if r.doc_id >= 1000)
+
+
+def test_tails_decide(spark, monkeypatch):
+    count = lambda: Counter(r.kind for r in queries.p8_found(spark, SMALL).collect())
+    whole = count()
+    assert whole["junk"] > 0
+    monkeypatch.setattr(quality, "JUNK", 1e9)
+    without = count()
+    assert without["junk"] == 0 and sum(without.values()) < sum(whole.values())
 
 
 # ------------------------------------------------------------------ queries
