@@ -126,36 +126,69 @@ def languages_of(common: dict[str, set[str]]) -> dict[str, tuple[str, ...]]:
     return out
 
 
-def _readable(token: str) -> tuple[int, int, int]:
-    """(readable, all, longest) words and numbers of a token that is not plain letters; the parts between bars, commas and slashes count on their own."""
+def token_traits(token: str) -> tuple[int, int, int, int]:
+    """(readable, all, mixed, longest): words and numbers of a token, whether it mixes letters and digits, and the most characters; the parts between bars, commas and slashes count on their own."""
+    n = len(token)
     bare = token.strip(EDGES)
     if bare.isalpha():
-        return 1, 1, len(bare)
+        return 1, 1, 0, n if token.isascii() else 0
     parts = [x for x in APART.split(token) if x and not DRAWN.issuperset(x)]
     good = 0
     for x in parts:
         bare = x.strip(EDGES)
         good += bool(bare and len(x) - len(bare) <= 4 and READABLE.fullmatch(bare))
-    return good, len(parts), max(map(len, parts), default=0)
+    return good, len(parts), int(bool(MIXED.search(token))), max(map(len, parts), default=0) if token.isascii() else 0
 
 
-def statistics(text: str, common: dict[str, tuple[str, ...]], pair_scores: np.ndarray) -> dict:
+class Tokens:
+    """What is known of each token, as rows of numbers: words, their letters, common words of any language and of each, and the traits. Tokens met before are looked up."""
+
+    MOST = 500_000
+
+    def __init__(self, common: dict[str, tuple[str, ...]]):
+        self.common = common
+        self.langs = sorted({x for langs in common.values() for x in langs})
+        self.clear()
+
+    def clear(self) -> None:
+        self.places: dict[str, int] = {}
+        self.rows = np.zeros((1024, 7 + len(self.langs)), dtype=np.int64)
+
+    def place(self, token: str) -> int:
+        """The row of a token not met before."""
+        at = self.places[token] = len(self.places)
+        if at == len(self.rows):
+            self.rows = np.concatenate((self.rows, np.zeros_like(self.rows)))
+        words = WORD.findall(token.lower())
+        hits = [langs for w in words if (langs := self.common.get(w))]
+        self.rows[at] = [len(words), sum(map(len, words)), len(hits), *token_traits(token), *[sum(x in langs for langs in hits) for x in self.langs]]
+        return at
+
+    def sums(self, counts: Counter) -> tuple[list[int], int]:
+        """The rows of the tokens, as often as they occur, added up, the longest token aside."""
+        if not counts:
+            return [0] * self.rows.shape[1], 0
+        if len(self.places) > self.MOST:
+            self.clear()
+        known = self.places.get
+        at = [self.place(t) if (p := known(t)) is None else p for t in counts]
+        held = self.rows[at]
+        return (np.fromiter(counts.values(), dtype=np.int64, count=len(at)) @ held).tolist(), int(held[:, 6].max())
+
+
+def statistics(text: str, tokens: Tokens, pair_scores: np.ndarray) -> dict:
     """The statistics of one text, rounded to four digits; see document_statistics."""
     lines = [x for x in EOL.split(text) if x.strip()]
     bare = [QUOTE.sub("", x, count=1) if x.lstrip().startswith(">") else x for x in lines]
     bare = [x for x in bare if x.strip()] or lines
-    low = text.lower()
-    words = WORD.findall(low)
-    n = len(words)
-    shares: dict[str, int] = {}
-    listed = 0
-    for w, count in Counter(words).items():
-        if langs := common.get(w):
-            listed += count
-            for lang in langs:
-                shares[lang] = shares.get(lang, 0) + count
-    lang = max(sorted(shares), key=lambda k: shares[k], default="")
-    best = shares.get(lang, 0) / n if n else 0.0
+    common = tokens.common
+    # no word goes beyond a token
+    (n, letters, listed, readable, seen, mixed, _, *shares), longest = tokens.sums(counts := Counter(text.split()))
+    if "<" in text and TAGS.search(text):
+        (_, _, _, readable, seen, mixed, *_), longest = tokens.sums(counts := Counter(TAGS.sub(" ", text).split()))
+    most_common = max(shares, default=0)
+    lang = tokens.langs[shares.index(most_common)] if most_common else ""
+    best = most_common / n if n else 0.0
     chars = _characters(text)
     solid = symbols = most = 0
     for c, count in chars.items():
@@ -170,22 +203,6 @@ def statistics(text: str, common: dict[str, tuple[str, ...]], pair_scores: np.nd
     codes = letter_codes(text)
     inner = (codes[:-1] > 0) & (codes[1:] > 0)
     pairs = codes[:-1][inner].astype(np.intp) * PAIRS + codes[1:][inner]
-    mixed = seen = readable = longest = 0
-    tokens = (TAGS.sub(" ", text) if "<" in text else text).split()
-    for t in tokens:
-        if t.isalpha() or t[:-1].isalpha():
-            seen += 1
-            readable += 1
-        else:
-            good, of, most_of = _readable(t)
-            seen += of
-            readable += good
-            mixed += bool(MIXED.search(t))
-            if most_of > longest and t.isascii():
-                longest = most_of
-            continue
-        if len(t) > longest and t.isascii():
-            longest = len(t)
     marked = sum(1 for x in bare if MARKER.match(x) and not RULE.fullmatch(x.strip()))
     # one line alone is no table, unless it is marked up as one
     cells = max(sum(1 for x in bare if _one_cell_row(x)), _separated_rows(bare)) if len(bare) > 1 or TAGS.search(text) else 0
@@ -199,11 +216,11 @@ def statistics(text: str, common: dict[str, tuple[str, ...]], pair_scores: np.nd
             plain += 1
     in_line = _items_of(bare[0], common) if len(bare) == 1 and listed <= n / 3 else 0.0
     items = max(marked, plain if len(bare) >= 3 else 0) / len(bare) if bare else 0.0
-    said = [x for x in map(str.strip, SENTENCES.split(low)) if x]
+    said = [x for x in map(str.strip, SENTENCES.split(text.lower())) if x]
     again = 1 - len(set(said)) / len(said) if len(said) >= 3 else 0.0
     out = {
         "word_count": n,
-        "mean_word_length": sum(map(len, words)) / n if n else 0.0,
+        "mean_word_length": letters / n if n else 0.0,
         "symbol_ratio": symbols / solid,
         "line_end_share": sum(ends) / len(bare) if bare else 0.0,
         "common_share": best,
@@ -211,7 +228,7 @@ def statistics(text: str, common: dict[str, tuple[str, ...]], pair_scores: np.nd
         "item_share": max(items, in_line),
         "cell_share": cells / len(bare) if bare else 0.0,
         "pair_score": float(pair_scores[pairs].mean()) if len(pairs) else None,
-        "mixed_share": mixed / len(tokens) if tokens else 0.0,
+        "mixed_share": mixed / counts.total() if counts else 0.0,
         "longest_token": math.log2(longest) if longest else 0.0,
         "again_share": again,
         "char_share": most / solid,
@@ -344,8 +361,9 @@ def document_statistics(docs: DataFrame, common_words: DataFrame, id_col: str =
     kind = source.schema["k"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = Tokens(listing)
         for batch in batches:
-            rows = [statistics(t, listing, scores) if t and t.strip() else None for t in batch.column(1).to_pylist()]
+            rows = [statistics(t, tokens, scores) if t and t.strip() else None for t in batch.column(1).to_pylist()]
             langs = [None if r is None else r["language"] if r["common_share"] >= 0.1 and r["language"] else d if d in common else None for r, d in zip(rows, batch.column(2).to_pylist())]
             column = lambda name, of: pa.array([None if r is None else r[name] for r in rows], of)
             yield pa.RecordBatch.from_arrays(

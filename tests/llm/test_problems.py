@@ -482,7 +482,7 @@ def test_ranks_are_exact_and_give_the_tails(spark):
 
 
 def test_statistics_by_hand():
-    common = quality.languages_of({"en": {"the", "is"}, "de": {"ist"}})
+    common = quality.Tokens(quality.languages_of({"en": {"the", "is"}, "de": {"ist"}}))
     s = quality.statistics("The cat is here.\nno end\n\n- item one", common, quality.np.zeros(729))
     assert (s["word_count"], s["n_lines"], s["language"]) == (8, 3, "en")
     assert s["mean_word_length"] == 3.0 and s["common_share"] == 0.25
