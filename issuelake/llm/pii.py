@@ -108,6 +108,10 @@ ID_NUMBER = re.compile(
     re.I,
 )
 ID_VALUE = re.compile(r"(?:[A-Za-z]{1,3}[ -]?)?\d(?:[ .\-/]?\d){4,16}(?:[ -]?[A-Z](?![A-Za-z])|[a-z](?![A-Za-z]))?")
+#: Forms with a checksum, found without a label: 8 digits and a control letter, 11 digits in groups or not, account-like codes; and the words that make such a number an identity number, with the characters within which they count.
+CHECKED = re.compile(r"(?<![\w.-])(?:\d{8}-?[A-Z]|\d{2} \d{3} \d{3} \d{3}|\d{11}|[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?)(?![\w-])(?!\.\d)")
+ID_CUES = re.compile(r"\b(?:identit\w+|identification|identidad|identité|personal(?:ausweis)? (?:id|number|code|nummer)|national (?:id|number)|citizens?|passports?|tax(?:payer)?(?: id| number)|ausweis\w*|social security|residen\w+ (?:card|permit)|iban|bank account)\b", re.I)
+NEARBY = 60
 
 CITY = r"[^\W\d_][\w'’-]*(?:[ -](?:sur|sous|am|an der|de|la|le|les|upon|on|[^\W\d_][\w'’-]*)){0,3}?"
 BREAK = r"[ \t]*,?[ \t]*(?:\r\n|\r|\n)(?:[ \t]*>)*[ \t]*"
@@ -141,21 +145,27 @@ class Names:
     """Given and family names: those listed, and those made of a beginning and an ending that several listed names share.
 
     The list is known to be incomplete. Each listed name is cut where the
-    beginning and the ending both occur in most other names; beginnings and
-    endings with three supporting names or more are then combined.
+    beginning and the ending both occur in most other names; a word that is a
+    beginning and an ending with three supporting names or more is taken for a
+    name of that part, whatever the length of the list. Names with an
+    apostrophe, as O'..., are a listed prefix, a beginning, and an ending that
+    some listed name with an apostrophe has.
     """
 
     def __init__(self, rows: Iterable[tuple[str, str]], support: int = 3):
-        self.part: dict[str, set[str]] = defaultdict(set)
+        self.listed: dict[str, set[str]] = defaultdict(set)
+        self.rules: list[tuple[str, frozenset, frozenset, frozenset, frozenset]] = []
+        self.known: dict[str, frozenset] = {}
+        self.nobody: set[str] = set()
         by_part: dict[str, set[str]] = defaultdict(set)
         for name, part in rows:
             if name and part and name.strip():
                 by_part[part].add(name.strip().casefold())
         for part, names in sorted(by_part.items()):
-            made = set(names)
             heads, tails = defaultdict(set), defaultdict(set)
             cuts = lambda w: ((w[:i], w[i:]) for i in range(2, len(w) - 1))
             for w in names:
+                self.listed[w].add(part)
                 for h, t in cuts(w):
                     heads[h].add(t)
                     tails[t].add(h)
@@ -165,24 +175,44 @@ class Names:
                 if best:
                     first[best[0]] += 1
                     last[best[1]] += 1
-            h = [x for x, n in first.items() if n >= support]
-            t = [x for x, n in last.items() if n >= support]
-            if len(h) * len(t) <= 200_000:
-                made.update(x + y for x in h for y in t)
-            # a prefixed form, as O'..., is made of the beginnings too
-            for w in names:
-                if "'" in w:
-                    made.update(w.split("'")[0] + "'" + x + w[-2:] for x in h)
-            for w in made:
-                self.part[w].add(part)
-
-    def of(self, word: str) -> set[str]:
-        return self.part.get(word.replace("’", "'").casefold(), set())
+            begin = frozenset(x for x, n in first.items() if n >= support)
+            marked = [w.split("'", 1) for w in names if "'" in w]
+            behind = frozenset(rest[i:] for _, rest in marked for i in range(2, len(rest) - 1) if rest[:i] in begin) or frozenset(rest[-2:] for _, rest in marked)
+            self.rules.append((part, begin, frozenset(x for x, n in last.items() if n >= support), frozenset(p for p, _ in marked), behind))
+
+    def any_of(self, words: list[str]) -> bool:
+        """Whether any of these words, case folded, may be a name; words known to be none are passed over together."""
+        found = False
+        for w in set(words).difference(self.nobody):
+            if self.of(w):
+                found = True
+            elif len(self.nobody) < 1_000_000:
+                self.nobody.add(w)
+        return found
+
+    def of(self, word: str) -> frozenset:
+        """The parts of a name that a word may be."""
+        w = word.replace("’", "'").casefold()
+        got = self.known.get(w)
+        if got is None:
+            found = set(self.listed.get(w, ()))
+            prefix, mark, rest = w.partition("'")
+            for part, begin, end, prefixes, behind in self.rules:
+                if mark:
+                    made = prefix in prefixes and any(rest[:i] in begin and rest[i:] in behind for i in range(2, len(rest) - 1))
+                else:
+                    made = any(w[:i] in begin and w[i:] in end for i in range(2, len(w) - 1))
+                if made:
+                    found.add(part)
+            got = frozenset(found)
+            if len(self.known) < 1_000_000:
+                self.known[w] = got
+        return got
 
 
 def propose_names(text: str, names: Names, taken: Iterable[tuple[int, int]] = ()) -> Iterator[tuple[int, int, float]]:
     """(start, end, score) of whole names: two parts in either order, with an initial or a comma, an initial or title with a family name, family names joined by hyphens; nothing within `taken` spans."""
-    if names.part.keys().isdisjoint(WORD.findall(text.casefold().replace("’", "'"))):
+    if not names.any_of(WORD.findall(text.casefold().replace("’", "'"))):
         return
     tokens = [(m.start(), m.end(), p) for m in WORD.finditer(text) if (p := names.of(m.group()))]
     if tokens and taken:
@@ -258,10 +288,13 @@ def propose_phones(text: str) -> Iterator[tuple[int, int, float]]:
 
 
 def propose_ids(text: str) -> Iterator[tuple[int, int, float]]:
+    """Numbers behind a label, whatever their checksum; and numbers of a form with a checksum that have none: these count where the checksum holds and a word nearby speaks of identity, and never where it fails."""
+    labelled = set()
     for m in ID_NUMBER.finditer(text):
         value = ID_VALUE.search(text, m.start("value"))
         if not value or value.start() != m.start("value"):
             continue
+        labelled.add(value.start())
         digits = re.sub(r"\D", "", value.group())
         score = 0.7 if len(digits) >= 6 else 0.3
         if confirmed(value.group()):
@@ -269,6 +302,15 @@ def propose_ids(text: str) -> Iterator[tuple[int, int, float]]:
         if re.search(r"[\r\n]", m["link"]):
             score -= 0.3
         yield value.start(), value.end(), score
+    for m in CHECKED.finditer(text):
+        if m.start() in labelled or not confirmed(m.group()):
+            continue
+        score = 0.3
+        if ID_CUES.search(text, max(0, m.start() - NEARBY), min(len(text), m.end() + NEARBY)):
+            score += 0.3
+        if NOT_PHONE.search(text[max(0, m.start() - 24) : m.start()]):
+            score -= 0.3
+        yield m.start(), m.end(), score
 
 
 def _address_matches(text: str, low: str) -> Iterator[tuple[int, re.Match]]:
@@ -305,7 +347,7 @@ def find_spans(text: str, names: Names, username: str | None = None) -> list[tup
     if "@" in low or (" at " in low and " dot " in low) or BRACKETED_AT.search(text):
         proposals += [(s, e, sc, "EMAIL") for s, e, sc in propose_emails(text)]
     proposals += [(s, e, sc, "ADDRESS") for s, e, sc in propose_addresses(text, low)]
-    if any(x in low for x in LABEL_PARTS) or SHORT_LABELS.search(text):
+    if any(x in low for x in LABEL_PARTS) or SHORT_LABELS.search(text) or ID_CUES.search(low):
         proposals += [(s, e, sc, "ID_NUMBER") for s, e, sc in propose_ids(text)]
     proposals += [(s, e, sc, "PHONE") for s, e, sc in propose_phones(text)]
     proposals += [(s, e, sc, "NAME") for s, e, sc in propose_names(text, names, [p[:2] for p in proposals if p[3] == "EMAIL" and p[2] >= ACCEPT])]
@@ -350,7 +392,10 @@ def scan(records: DataFrame, known_names: DataFrame, id_col: str = "evidence_id"
 
     Regular expressions propose spans; checksums (Luhn, mod 97, mod 11-10, a
     control letter) and numbering plans confirm; words nearby raise or lower
-    the score, and spans of 0.5 or more are kept. Where kept spans would
+    the score, and spans of 0.5 or more are kept. A telephone number has to fit
+    a numbering plan, an identity number without a label its checksum; behind a
+    label a checksum that holds adds to the score, and one that fails takes
+    nothing off, since people mistype and mask the numbers that they label. Where kept spans would
     overlap, the order is EMAIL, ADDRESS, ID_NUMBER, PHONE, NAME, HANDLE.
     Positions count code points. Null texts give empty lists and stay null;
     empty ones stay empty; texts are scanned whole. Repeated rows are scanned

@@ -366,6 +366,30 @@ def test_validators():
     assert pii.mod11_10("36574261809") and not pii.mod11_10("36574261808")
 
 
+def test_checksums_decide_where_no_label_does(names, monkeypatch):
+    find = lambda t: [(k, t[a:b]) for a, b, k in pii.find_spans(t, names)]
+    good = ["On my identity papers it reads 12345678Z, see above.", "The passport office has 36574261809 on file.", "Please use my IBAN: pay to GB82 WEST 1234 5698 7654 32 today."]
+    bad = ["On my identity papers it reads 12345678A, see above.", "The passport office has 36574261808 on file.", "Please use my IBAN: pay to GB83 WEST 1234 5698 7654 32 today.", "The cache key 12345678Z is stale."]
+    assert [find(t) for t in good] == [[("ID_NUMBER", "12345678Z")], [("ID_NUMBER", "36574261809")], [("ID_NUMBER", "GB82 WEST 1234 5698 7654 32")]]
+    assert [find(t) for t in bad] == [[]] * 4
+    # behind a line end a label alone is not enough
+    assert find("DNI:\n12345678Z") == [("ID_NUMBER", "12345678Z")] and find("DNI:\n12345678A") == []
+    monkeypatch.setattr(pii, "confirmed", lambda value: False)
+    assert [find(t) for t in good] == [[]] * 3 and find("DNI:\n12345678Z") == []
+
+
+def test_names_beyond_the_list_whatever_its_length():
+    letters = "bdfgklmnprstvz"
+    heads = [a + v + b for a in letters for v in "aeiou" for b in letters][:500]
+    tails = ["h" + v + a + w for v in "aeiou" for a in letters for w in "aeiou"]
+    listed = [(h + tails[(i + k) % len(tails)], "family") for i, h in enumerate(heads) for k in range(4)]
+    known = pii.Names([*listed, ("Orik", "given")])
+    fresh = heads[0] + tails[200]
+    assert fresh not in {n for n, _ in listed} and len(heads) * len(tails) > 150_000
+    assert known.of(fresh) == {"family"} and not known.of("qx" + tails[0])
+    assert [k for _, _, k in pii.find_spans(f"ask Orik {fresh.title()} first", known)] == ["NAME"]
+
+
 def test_scan_edges(spark):
     rows = [(1, None, None), (2, "", ""), (3, "😀 Mail a@b.example", "Orik Tesner"), (4, "x" * 300_000 + " a@b.example", "a@b.example"), (None, "hi", "ghost"), (3, "😀 Mail a@b.example", "Orik Tesner")]
     df = spark.createDataFrame(rows, "evidence_id bigint, body string, reporter_username string").withColumn("pii_type", F.lit(1))
