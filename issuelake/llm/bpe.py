@@ -198,8 +198,9 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, pattern)
         for batch in batches:
-            counts = [len(enc.encode(text)) for text in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64())], names=[id_col, "n_tokens"])
+            for part in _slices(batch):
+                counts = [len(enc.encode(text)) for text in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64())], names=[id_col, "n_tokens"])
 
     source = docs.select(F.col(id_col).alias("k"), F.col(text_col).cast("string").alias("t"))
     kind = source.schema["k"].dataType.simpleString()

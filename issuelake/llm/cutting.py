@@ -67,7 +67,8 @@ def cut(
     with bounded quantifiers, whose alternatives stand in the order of boundary
     strength and fall back to single characters, are extracted one after the
     other (lines, then characters within runs that are still too large), then
-    a lookback from each offset gives the overlap. Only rows above the limit
+    a fold looks back from each piece on the end of the text so far for the
+    overlap; a row of a piece holds that piece alone. Only rows above the limit
     meet the one shuffle, which removes repeated rows.
 
     Null and empty texts are never above the limit. With small_too the rows
@@ -101,20 +102,22 @@ def cut(
         return F.when(F.length(x) <= F.col("core"), F.array(x)).otherwise(F.regexp_extract_all(x, _by_characters(even), F.lit(0)))
 
     fine = rough.withColumn("ps", F.when(F.col("big"), F.flatten(F.transform("rough", finer))).otherwise(F.col("rough"))).drop("rough")
-    counted = fine.withColumn("ns", F.transform("ps", F.length)).withColumn("es", F.transform("ps", lambda x: F.regexp_count(x, F.lit(r"\r\n|\r|\n"))))
-    before = lambda a, i: F.aggregate(F.slice(F.col(a), F.lit(1), i), F.lit(0).cast("long"), lambda s, x: s + x)
-    pieces = counted.select(
-        "id", *[f"c{i}" for i in range(len(carry))], "first", "t", F.size("ps").alias("n_pieces"),
-        F.explode(F.transform("ps", lambda p, i: F.struct(i.alias("piece"), p.alias("core"), before("ns", i).alias("at"), before("es", i).alias("ends")))).alias("x"),
-    ).select("*", "x.piece", "x.core", "x.at", "x.ends").drop("x")
-    # a line feed set before the text marks its first line start as well
-    budget = F.lit(room) - F.length("core")
-    tail = F.substring(F.concat(F.lit("\n"), F.col("t")), F.greatest(F.lit(1), F.col("at") + 2 - budget - 1).cast("int"), F.least(budget + 1, F.col("at") + 1).cast("int"))
-    if overlap:
-        back = F.when(F.col("piece") > 0, F.regexp_extract(tail, r"(?<=[\r\n])(?<!\r(?=\n))((?:" + LINE + r"){1," + str(overlap) + r"})\z", 1)).otherwise(F.lit(""))
-    else:
+    ends = lambda x: F.regexp_count(x, F.lit(r"\r\n|\r|\n"))
+    # one fold over the pieces: `tail` is the end of the text so far, as much of it as any piece may look back on;
+    # the line feed set before the text marks its first line start as well
+    none = F.array().cast("array<struct<piece:int,core:string,back:string,ends:bigint>>")
+    start = F.struct(F.lit("\n").alias("tail"), F.lit(0).cast("bigint").alias("ends"), none.alias("out"))
+
+    def step(s, p):
         back = F.lit("")
-    out = pieces.withColumn("back", back)
+        if overlap:
+            reach = F.lit(room) - F.length(p) + 1
+            back = F.when(F.size(s["out"]) > 0, F.regexp_extract(F.substring(s["tail"], -reach, reach), r"(?<=[\r\n])(?<!\r(?=\n))((?:" + LINE + r"){1," + str(overlap) + r"})\z", 1)).otherwise(back)
+        piece = F.struct(F.size(s["out"]).alias("piece"), p.alias("core"), back.alias("back"), s["ends"].alias("ends"))
+        return F.struct(F.substring(F.concat(s["tail"], p), F.lit(-(room + 1)), F.lit(room + 1)).alias("tail"), (s["ends"] + ends(p)).alias("ends"), F.concat(s["out"], F.array(piece)).alias("out"))
+
+    cores = fine.select("id", *[f"c{i}" for i in range(len(carry))], "first", F.size("ps").alias("n_pieces"), F.aggregate("ps", start, step, lambda s: s["out"]).alias("xs"))
+    out = cores.select("id", *[f"c{i}" for i in range(len(carry))], "first", "n_pieces", F.explode("xs").alias("x")).select("*", "x.piece", "x.core", "x.back", "x.ends").drop("x")
     shared = F.regexp_count("back", F.lit(r"\r\n|\r|\n"))
     content = F.concat("back", "core")
     line_from = F.col("first") + F.col("ends") - shared

@@ -10,11 +10,11 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from issuelake.llm.bpe import PATTERN, VOCABULARY, token_counts
-from issuelake.session import cut_lineage
+from issuelake.session import stored
 
 CAPACITY = 2048
-#: Parts into which the items of one size are numbered independently.
-SALTS = 64
+#: Items of one size that are numbered in one part; a size has as many parts as it needs.
+PART = 500_000
 
 
 class OpenBins:
@@ -108,8 +108,9 @@ def pack_sizes(items: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id
     no place and are left out. Only the histogram of sizes, at most `capacity`
     rows whatever the input, reaches the driver; the plan it gives is bounded
     by the capacity too and is broadcast. Items are numbered within their
-    size in salted parts, so a size that a third of the rows share is no
-    single task. Ties are broken by id; equal rows are interchangeable, each
+    size in parts of about PART items each, so a size that a third of the rows
+    share is no single task; the tally of the parts, a row for each PART items
+    and one for each size at most, is broadcast. Ties are broken by id; equal rows are interchangeable, each
     gets a place of its own. Repeated ids with other sizes are other items.
     """
     sized = items.select(F.col(id_col).alias("rid"), F.col(size_col).cast("long").alias("size")).where("size > 0")
@@ -121,14 +122,16 @@ def pack_sizes(items: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id
                 lambda i: F.struct(i.cast("int").alias("piece"), F.least(F.lit(capacity), F.col("size") - i * capacity).cast("long").alias("n")),
             )
         ).alias("x"),
-    ).select("rid", "x.piece", "x.n", F.pmod(F.xxhash64("rid", "x.piece"), F.lit(SALTS)).cast("int").alias("salt"))
-    pieces = cut_lineage(pieces)
-    counts = pieces.groupBy("n", "salt").agg(F.count("*").alias("c"))
-    # the tally has at most capacity * SALTS rows
+    ).select("rid", "x.piece", "x.n")
+    pieces = stored(pieces)
+    spark = pieces.sparkSession
+    histogram = sorted((r["n"], r["c"]) for r in pieces.groupBy("n").agg(F.count("*").alias("c")).collect())
+    plan = spark.createDataFrame(plan_bins(histogram, capacity), PLAN)
+    parts = F.broadcast(spark.createDataFrame([(n, -(-c // PART)) for n, c in histogram], "n bigint, parts bigint"))
+    salted = pieces.join(parts, "n").withColumn("salt", F.pmod(F.xxhash64("rid", "piece"), F.col("parts"))).drop("parts")
+    counts = salted.groupBy("n", "salt").agg(F.count("*").alias("c"))
     offsets = counts.select("n", "salt", (F.sum("c").over(Window.partitionBy("n").orderBy("salt")) - F.col("c")).alias("offset"))
-    histogram = [(r["n"], r["c"]) for r in counts.groupBy("n").agg(F.sum("c").alias("c")).collect()]
-    plan = pieces.sparkSession.createDataFrame(plan_bins(histogram, capacity), PLAN)
-    numbered = pieces.withColumn("k", F.row_number().over(Window.partitionBy("n", "salt").orderBy("rid", "piece")) - 1)
+    numbered = salted.withColumn("k", F.row_number().over(Window.partitionBy("n", "salt").orderBy("rid", "piece")) - 1)
     placed = (
         numbered.join(F.broadcast(offsets), ["n", "salt"])
         .withColumn("at", F.col("offset") + F.col("k"))
@@ -142,4 +145,4 @@ def pack_sizes(items: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", path: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
     """pack_sizes over texts measured in tokens. Null and empty texts need no place."""
-    return pack_sizes(cut_lineage(token_counts(docs, id_col, text_col, path, pattern)), capacity, id_col, "n_tokens")
+    return pack_sizes(token_counts(docs, id_col, text_col, path, pattern), capacity, id_col, "n_tokens")

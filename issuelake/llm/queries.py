@@ -40,7 +40,7 @@ def p2_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks above the size limit, found as those that the cutter cuts."""
     pieces = cutting.cut(table(spark, sf_dir, "code_chunk"))
-    return pieces.where("piece = 0").select("chunk_id", "file_path", "qualified_symbol_name")
+    return pieces.where("piece = 0 and n_pieces > 1").select("chunk_id", "file_path", "qualified_symbol_name")
 
 
 def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,6 +48,14 @@ def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cutting.cut(table(spark, sf_dir, "code_chunk"))
 
 
+def p3_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The oversized chunks put together again from their pieces: a digest and the number of characters of each."""
+    pieces = cutting.cut(table(spark, sf_dir, "code_chunk")).where("n_pieces > 1")
+    own = F.struct("piece", F.expr("substring(content, shared_chars + 1)").alias("own"))
+    whole = pieces.groupBy("chunk_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(own)), lambda x: x["own"]), "").alias("t"))
+    return whole.select("chunk_id", F.md5("t").alias("digest"), F.length("t").cast("bigint").alias("chars"))
+
+
 def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return handwritten.classify_files(table(spark, sf_dir, "repo_document"), table(spark, sf_dir, "upstream_file"))
 
@@ -102,7 +110,7 @@ def p8_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_groups, p2_found, p2_splits, p3_found, p3_pieces, p4_found, p4_files, p5_found, p5_redacted, p6_ids, p7_containers, p8_found, p8_statistics)
+    for f in (p1_found, p1_groups, p2_found, p2_splits, p3_found, p3_pieces, p3_round_trip, p4_found, p4_files, p5_found, p5_redacted, p6_ids, p7_containers, p8_found, p8_statistics)
 }
 
 ORACLES: dict[str, str] = {
@@ -133,6 +141,11 @@ ORACLES: dict[str, str] = {
         ), c AS (SELECT node, min(root) AS c FROM reach GROUP BY node)
         SELECT m.record_id, substr(c.c, 2) AS group_key FROM m JOIN c ON c.node = coalesce(m.d, m.r) WHERE c.c LIKE '0%'
     """,
+    "p3_round_trip": r"""
+        SELECT DISTINCT chunk_id, md5(raw_content) AS digest, length(raw_content)::bigint AS chars FROM code_chunk
+        WHERE length(raw_content) // 4 > 1500
+           OR len(regexp_extract_all(raw_content, '\r\n|\r|\n')) + (CASE WHEN regexp_matches(raw_content, '[^\r\n]\z') THEN 1 ELSE 0 END) > 120
+    """,
     "p3_found": r"""
         SELECT DISTINCT chunk_id, file_path, qualified_symbol_name FROM code_chunk
         WHERE length(raw_content) // 4 > 1500

@@ -472,7 +472,9 @@ def test_plan_is_best_fit_decreasing(case):
     assert sorted(capacity - v for v in used.values()) == sorted(rests)
 
 
-def test_packing_places_everything_once(spark):
+@pytest.mark.parametrize("part", [packing.PART, 7])
+def test_packing_places_everything_once(spark, monkeypatch, part):
+    monkeypatch.setattr(packing, "PART", part)
     rng = random.Random(9)
     rows = [(i, rng.choice([0, 5, 900, 2048, 2049, rng.randint(1, 5000)])) for i in range(3000)] + [(None, 7), (1, 5), (9999, None)]
     df = spark.createDataFrame(rows, "doc_id bigint, n_tokens bigint").withColumn("piece", F.lit(3)).withColumn("container_id", F.lit("x"))
