@@ -116,9 +116,10 @@ def marks(path: str, text: str) -> list[str]:
         found.append("generated:comment")
     if COPIED.search(together) and any(COPIED.search(x) and not DENIED.search(x) for x in comments):
         found.append("vendored:comment")
-    if COMPILED.search(text) or "sourceMappingURL=" in together:
+    # what the patterns cannot do without is looked for first
+    if ("Object.defineProperty(exports" in text and COMPILED.search(text)) or "sourceMappingURL=" in together:
         found.append("generated:compiled")
-    if LOCKED.search(text):
+    if '"lockfileVersion"' in text and LOCKED.search(text):
         found.append("generated:lock")
     return found
 
@@ -196,16 +197,17 @@ def form(text: str) -> dict:
 
     reuse: the share of the token shapes made up by the one rule of five or
     more of them that is used most, six times at least, or by all longer ones
-    of MIXED; 0 where may_reuse shows that they stay too rare. literal_share: characters
+    of MIXED; None where may_reuse shows that they stay too rare. literal_share: characters
     in numbers and strings. packed: grammar size of the literals against their
-    length, character by character, for files made of literals with few words beside them. words: names and
+    length, character by character, for files made of literals with few words
+    beside them, None for others. words: names and
     keywords. space: share of white space, literals left out. literal_chars: what
     literals hold.
     """
     code = tokens_of(text)
     n = len(code)
     shapes = [shape(t) for t in code]
-    reuse = 0.0
+    reuse = None
     if may_reuse(shapes):
         # a rule is used as often as its pair occurs when it is made: rarer pairs cannot give a rule used so often
         g = infer(shapes, least=USES)
@@ -215,7 +217,7 @@ def form(text: str) -> dict:
     held = sum(map(len, literals))
     share = held / chars if chars else 0.0
     words = sum(1 for t in code if t[0].isalpha() or t[0] == "_")
-    packed = infer("".join(literals), least=4).compression() if share >= LITERAL and words <= FEW_WORDS else 0.0
+    packed = infer("".join(literals), least=4).compression() if share >= LITERAL and words <= FEW_WORDS else None
     return {"n_tokens": n, "reuse": reuse, "literal_share": share, "packed": packed, "words": words, "literal_chars": held, "space": (len(text) - sum(map(len, text.split()))) / max(1, len(text) - held), "code": code}
 
 
@@ -489,7 +491,7 @@ def classify_files(docs: DataFrame, upstream: DataFrame, id_col: str = "document
             )
         )
     )
-    judged = forms.drop("places", "prints", "body", "known").join(cover, "sig", "left").withColumn("shared", F.coalesce("shared", F.lit(0.0))).withColumn("reasons", F.coalesce(reasons, F.array().cast("array<string>")))
+    judged = forms.drop("places", "prints", "body", "known").join(cover, "sig", "left").withColumn("reasons", F.coalesce(reasons, F.array().cast("array<string>")))
     return judged.select(
         c("k").alias(id_col), F.array_distinct(F.transform("reasons", lambda r: F.substring_index(r, ":", 1))).alias("kinds"), "reasons", (F.size("reasons") == 0).alias("handwritten"),
         "n_tokens", *[F.round(x, 4).alias(x) for x in (*NUMBERS, "shared")],

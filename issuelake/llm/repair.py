@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+from collections import Counter
 from collections.abc import Hashable, Sequence
 
 END = -1
@@ -57,17 +58,14 @@ def infer(items: Sequence[Hashable], least: int = 2, breaks: frozenset = frozens
     before = list(range(-1, n - 1))
     # no symbol reaches `base`: every rule shortens the sequence
     base = first + n + 1
-    where: dict[int, list[int]] = {}
-    for i in range(n - 1):
-        a, b = seq[i], seq[i + 1]
-        if a >= 0 and b >= 0:
-            key = a * base + b
-            if key in where:
-                where[key].append(i)
-            else:
-                where[key] = [i]
-    count = {key: len(p) for key, p in where.items()}
-    heap = [(-c, key) for key, c in count.items() if c >= least]
+    keys = [a * base + b if a >= 0 and b >= 0 else END for a, b in zip(seq, seq[1:])]
+    # neighbours that are no longer put together stay rarer than that: pairs below `least` need no places
+    count = {key: c for key, c in Counter(keys).items() if c >= least and key >= 0}
+    where: dict[int, list[int]] = {key: [] for key in count}
+    for i, key in enumerate(keys):
+        if key in count:
+            where[key].append(i)
+    heap = [(-c, key) for key, c in count.items()]
     heapq.heapify(heap)
     rules: list[tuple[int, int]] = []
     while heap:
@@ -89,7 +87,8 @@ def infer(items: Sequence[Hashable], least: int = 2, breaks: frozenset = frozens
             continue
         fresh = first + len(rules)
         rules.append((a, b))
-        touched = set()
+        made: dict[int, list[int]] = {}
+        gone: dict[int, int] = {}
         for i in apart:
             j = after[i]
             h, k = before[i], after[j]
@@ -97,14 +96,13 @@ def infer(items: Sequence[Hashable], least: int = 2, breaks: frozenset = frozens
                 old = s * base + a
                 if old in count:
                     count[old] -= 1
+                elif old in made:
+                    gone[old] = gone.get(old, 0) + 1
                 key = s * base + fresh
-                if key in where:
-                    where[key].append(h)
-                    count[key] += 1
+                if key in made:
+                    made[key].append(h)
                 else:
-                    where[key] = [h]
-                    count[key] = 1
-                touched.add(key)
+                    made[key] = [h]
             seq[i], seq[j] = fresh, -2
             after[i] = k
             if k < n:
@@ -113,16 +111,17 @@ def infer(items: Sequence[Hashable], least: int = 2, breaks: frozenset = frozens
                     old = b * base + s
                     if old in count:
                         count[old] -= 1
+                    elif old in made:
+                        gone[old] = gone.get(old, 0) + 1
                     key = fresh * base + s
-                    if key in where:
-                        where[key].append(i)
-                        count[key] += 1
+                    if key in made:
+                        made[key].append(i)
                     else:
-                        where[key] = [i]
-                        count[key] = 1
-                    touched.add(key)
-        for key in touched:
-            if (now := count[key]) >= least:
+                        made[key] = [i]
+        for key, places in made.items():
+            now = len(places) - gone.get(key, 0)
+            if now >= least:
+                where[key], count[key] = places, now
                 heapq.heappush(heap, (-now, key))
     left, i = [], 0
     while i < n:

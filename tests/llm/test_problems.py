@@ -312,7 +312,32 @@ def test_several_templates_in_mixed_order_are_reuse():
     forms = ["  get_{a}(): number {{ return this.{b}; }}", "  set_{a}({b}: number): void {{ this.{c} = {b}; this.{d}(); }}"]
     text = "\n".join(rng.choice(forms).format(a=name(), b=name(), c=name(), d=name()) for _ in range(120))
     assert handwritten.form(text)["reuse"] >= handwritten.REUSED
-    assert max(handwritten.form(source_of(rng, 150))["reuse"] for _ in range(20)) < handwritten.REUSED
+    assert max(handwritten.form(source_of(rng, 150))["reuse"] or 0.0 for _ in range(20)) < handwritten.REUSED
+
+
+def test_grammars_decide_without_paths_and_comments(spark, monkeypatch):
+    found = lambda: {r.document_id: set(r.reasons) for r in queries.p4_files(spark, "/root/testdata/sf0.01").where("not handwritten").collect()}
+    whole = found()
+    monkeypatch.setattr(handwritten, "marks", lambda path, text: [])
+    by_form = found()
+    # what paths and comments alone tell is gone, all else stays, and rests on grammars or on white space
+    assert set(by_form) == {k for k, v in whole.items() if any(x.endswith((":form", ":shared")) for x in v)}
+    assert len(by_form) >= 0.5 * len(whole)
+    with_grammars = handwritten.form
+    monkeypatch.setattr(handwritten, "form", lambda text: with_grammars(text) | {"reuse": None, "packed": None})
+    monkeypatch.setattr(handwritten, "shared_cover", lambda bodies, repos: [0.0] * len(bodies))
+    assert len(found()) < 0.5 * len(by_form)
+
+
+def test_recall_of_copies_of_a_part_of_a_much_longer_file(spark):
+    rng = random.Random(15)
+    rows, upstream = [], []
+    for i in range(40):
+        lines = source_of(rng, 400).splitlines()
+        at = rng.randrange(360)
+        rows.append((i, f"o/{i}", "src/a.py", "\n".join(lines[at : at + 30]) + "\n" + source_of(rng, 18)))
+        upstream.append((f"lib{i}", "long.py", "\n".join(lines)))
+    assert len(vendored(spark, rows, upstream)) >= 38
 
 
 # ------------------------------------------------------------------ 5 personal information
