@@ -17,14 +17,16 @@ from pyspark.sql import functions as F
 from issuelake.llm.components import hash_to_min
 from issuelake.session import stored
 
-#: Counters of the frequency sketch (it grows with the rows between two bounds) and bits of the presence bitmap, as powers of two.
-LEAST_BITS, MOST_BITS, PRESENCE_BITS = 20, 24, 23
-CHUNKS = 16
+#: Counters of the frequency sketch and bits of the presence bitmap, as powers of two: both grow with the rows between two bounds.
+LEAST_BITS, MOST_BITS = 20, 26
+LEAST_PRESENCE, MOST_PRESENCE = 16, 28
+#: Parts of a sketch that are merged on their own, and sketches that one task merges.
+CHUNKS, FAN = 16, 256
 #: Grams that a posting bucket should hold, and estimated occurrences from which a gram's postings are split;
 #: so many times the median counter is taken for what other grams have added to one.
-BUCKET_GRAMS, HOT, NOISE = 3_000_000, 4_000, 2
-#: Members of a tree that one probe meets at a time; more become several trees.
-BLOCK = 2_000
+BUCKET_GRAMS, HOT, NOISE = 3_000_000, 16_000, 2
+#: Members of a tree; more become several trees, which each probe meets in turn. Copies of a class that one task pairs with all others.
+BLOCK, COPIES = 2_000, 2_000
 #: Pairs compared at a time within a bucket.
 SLICE = 2_000_000
 WORD = re.compile(r"[^\W_]+")
@@ -127,42 +129,52 @@ def _chunks(counts: np.ndarray) -> Iterator[tuple[int, bytes]]:
         yield i, zlib.compress(part.tobytes(), 1)
 
 
-def _summed(rows: DataFrame) -> np.ndarray:
-    """The sum of the count arrays in (chunk, counts); of bounded size, so it may reach the driver."""
+def _merged(rows: DataFrame, merge) -> np.ndarray:
+    """The sketches in (chunk, counts) put together by `merge` of two arrays; of bounded size, so the result may reach the driver.
+
+    `rows` is stored. FAN sketches are merged by a task, level by level, so
+    that no task receives one from every task of the pass before.
+    """
 
     def add(key, pdf):  # hints would be taken for a kind of function
-        total = sum(np.frombuffer(zlib.decompress(b), dtype=np.uint32).astype(np.uint64) for b in pdf["counts"])
-        return pd.DataFrame({"chunk": [key[0]], "counts": [zlib.compress(np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes(), 1)]})
+        total = None
+        for b in pdf["counts"]:
+            one = np.frombuffer(zlib.decompress(b), dtype=np.uint32)
+            total = one if total is None else merge(total, one)
+        return pd.DataFrame({"chunk": [key[0]], "counts": [zlib.compress(total.tobytes(), 1)]})
+
+    rows = rows.select("chunk", "counts")
+    left = rows.count() // CHUNKS
+    while left > FAN:
+        parts = -(-left // FAN)
+        rows = stored(rows.groupBy("chunk", (F.xxhash64("counts", F.monotonically_increasing_id()) % parts).alias("part")).applyInPandas(add, "chunk int, counts binary"))
+        left = parts
+    done = {r["chunk"]: r["counts"] for r in rows.groupBy("chunk").applyInPandas(add, "chunk int, counts binary").collect()}
+    return np.concatenate([np.frombuffer(zlib.decompress(done[i]), dtype=np.uint32) for i in range(CHUNKS)]) if done else np.zeros(0, dtype=np.uint32)
+
 
-    parts = {r["chunk"]: r["counts"] for r in rows.select("chunk", "counts").groupBy("chunk").applyInPandas(add, "chunk int, counts binary").collect()}
-    if not parts:
-        return np.zeros(0, dtype=np.uint32)
-    return np.concatenate([np.frombuffer(zlib.decompress(parts[i]), dtype=np.uint32) for i in range(CHUNKS)])
+def _plus(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sums that stay within 32 bits."""
+    return np.minimum(a.astype(np.uint64) + b, 2**32 - 1).astype(np.uint32)
 
 
-def presence(ids: DataFrame) -> np.ndarray:
-    """A fixed bitmap with the hashes of all ids, packed."""
+def presence(ids: DataFrame, bits: int) -> np.ndarray:
+    """A bitmap of 2^bits bits with the hashes of all ids, packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(1 << PRESENCE_BITS, dtype=bool)
+        held = np.zeros(1 << bits, dtype=bool)
         for b in batches:
-            bits[slots(b.column(0).to_numpy(zero_copy_only=False))] = True
-        words = np.packbits(bits).view(np.uint32)
-        pairs = list(_chunks(words))
+            held[slots(b.column(0).to_numpy(zero_copy_only=False), bits)] = True
+        pairs = list(_chunks(np.packbits(held).view(np.uint32)))
         yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in pairs], pa.int32()), pa.array([c for _, c in pairs], pa.binary())], names=["chunk", "counts"])
 
-    def union(key, pdf):
-        total = np.bitwise_or.reduce([np.frombuffer(zlib.decompress(b), dtype=np.uint32) for b in pdf["counts"]])
-        return pd.DataFrame({"chunk": [key[0]], "counts": [zlib.compress(total.tobytes(), 1)]})
-
-    rows = ids.mapInArrow(run, "chunk int, counts binary").groupBy("chunk").applyInPandas(union, "chunk int, counts binary").collect()
-    parts = {r["chunk"]: zlib.decompress(r["counts"]) for r in rows}
-    return np.frombuffer(b"".join(parts[i] for i in range(CHUNKS)), dtype=np.uint8) if parts else np.zeros(1 << (PRESENCE_BITS - 3), dtype=np.uint8)
+    got = _merged(stored(ids.mapInArrow(run, "chunk int, counts binary")), np.bitwise_or)
+    return got.view(np.uint8) if len(got) else np.zeros(1 << (bits - 3), dtype=np.uint8)
 
 
-def slots(ids: np.ndarray) -> np.ndarray:
-    """The bit of the presence bitmap of each id."""
-    return (mix(ids.astype(np.int64).view(np.uint64)) >> np.uint64(64 - PRESENCE_BITS)).astype(np.int64)
+def slots(ids: np.ndarray, bits: int) -> np.ndarray:
+    """The bit of each id in a presence bitmap of 2^bits bits."""
+    return (mix(ids.astype(np.int64).view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
 # ------------------------------------------------------------------- postings
@@ -187,7 +199,8 @@ def pack_postings(owner: np.ndarray, grams: np.ndarray, sig: np.ndarray, level:
     reach = np.flatnonzero(at < need(threshold, sizes, False)[doc])
     own = at[reach] < need(threshold, sizes, True)[doc[reach]]
     doc, g = doc[reach], grams[reach]
-    # postings of grams that may be frequent are split: own ones go to one part, all to every part as probes
+    # postings of grams that may be frequent are split into groups, and any two groups meet in a cell of their own:
+    # own ones as the first group of it, and all as the second
     parts = np.ones(len(g), dtype=np.int64)
     if len(hot[0]):
         slot = slot_of(g, level)
@@ -195,11 +208,16 @@ def pack_postings(owner: np.ndarray, grams: np.ndarray, sig: np.ndarray, level:
         parts = np.where(hot[0][near] == slot, hot[1][near], 1)
     home = (mix(sig[doc]) % parts.astype(np.uint64)).astype(np.int64)
     again = np.repeat(np.arange(len(doc)), parts)
-    part = np.arange(len(again)) - np.repeat(np.concatenate(([0], np.cumsum(parts)[:-1])), parts)
-    doc, g, own = doc[again], g[again], own[again] & (part == home[again])
-    cell = mix(g + part.astype(np.uint64) * M1)
+    other = np.arange(len(again)) - np.repeat(np.concatenate(([0], np.cumsum(parts)[:-1])), parts)
+    across = np.flatnonzero(own[again] & (other != home[again]))
+    first = np.concatenate((other, home[again[across]]))
+    second = np.concatenate((home[again], other[across]))
+    own = np.concatenate((own[again] & (other == home[again]), np.ones(len(across), dtype=bool)))
+    again = np.concatenate((again, again[across]))
+    doc, g = doc[again], g[again]
+    cell = mix(g + first.astype(np.uint64) * M1 + second.astype(np.uint64) * M3)
     bucket = (cell % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
+    order = np.argsort((bucket.astype(np.uint64) << np.uint64(32)) | doc.astype(np.uint64), kind="stable")
     doc, cell, own, bucket = doc[order], cell[order], own[order], bucket[order]
     cuts = np.concatenate((starts(bucket), [len(bucket)]))
     for a, b in zip(cuts[:-1], cuts[1:]):
@@ -349,20 +367,34 @@ class PrefixTree:
 
 
 def _probe_blocks(batches: Iterator[pd.DataFrame], threshold: float) -> Iterator[pd.DataFrame]:
-    """Similar pairs of each block: its members come first and fill a tree, then its probe follows."""
-    key, tree, out = None, PrefixTree(), []
+    """Similar pairs of each block: its members come first and fill one tree, then all probes of the block traverse it, members that are probes too among them."""
+    key, tree, out, waiting = None, PrefixTree(), [], []
+
+    def probe(i: int, own: list[int]) -> None:
+        for other, size, common in tree.probe(own, len(own), threshold):
+            if other != i:
+                out.append((min(i, other), max(i, other), common, len(own) + size - common))
+
     for batch in batches:
-        for a, part, probe, i, grams in zip(batch["a"], batch["part"], batch["probe"], batch["id"], batch["grams"]):
-            if (a, part) != key:
-                key, tree = (a, part), PrefixTree()
+        for block, part, is_member, is_probe, i, grams in zip(batch["block"], batch["part"], batch["member"], batch["probe"], batch["id"], batch["grams"]):
+            if (block, part) != key:
+                for held in waiting:
+                    probe(*held)
+                key, tree, waiting = (block, part), PrefixTree(), []
             own = np.frombuffer(grams, dtype=np.uint64).tolist()
-            if not probe:
+            if is_member:
                 tree.add(own, i, len(own))
-                continue
-            out.extend((a, b, common, len(own) + size - common) for b, size, common in tree.probe(own, len(own), threshold))
+                if is_probe:
+                    waiting.append((i, own))
+            else:
+                probe(i, own)
         if out:
             yield pd.DataFrame(out, columns=["class_a", "class_b", "common", "either"]).astype("int64")
-            out = []
+            out.clear()
+    for held in waiting:
+        probe(*held)
+    if out:
+        yield pd.DataFrame(out, columns=["class_a", "class_b", "common", "either"]).astype("int64")
 
 
 def similar_pairs(records: DataFrame, text: Column, id_col: str = "evidence_id", threshold: float = 0.8, size: int = 5, least_words: int = 1) -> tuple[DataFrame, DataFrame]:
@@ -374,18 +406,22 @@ def similar_pairs(records: DataFrame, text: Column, id_col: str = "evidence_id",
 
     1. One pass gives each record a signature, so that a text which a third of
        all rows repeat is one class, and counts all grams in a sketch of bounded
-       size. The sketch defines the global order, the rarest grams first.
+       size. The sketch defines the global order, the rarest grams first; below its
+       load per counter all grams look alike, which costs comparisons, not pairs.
     2. A pair must share a gram among the first n - ceil(t n) + 1 of the larger
        record and the first n - ceil(2 t / (1 + t) n) + 1 of the smaller one. A
        second pass sends each record once to every bucket of its prefix grams,
-       packed with a bitmap of all its grams; grams that may be frequent are
-       split into parts. Sizes and bitmaps rule out nearly all pairs of a bucket,
+       packed with a bitmap of all its grams; postings of grams that may be frequent
+       are split into groups of about HOT, any two of which meet in a cell of their
+       own, so that a bucket stays of the size of BUCKET_GRAMS. Sizes and bitmaps rule out nearly all pairs of a bucket,
        and never a similar one.
-    3. What is left of a record's partners fills a prefix tree of their whole
-       ordered lists, which the record traverses: partial overlaps are shared
-       between members, subtrees are pruned by the lengths that remain. The
-       overlap it finds decides. Lists are made in a third pass, for the records
-       concerned. A record of very many partners meets several trees.
+    3. Records left with partners are put into blocks, one for all records that
+       have the same least partner, or are it: the partners of all of them fill one
+       prefix tree of whole ordered lists, and each of them traverses it. Partial
+       overlaps are shared between members, subtrees are pruned by the lengths
+       that remain, and the overlap found decides. A list is sent to a block once,
+       however many of its pairs meet there. Lists are made in a third pass, for
+       the records concerned. A block of very many members becomes several trees.
 
     Records with fewer than max(size, least_words) words, null and empty texts
     among them, are in no class. Ids are integers; a repeated id is one record
@@ -416,7 +452,7 @@ def similar_pairs(records: DataFrame, text: Column, id_col: str = "evidence_id",
         yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array([i for i, _ in c], pa.int32()), pa.array([x for _, x in c], pa.binary())], names=names)
 
     seen = stored(docs.mapInArrow(survey, "id bigint, s1 bigint, s2 bigint, n bigint, chunk int, counts binary"))
-    counts = _summed(seen.where("chunk is not null"))
+    counts = _merged(seen.where("chunk is not null"), _plus)
     counts = counts if len(counts) else np.zeros(1 << bits, dtype=np.uint32)
     level = np.minimum(np.floor(4 * np.log2(np.maximum(counts, 1))), 127).astype(np.uint8)
     excess = counts - NOISE * float(np.median(counts[counts > 0])) if counts.any() else counts.astype(np.float64)
@@ -447,7 +483,7 @@ def similar_pairs(records: DataFrame, text: Column, id_col: str = "evidence_id",
         a, b = posting_pairs(held.column("postings").to_pylist(), threshold, words)
         return pa.table({"sa": a.view(np.int64), "sb": b.view(np.int64)})
 
-    near = docs.mapInArrow(post, "bucket int, postings binary").groupBy("bucket").applyInArrow(meet, "sa bigint, sb bigint").distinct()
+    near = docs.mapInArrow(post, "bucket int, postings binary").repartition(buckets, "bucket").groupBy("bucket").applyInArrow(meet, "sa bigint, sb bigint").distinct()
     named = classes.select("s1", "class_id")
     ids = (
         near.join(named.select(F.col("s1").alias("sa"), F.col("class_id").alias("x")), "sa")
@@ -455,12 +491,13 @@ def similar_pairs(records: DataFrame, text: Column, id_col: str = "evidence_id",
         .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a < b").distinct()
     )
     candidates = stored(ids)
-    bits = presence(candidates.select("a").union(candidates.select("b")))
+    present = min(MOST_PRESENCE, max(LEAST_PRESENCE, (16 * candidates.count()).bit_length()))
+    bits = presence(candidates.select("a").union(candidates.select("b")), present)
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(size, least_words)
         for b in batches:
-            at = slots(b.column(0).to_numpy(zero_copy_only=False))
+            at = slots(b.column(0).to_numpy(zero_copy_only=False), present)
             b = b.filter(pa.array((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1))
             owner, grams = ordered_sets(*shingler.grams(b.column(1).to_pylist()), level)
             s = starts(owner)
@@ -470,25 +507,33 @@ def similar_pairs(records: DataFrame, text: Column, id_col: str = "evidence_id",
             )
 
     held = stored(docs.mapInArrow(lists, "id bigint, grams binary").distinct())
-    crowd = F.ceil(F.col("crowd") / BLOCK).cast("int")
-    sized = candidates.join(candidates.groupBy("a").agg(F.count("*").alias("crowd")), "a")
-    inside = sized.select("a", F.pmod(F.xxhash64("b"), crowd).cast("int").alias("part"), F.col("b").alias("id")).join(held, "id").select("a", "part", F.lit(False).alias("probe"), "id", "grams")
-    probes = (
-        sized.select("a", crowd.alias("parts")).distinct().join(held, F.col("a") == F.col("id"))
-        .select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("probe"), "id", "grams")
+    # the least partner of a record, itself included, names its block
+    least = candidates.groupBy("b").agg(F.min("a").alias("block")).withColumnRenamed("b", "a")
+    met = candidates.join(least, "a", "left").select(F.coalesce("block", "a").alias("block"), "a", "b")
+    seats = (
+        met.select("block", F.explode(F.array(F.struct(F.col("a").alias("id"), F.lit(False).alias("member")), F.struct(F.col("b").alias("id"), F.lit(True).alias("member")))).alias("x"))
+        .groupBy("block", "x.id").agg(F.max("x.member").alias("member"), F.bool_or(~F.col("x.member")).alias("probe"))
     )
-    blocks = inside.union(probes).repartition("a", "part").sortWithinPartitions("a", "part", "probe")
+    sized = seats.join(seats.groupBy("block").agg(F.ceil(F.count_if("member") / BLOCK).cast("int").alias("parts")), "block")
+    home = F.pmod(F.xxhash64("id"), "parts").cast("int")
+    placed = sized.select(
+        "block", "id", "probe", F.when(F.col("member"), home).alias("home"), F.explode(F.when(F.col("probe"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(home))).alias("part")
+    ).select("block", "part", F.coalesce(F.col("part") == F.col("home"), F.lit(False)).alias("member"), "probe", "id")
+    blocks = placed.join(held, "id").select("block", "part", "member", "probe", "id", "grams").repartition("block", "part").sortWithinPartitions("block", "part", F.desc("member"))
     pairs = blocks.mapInPandas(lambda it: _probe_blocks(it, threshold), "class_a bigint, class_b bigint, common bigint, either bigint").groupBy("class_a", "class_b").agg(F.max("common").alias("common"), F.min("either").alias("either"))
     return members, pairs
 
 
 def expand_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:
-    """id_a < id_b of every two records in similar classes or in one class."""
+    """id_a < id_b of every two records in similar classes or in one class. A class of very many copies is paired with itself in parts."""
     m = members
     a = m.select(F.col("class_id").alias("class_a"), F.col("id").alias("x"))
     b = m.select(F.col("class_id").alias("class_b"), F.col("id").alias("y"))
     across = pairs.join(a, "class_a").join(b, "class_b").select("x", "y")
-    within = a.join(b, F.col("class_a") == F.col("class_b")).where("x < y").select("x", "y")
+    several = m.join(m.groupBy("class_id").agg(F.count("*").alias("n")).where("n > 1").select("class_id", F.ceil(F.col("n") / COPIES).cast("int").alias("parts")), "class_id")
+    left = several.select("class_id", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"), F.col("id").alias("x"))
+    right = several.select("class_id", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("id").alias("y"))
+    within = left.join(right, ["class_id", "part"]).where("x < y").select("x", "y")
     both = across.union(within)
     return both.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
 

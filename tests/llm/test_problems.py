@@ -63,6 +63,8 @@ def test_near_duplicates_with_hot_parts_split(spark, monkeypatch):
     monkeypatch.setattr(neardup, "NOISE", 0)
     monkeypatch.setattr(neardup, "BLOCK", 2)
     monkeypatch.setattr(neardup, "SLICE", 50)
+    monkeypatch.setattr(neardup, "FAN", 2)
+    monkeypatch.setattr(neardup, "COPIES", 3)
     rng = random.Random(6)
     base = [f"b{i}" for i in range(40)]
     rows = []
