@@ -177,6 +177,28 @@ def slots(ids: np.ndarray, bits: int) -> np.ndarray:
     return (mix(ids.astype(np.int64).view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
+def spread_keys(n: int) -> np.ndarray:
+    """n integers that hash partitioning by an int column sends to n different partitions of n, so that no two buckets meet in a task.
+
+    They are found by the hash that Spark documents for its hash function
+    (Murmur3, seed 42); were it another, the buckets would only lie less evenly.
+    """
+    keys, at = np.full(n, -1, dtype=np.int64), 0
+    while (keys < 0).any():
+        x = np.arange(at, at + 16 * n, dtype=np.uint32)
+        k = x * np.uint32(0xCC9E2D51)
+        h = np.uint32(42) ^ (((k << np.uint32(15)) | (k >> np.uint32(17))) * np.uint32(0x1B873593))
+        h = (((h << np.uint32(13)) | (h >> np.uint32(19))) * np.uint32(5) + np.uint32(0xE6546B64)) ^ np.uint32(4)
+        h = (h ^ (h >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+        h = (h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+        place = (h ^ (h >> np.uint32(16))).view(np.int32) % n
+        fresh, first = np.unique(place, return_index=True)
+        open_ = keys[fresh] < 0
+        keys[fresh[open_]] = x[first[open_]]
+        at += 16 * n
+    return keys
+
+
 # ------------------------------------------------------------------- postings
 
 
@@ -461,6 +483,7 @@ def similar_pairs(records: DataFrame, text: Column, id_col: str = "evidence_id",
     marked = seen.where("chunk is null").select("id", "s1", "s2", "n")
     total, mean = marked.agg(F.sum("n"), F.avg("n")).first()
     buckets = max(6, math.ceil((total or 0) / BUCKET_GRAMS))
+    keys = spread_keys(buckets)
     words = math.ceil(3 * (mean or 1) / 64)  # bits enough that few grams of a usual record meet in one
     classes = stored(marked.groupBy("s1", "s2").agg(F.min("id").alias("class_id"), F.count("*").alias("copies")))
     members = marked.join(classes, ["s1", "s2"]).select("id", "class_id").distinct()
@@ -477,7 +500,7 @@ def similar_pairs(records: DataFrame, text: Column, id_col: str = "evidence_id",
                 kept = keep[owner]
                 owner, grams = ordered_sets(owner[kept], grams[kept], level)
                 rows = list(pack_postings(owner, grams, sig[np.sort(first)], level, threshold, buckets, words, hot))
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "postings"])
+                yield pa.RecordBatch.from_arrays([pa.array([keys[r[0]] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "postings"])
 
     def meet(key, held):
         a, b = posting_pairs(held.column("postings").to_pylist(), threshold, words)

@@ -84,6 +84,13 @@ def test_near_duplicates_edges(spark):
     assert near(spark, [], 0.6, 3)[0] == set()
 
 
+@pytest.mark.parametrize("n", [1, 6, 50])
+def test_keys_are_spread_over_all_partitions(spark, n):
+    keys = neardup.spread_keys(n).tolist()
+    df = spark.createDataFrame([(k,) for k in keys], "k int").repartition(n, "k").withColumn("p", F.spark_partition_id())
+    assert sorted((r.k, r.p) for r in df.collect()) == sorted((k, i) for i, k in enumerate(keys))
+
+
 def test_prefix_tree_finds_what_overlaps():
     rng = random.Random(2)
     lists = [sorted(rng.sample(range(30), rng.randint(1, 12))) for _ in range(80)]
