@@ -32,6 +32,23 @@ def reciprocal_rank(retrieved: Column, truth: Column, k: int) -> Column:
     return F.when(F.size(truth) > 0, F.when(first > 0, 1.0 / first).otherwise(0.0))
 
 
+def relevance(path: Column, primary: Column, supporting: Column) -> Column:
+    """1 for a primary file, 0.5 for a supporting one, else 0."""
+    held = lambda files: F.exists(files, lambda t: path_matches(path, t))
+    return F.when(held(primary), 1.0).when(held(supporting), 0.5).otherwise(0.0)
+
+
+def exact_metrics(retrieved: Column, truth: Column, depths: tuple[int, ...] = (1, 5, 10)) -> list[Column]:
+    """recall_k for each depth, mrr_k and hit_k for the last: items compared exactly, rounded to four digits. `truth` is not empty and has no repeats."""
+    most = depths[-1]
+    shared = lambda k: F.size(F.array_intersect(truth, F.slice(retrieved, 1, k)))
+    first = F.array_position(F.transform(F.slice(retrieved, 1, most), lambda f: F.array_contains(truth, f)), True)
+    return [
+        *[F.round(shared(k) / F.size(truth), 4).alias(f"recall_{k}") for k in depths],
+        F.round(F.when(first > 0, 1.0 / first).otherwise(0.0), 4).alias(f"mrr_{most}"), F.when(shared(most) > 0, 1.0).otherwise(0.0).alias(f"hit_{most}"),
+    ]
+
+
 def confusion(df: DataFrame, truth: Column, predicted: Column) -> DataFrame:
     """truth, predicted, n."""
     return df.groupBy(truth.alias("truth"), predicted.alias("predicted")).agg(F.count("*").alias("n"))

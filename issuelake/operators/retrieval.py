@@ -36,23 +36,36 @@ def rounded_half_up(s: np.ndarray, digits: int = 6) -> np.ndarray:
     return np.copysign(np.floor(np.abs(s) * 10.0**digits + 0.5), s) / 10.0**digits + 0.0
 
 
-def nearest_each(base: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", dims: int = 64) -> DataFrame:
+def nearest_each(base: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", group: str | None = None) -> DataFrame:
     """query_id, id, similarity, rank: the k rows most similar to each query, the query's own row left out. Exact.
 
+    With `group`, a column of both sides, a query meets the rows of its group
+    alone; then ids of either side may be of different kinds and no row is left
+    out for its id. Vectors are compared with those of their own length; null,
+    empty and zero vectors are near to nothing.
+
     The vectors are put into blocks on both sides; every base block meets every
     query block once, as one matrix product, and hands on no more than k rows a
     query. Nothing is broadcast or collected, and no pair of rows is emitted
     that is not among the best of its block.
     """
-    kinds = base.schema[id_col].dataType.simpleString()
-    normed = lambda df: df.where(F.col(vec_col).isNotNull() & (F.size(vec_col) == dims)).select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<float>").alias("v"))
-    b, q = normed(base), normed(queries)
-    nb, nq = max(1, -(-b.count() // BASE_BLOCK)), max(1, -(-q.count() // QUERY_BLOCK))
-    left = b.withColumn("bb", F.pmod(F.xxhash64("id"), F.lit(nb)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
-    right = q.withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(nq)).cast("int")).withColumn("bb", F.explode(F.sequence(F.lit(0), F.lit(nb - 1))))
+    kinds, query_kinds = base.schema[id_col].dataType.simpleString(), queries.schema[id_col].dataType.simpleString()
+    grp = F.lit("") if group is None else F.coalesce(F.col(group).cast("string"), F.lit(""))
+
+    def blocked(df: DataFrame, size: int, own: str) -> tuple[DataFrame, DataFrame]:
+        rows = df.where(F.size(vec_col) > 0).select(grp.alias("grp"), F.size(vec_col).alias("dims"), F.col(id_col).alias("id"), F.col(vec_col).cast("array<float>").alias("v"))
+        return rows, rows.groupBy("grp", "dims").agg(F.ceil(F.count("*") / size).cast("int").alias(own))
+
+    (b, nb), (q, nq) = blocked(base, BASE_BLOCK, "nb"), blocked(queries, QUERY_BLOCK, "nq")
+    blocks = nb.join(nq, ["grp", "dims"])
+    part = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = b.join(blocks, ["grp", "dims"]).withColumn("bb", part("nb")).withColumn("qb", every("nq")).drop("nb", "nq")
+    right = q.join(blocks, ["grp", "dims"]).withColumn("qb", part("nq")).withColumn("bb", every("nb")).drop("nb", "nq")
+    same = group is None
 
     def unit(t):
-        m = np.array(t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(t.num_rows, dims)
+        m = np.array(t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(t.num_rows, -1)
         n = np.sqrt((m * m).sum(axis=1))
         return m, n
 
@@ -64,7 +77,8 @@ def nearest_each(base: DataFrame, queries: DataFrame, k: int = 10, id_col: str =
             s = (y @ x.T) / (ny[:, None] * nx[None, :])
         ids, qs = base_rows.column("id").to_numpy(), query_rows.column("id").to_numpy()
         s[~np.isfinite(s)] = -np.inf
-        s[qs[:, None] == ids[None, :]] = -np.inf
+        if same:
+            s[qs[:, None] == ids[None, :]] = -np.inf
         # all above the k-th of the rounded similarities, and of those equal to it the least ids: ties are settled by the same numbers as in the end
         s = rounded_half_up(s)
         keep = min(len(ids), k)
@@ -76,7 +90,8 @@ def nearest_each(base: DataFrame, queries: DataFrame, k: int = 10, id_col: str =
         ok = np.isfinite(s[r, c])
         return pa.table({"query_id": qs[r[ok]], "id": ids[c[ok]], "similarity": s[r[ok], c[ok]]})
 
-    found = left.groupBy("bb", "qb").cogroup(right.groupBy("bb", "qb")).applyInArrow(best, f"query_id {kinds}, id {kinds}, similarity double")
+    cell = ["grp", "dims", "bb", "qb"]
+    found = left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(best, f"query_id {query_kinds}, id {kinds}, similarity double")
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
