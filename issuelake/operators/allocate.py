@@ -88,23 +88,50 @@ def balanced_select(rows: DataFrame, pool: str, order: Sequence[Column], budget:
     return ranked.join(F.broadcast(q), pool).where(F.col("__rn") <= F.col("quota")).drop("__rn", "quota")
 
 
-def pack_evidence(items: Column, budget: int, at_least: int = 2, extra: int = 50) -> Column:
-    """Of an ordered array of (id, tokens): those taken if each fits, or is among the first `at_least` taken; what does not fit is passed over. A fold, in the JVM."""
-    none = F.array().cast("array<bigint>")
-    start = F.struct(F.lit(0).cast("bigint").alias("spent"), none.alias("ids"))
+def pack_in_order(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], budget: Column, at_least: int = 2, extra: int = 50) -> DataFrame:
+    """The rows of each key, with `pos`, that a package takes: in their order, each that fits the budget with `extra` tokens more, or is among the first `at_least` taken; what does not fit is passed over.
 
-    def step(s, x):
-        cost = x["tokens"].cast("bigint") + extra
-        take = (s["spent"] + cost <= budget) | (F.size(s["ids"]) < at_least)
-        return F.struct(F.when(take, s["spent"] + cost).otherwise(s["spent"]).alias("spent"), F.when(take, F.concat(s["ids"], F.array(x["id"].cast("bigint")))).otherwise(s["ids"]).alias("ids"))
-
-    return F.aggregate(items, start, step)["ids"]
-
-
-def limiter(times: Sequence[float], costs: Sequence[int], gap: float, per_window: int, tokens: int, window: float = 60.0) -> list[float]:
-    """When each request may start: `gap` seconds after the one before, and within the requests and tokens of a window that begins anew when it has passed."""
+    The fold is by nature one pass over a key in its order; it reads sorted
+    batches and holds two numbers, so that a key of any size fits a task.
+    """
+    ordered = rows.withColumn("__budget", budget.cast("bigint")).withColumn("pos", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ordered.drop("__budget").schema.fields)
+    names = [c for c in ordered.columns if c != "__budget"]
+    spread = ordered.repartition(*keys).sortWithinPartitions(*keys, "pos")
+
+    def run(batches):
+        spent = taken = 0
+        for pdf in batches:
+            keep = []
+            for pos, tokens, limit in zip(pdf["pos"].tolist(), pdf["tokens"].tolist(), pdf["__budget"].tolist()):
+                if pos == 1:
+                    spent = taken = 0
+                ok = spent + tokens + extra <= limit or taken < at_least
+                keep.append(ok)
+                if ok:
+                    spent, taken = spent + tokens + extra, taken + 1
+            yield pdf.loc[keep, names]
+
+    return spread.mapInPandas(run, schema)
+
+
+def reduced(packed: DataFrame, keys: Sequence[str], budget: int) -> DataFrame:
+    """Of pack_in_order's rows with a boolean `test`: all tests, and of the rest the first and those within what the tests leave of the budget. A package is small by construction."""
+    w = Window.partitionBy(*keys)
+    tests = F.sum(F.when(F.col("test"), F.col("tokens")).otherwise(0)).over(w)
+    ranked = w.orderBy(F.col("test"), "pos")
+    rows = packed.withColumn("__t", tests).withColumn("__n", F.row_number().over(ranked)).withColumn("__c", F.sum("tokens").over(ranked.rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.where(F.col("test") | (F.col("__n") == 1) | (F.col("__t") + F.col("__c") <= budget)).drop("__t", "__n", "__c")
+
+
+def limiter(times: Sequence[float], costs: Sequence[int], gap: float, per_window: int, tokens: int, window: float = 60.0, held: tuple | None = None, carry: bool = False):
+    """When each request may start: `gap` seconds after the one before, and within the requests and tokens of a window that begins anew when it has passed.
+
+    `held` is what an earlier run left: last start, begin of the window,
+    requests and tokens in it. With `carry` what this run leaves is returned too.
+    """
     out: list[float] = []
-    last, opened, n, spent = float("-inf"), float("-inf"), 0, 0
+    last, opened, n, spent = held or (float("-inf"), float("-inf"), 0, 0)
     for t, c in zip(times, costs):
         at = max(t, last + gap)
         if at - opened >= window:
@@ -114,7 +141,7 @@ def limiter(times: Sequence[float], costs: Sequence[int], gap: float, per_window
             opened, n, spent = at, 0, 0
         n, spent, last = n + 1, spent + c, at
         out.append(at)
-    return out
+    return (out, (last, opened, n, spent)) if carry else out
 
 
 def quota_simulation(events: DataFrame, key: str, time: str, cost: str, gap: float = 4.6, per_window: int = 13, tokens: int = 1_000_000) -> DataFrame:

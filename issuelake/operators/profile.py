@@ -4,22 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def distribution(df: DataFrame, key: Column) -> DataFrame:
-    """value, n, pct (two digits): how often each value occurs."""
+    """value, n, pct (two digits): how often each value occurs. The total is one row, joined to the counts."""
     counts = df.groupBy(key.alias("value")).agg(F.count("*").alias("n"))
-    return counts.withColumn("pct", F.round(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy()), 2))
+    total = counts.agg(F.sum("n").alias("__all"))
+    return counts.join(F.broadcast(total)).select("value", "n", F.round(100.0 * F.col("n") / F.col("__all"), 2).alias("pct"))
 
 
 def upper_median(df: DataFrame, value: str) -> DataFrame:
-    """One row: the element number n div 2, from 0, of the sorted values. Counts of equal values are ranked, not the rows."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("c"))
-    w = Window.orderBy(value)
-    ranked = counts.withColumn("upto", F.sum("c").over(w)).withColumn("total", F.sum("c").over(Window.partitionBy()))
-    return ranked.where(F.col("upto") > F.floor(F.col("total") / 2)).agg(F.min(value).alias("median"))
+    """One row: the element number n div 2, from 0, of the sorted values; an aggregate over counts of equal values."""
+    return df.agg(F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY `{value}` DESC)").cast(df.schema[value].dataType).alias("median"))
 
 
 def shares_above(df: DataFrame, keys: dict[str, tuple[Column, float]]) -> DataFrame:
@@ -27,9 +25,9 @@ def shares_above(df: DataFrame, keys: dict[str, tuple[Column, float]]) -> DataFr
     parts = []
     for name, (key, limit) in keys.items():
         counts = df.groupBy(key.alias("value")).agg(F.count("*").alias("n"))
-        total = F.sum("n").over(Window.partitionBy())
-        top = counts.withColumn("share", F.round(F.col("n") / total, 4)).where("value is not null").orderBy(F.desc("n"), "value").limit(1)
-        parts.append(top.select(F.lit(name).alias("dimension"), "value", "n", "share", (F.col("share") > limit).alias("warning")))
+        top = counts.where("value is not null").orderBy(F.desc("n"), "value").limit(1)
+        whole = top.join(F.broadcast(df.agg(F.count("*").alias("__all")))).withColumn("share", F.round(F.col("n") / F.col("__all"), 4))
+        parts.append(whole.select(F.lit(name).alias("dimension"), "value", "n", "share", (F.col("share") > limit).alias("warning")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -48,6 +48,11 @@ def ring_slice(ring: DataFrame, offset: int, n: int) -> DataFrame:
     return turned.where(F.col("turn") < n).drop("total")
 
 
+def next_offset(ring: DataFrame, offset: int, n: int) -> DataFrame:
+    """One row: next_offset, where the slice after this one begins; 0 for an empty ring."""
+    return ring.agg(F.coalesce(F.pmod(F.lit(offset + n), F.nullif(F.count("*"), F.lit(0))), F.lit(0)).cast("bigint").alias("next_offset"))
+
+
 def budget_prefix(df: DataFrame, keys: Sequence[str], order: Sequence[Column], cost: str, budget: int) -> DataFrame:
     """Per key, rows in order until the budget is passed; the first one always."""
     return running(df, keys, order, cost).where((F.col("rn") == 1) | (F.col("cum") <= budget))

@@ -77,10 +77,23 @@ def activate(snapshots: DataFrame, chosen: DataFrame) -> DataFrame:
     return moved.where(~purged).select(*snapshots.columns)
 
 
-def suffix_join(long: DataFrame, short: DataFrame, long_path: Column, short_path: Column) -> DataFrame:
-    """Pairs where one path is the other or ends with it behind a slash: an equi-join on the last segment, then a filter."""
-    a = long.withColumn("__lp", long_path).withColumn("__leaf", F.substring_index("__lp", "/", -1))
-    b = short.withColumn("__sp", short_path).withColumn("__leaf", F.substring_index("__sp", "/", -1))
-    slash = lambda x: F.concat(F.lit("/"), x)
-    fits = (F.col("__lp") == F.col("__sp")) | F.col("__lp").endswith(slash(F.col("__sp"))) | F.col("__sp").endswith(slash(F.col("__lp")))
-    return a.join(b, "__leaf").where(fits).drop("__lp", "__sp", "__leaf")
+def suffixes(path: Column) -> Column:
+    """The path and what follows each of its slashes."""
+    parts = F.split(path, "/")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
+
+
+def suffix_join(long: DataFrame, short: DataFrame, long_path: Column, short_path: Column, keys: Sequence[str] = ()) -> DataFrame:
+    """Pairs that agree in `keys` and of which one path is the other or ends with it behind a slash.
+
+    The shorter of two such paths is a whole suffix of the longer: either side's
+    suffixes are joined to the other's full paths on equality, so that a common
+    last segment, as index.js, brings nothing together. Paths that are equal are
+    found by the first of the two joins alone. Null paths match nothing.
+    """
+    a, b = long.withColumn("__lp", long_path).where("__lp is not null"), short.withColumn("__sp", short_path).where("__sp is not null")
+    on = list(keys)
+    first = a.withColumn("__end", F.explode(suffixes(F.col("__lp")))).join(b.withColumn("__end", F.col("__sp")), [*on, "__end"])
+    proper = F.filter(suffixes(F.col("__sp")), lambda x: x != F.col("__sp"))
+    second = a.withColumn("__end", F.col("__lp")).join(b.withColumn("__end", F.explode(proper)), [*on, "__end"])
+    return first.unionByName(second).drop("__lp", "__sp", "__end")

@@ -36,13 +36,13 @@ def rounded_half_up(s: np.ndarray, digits: int = 6) -> np.ndarray:
     return np.copysign(np.floor(np.abs(s) * 10.0**digits + 0.5), s) / 10.0**digits + 0.0
 
 
-def nearest_each(base: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", group: str | None = None) -> DataFrame:
+def nearest_each(base: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", group: str | None = None, dims: int | None = None) -> DataFrame:
     """query_id, id, similarity, rank: the k rows most similar to each query, the query's own row left out. Exact.
 
     With `group`, a column of both sides, a query meets the rows of its group
     alone; then ids of either side may be of different kinds and no row is left
-    out for its id. Vectors are compared with those of their own length; null,
-    empty and zero vectors are near to nothing.
+    out for its id. Vectors are compared with those of their own length, those of `dims` numbers alone if that
+    is given; null, empty and zero vectors are near to nothing.
 
     The vectors are put into blocks on both sides; every base block meets every
     query block once, as one matrix product, and hands on no more than k rows a
@@ -53,7 +53,7 @@ def nearest_each(base: DataFrame, queries: DataFrame, k: int = 10, id_col: str =
     grp = F.lit("") if group is None else F.coalesce(F.col(group).cast("string"), F.lit(""))
 
     def blocked(df: DataFrame, size: int, own: str) -> tuple[DataFrame, DataFrame]:
-        rows = df.where(F.size(vec_col) > 0).select(grp.alias("grp"), F.size(vec_col).alias("dims"), F.col(id_col).alias("id"), F.col(vec_col).cast("array<float>").alias("v"))
+        rows = df.where(F.size(vec_col) > 0 if dims is None else F.size(vec_col) == dims).select(grp.alias("grp"), F.size(vec_col).alias("dims"), F.col(id_col).alias("id"), F.col(vec_col).cast("array<float>").alias("v"))
         return rows, rows.groupBy("grp", "dims").agg(F.ceil(F.count("*") / size).cast("int").alias(own))
 
     (b, nb), (q, nq) = blocked(base, BASE_BLOCK, "nb"), blocked(queries, QUERY_BLOCK, "nq")

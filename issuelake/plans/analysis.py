@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from issuelake.functions import text as tx
-from issuelake.operators import allocate, chunking, evaluate, learn, profile, ranking, relational as rel
+from issuelake.operators import allocate, chunking, evaluate, learn, profile, ranking
 from issuelake.plans.registry import query
 from issuelake.session import table
 
@@ -46,7 +46,8 @@ def concentration_warnings(spark, d):
 
 @query("""
     WITH t AS (SELECT repo_full_name, state, comments_count, coalesce(try_strptime(created_at, '%Y-%m-%dT%H:%M:%SZ'), try_strptime(created_at, '%Y-%m-%d %H:%M:%S')) AS c, coalesce(try_strptime(updated_at, '%Y-%m-%dT%H:%M:%SZ'), try_strptime(updated_at, '%Y-%m-%d %H:%M:%S')) AS u FROM issue_evidence)
-    SELECT repo_full_name, count(*) FILTER (WHERE lower(state) = 'closed') AS closed, count(*) FILTER (WHERE c >= TIMESTAMP '2026-01-01') AS recent, round(avg(datesub('day', c, u)) FILTER (WHERE u >= c), 4) AS mean_days, max(datesub('day', c, u))::bigint AS most_days FROM t GROUP BY 1
+    SELECT repo_full_name, count(*) FILTER (WHERE lower(state) = 'closed') AS closed, count(*) FILTER (WHERE c >= TIMESTAMP '2026-01-01') AS recent, round(avg(datesub('day', c, u)) FILTER (WHERE u >= c), 4) AS mean_days, max(datesub('day', c, u))::bigint AS most_days,
+        (list_sort(list(datesub('day', c, u)) FILTER (WHERE lower(state) = 'closed' AND u >= c)))[count(*) FILTER (WHERE lower(state) = 'closed' AND u >= c) // 2 + 1]::bigint AS median_close_days FROM t GROUP BY 1
 """)
 def activity_rollup(spark, d):
     """Conditional counts and whole elapsed days per repository."""
@@ -54,7 +55,7 @@ def activity_rollup(spark, d):
     t = table(spark, d, "issue_evidence").select("repo_full_name", F.lower("state").alias("s"), c.alias("c"), u.alias("u")).withColumn("days", F.expr("timestampdiff(DAY, c, u)"))
     return t.groupBy("repo_full_name").agg(
         F.count_if(F.col("s") == "closed").alias("closed"), F.count_if(F.col("c") >= F.lit("2026-01-01").cast("timestamp")).alias("recent"),
-        F.round(F.avg(F.when(F.col("u") >= F.col("c"), F.col("days"))), 4).alias("mean_days"), F.max("days").alias("most_days"),
+        F.round(F.avg(F.when(F.col("u") >= F.col("c"), F.col("days"))), 4).alias("mean_days"), F.max("days").alias("most_days"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY if(s = 'closed' and u >= c, days, null) DESC)").cast("bigint").alias("median_close_days"),
     )
 
 
@@ -126,48 +127,6 @@ def latency_percentiles(spark, d):
     return profile.percentiles(table(spark, d, "events"), ["event_type"], "value", (0.5, 0.95, 0.99))
 
 
-#: Per issue: the files its body mentions, in order, against those that the title and the first line mention.
-PATHS = r"list_distinct(regexp_extract_all({0}, '[A-Za-z0-9_]+(?:/[A-Za-z0-9_]+)+\.(?:py|js|ts|go|rs|java|c)'))"
-CASES = rf"""
-    SELECT evidence_id, list_transform(list_sort(list_transform({PATHS.format("body")}, lambda x: {{'p': instr(body, x), 'x': x}})), lambda s: s.x) AS got,
-        list_sort({PATHS.format("coalesce(title, '') || ' ' || regexp_extract(body, '^[^\\r\\n]*')")}) AS want FROM issue_evidence WHERE body IS NOT NULL
-"""
-
-
-def _cases(spark, d):
-    rows = table(spark, d, "issue_evidence").where("body is not null")
-    body, first = F.col("body"), F.concat_ws(" ", F.coalesce("title", F.lit("")), F.regexp_extract("body", "^[^\r\n]*", 0))
-    ordered = F.transform(F.array_sort(F.transform(tx.mentioned_paths(body), lambda x: F.struct(F.instr(body, x).alias("p"), x.alias("x")))), lambda s: s["x"])
-    return rows.select("evidence_id", ordered.alias("got"), F.array_sort(tx.mentioned_paths(first)).alias("want"))
-
-
-MATCH = "(r = t OR ends_with(r, '/' || t) OR ends_with(t, '/' || r))"
-
-
-@query(f"""
-    WITH c AS (SELECT * FROM ({CASES}) WHERE len(want) > 0),
-    k AS (SELECT k, evidence_id, want, list_slice(got, 1, k) AS top FROM c, (SELECT unnest([1, 3, 5, 10]) AS k)),
-    h AS (SELECT k, len(want) AS n, len(top) AS m, len(list_filter(want, lambda t: len(list_filter(top, lambda r: {MATCH})) > 0)) AS hits FROM k)
-    SELECT k, round(avg(hits / n), 6) AS recall, round(avg(CASE WHEN m > 0 THEN hits / m ELSE 0 END), 6) AS precision, round(avg(CASE WHEN hits > 0 THEN 1.0 ELSE 0.0 END)::double, 6) AS hit FROM h GROUP BY k
-""")
-def recall_at_k(spark, d):
-    """Mean recall, precision and hit rate at several depths."""
-    c = _cases(spark, d).where("size(want) > 0")
-    rows = c.select(F.explode(F.array(*[F.struct(F.lit(k).alias("k"), evaluate.recall_at(F.col("got"), F.col("want"), k).alias("r"), evaluate.precision_at(F.col("got"), F.col("want"), k).alias("p")) for k in (1, 3, 5, 10)])).alias("x")).select("x.*")
-    return rows.groupBy("k").agg(F.round(F.avg("r"), 6).alias("recall"), F.round(F.avg("p"), 6).alias("precision"), F.round(F.avg(F.when(F.col("r") > 0, 1.0).otherwise(0.0)), 6).alias("hit"))
-
-
-@query(f"""
-    WITH c AS (SELECT * FROM ({CASES}) WHERE len(want) > 0),
-    r AS (SELECT evidence_id, list_position(list_transform(list_slice(got, 1, 10), lambda r: len(list_filter(want, lambda t: {MATCH})) > 0), true) AS p FROM c)
-    SELECT count(*) AS cases, round(avg(CASE WHEN coalesce(p, 0) > 0 THEN 1.0::double / p ELSE 0 END), 6) AS mrr FROM r
-""")
-def mrr(spark, d):
-    """Mean reciprocal rank of the first hit."""
-    rr = evaluate.reciprocal_rank(F.col("got"), F.col("want"), 10)
-    return _cases(spark, d).where("size(want) > 0").agg(F.count("*").alias("cases"), F.round(F.avg(rr), 6).alias("mrr"))
-
-
 LABELS = "SELECT upper(fit_label) AS truth, CASE WHEN confidence >= 0.8 THEN 'HIGH_FIT' WHEN confidence >= 0.5 THEN 'MEDIUM_FIT' ELSE 'LOW_FIT' END AS predicted FROM annotation WHERE fit_label IS NOT NULL"
 
 
@@ -277,15 +236,6 @@ def holdout_split(spark, d):
     return allocate.holdout_split(rows, "repo_full_name", "language", {"train": 0.7, "validation": 0.15, "test": 0.15})
 
 
-@query()
-def evidence_pack(spark, d):
-    """Of the twenty largest chunks of every repository, those that go into a package of 14,000 tokens."""
-    c = table(spark, d, "code_chunk").select("repo_name", "chunk_id", tx.token_estimate(F.col("raw_content")).alias("tokens"), "start_line").where("tokens is not null").distinct()
-    best = rel.first_of(c, ["repo_name"], [F.desc("tokens"), F.col("chunk_id")], 20).withColumn("pos", F.row_number().over(ranking.Window.partitionBy("repo_name").orderBy(F.desc("tokens"), "chunk_id")))
-    items = best.groupBy("repo_name").agg(F.array_sort(F.collect_list(F.struct(F.col("pos").alias("id"), "tokens"))).alias("items"))
-    return items.select("repo_name", F.explode(allocate.pack_evidence(F.col("items"), 14_000)).alias("pos"))
-
-
 @query()
 def quota_simulation(spark, d):
     """How long each event waits for the rate limits of its user."""

@@ -131,20 +131,15 @@ def ban_list_anti(spark, d):
     return rel.delete_keys(table(spark, d, "issue_evidence").select("evidence_id", "repo_full_name", "github_issue_number", key), known, ["k", "github_issue_number"]).drop("k")
 
 
-PATHS = r"list_distinct(regexp_extract_all(body, '[A-Za-z0-9_]+(?:/[A-Za-z0-9_]+)+\.(?:py|js|ts|go|rs|java|c)'))"
-
-
-@query(rf"""
-    WITH m AS (SELECT evidence_id, repo_full_name, unnest({PATHS}) AS path FROM issue_evidence),
-    f AS (SELECT document_id, repo_full_name, regexp_replace(replace(relative_path, '\', '/'), '^(\./)+', '') AS p FROM repo_document)
-    SELECT m.evidence_id, f.document_id, m.path FROM m JOIN f ON regexp_extract(m.path, '[^/]*$') = regexp_extract(f.p, '[^/]*$')
-        AND (m.path = f.p OR ends_with(m.path, '/' || f.p) OR ends_with(f.p, '/' || m.path))
+@query(r"""
+    WITH f AS (SELECT document_id, repo_full_name, regexp_replace(replace(file_path, '\', '/'), '^(\./)+', '') AS whole, regexp_replace(replace(relative_path, '\', '/'), '^(\./)+', '') AS p FROM repo_document)
+    SELECT a.document_id, b.document_id AS same_as FROM f a JOIN f b ON a.repo_full_name = b.repo_full_name AND (a.whole = b.p OR ends_with(a.whole, '/' || b.p) OR ends_with(b.p, '/' || a.whole))
 """)
 def path_suffix_join(spark, d):
-    """Files that issues mention, by path suffix."""
-    mentioned = table(spark, d, "issue_evidence").select("evidence_id", "repo_full_name", F.explode(tx.mentioned_paths(F.col("body"))).alias("path"))
-    files = table(spark, d, "repo_document").select("document_id", F.col("repo_full_name").alias("r"), tx.plain_path(F.col("relative_path")).alias("p"))
-    return rel.suffix_join(mentioned, files, F.col("path"), F.col("p")).select("evidence_id", "document_id", "path")
+    """Files of a repository that are the same by their paths, whole or relative, in any notation."""
+    f = table(spark, d, "repo_document").select("document_id", "repo_full_name", tx.plain_path(F.col("file_path")).alias("whole"), tx.plain_path(F.col("relative_path")).alias("p"))
+    other = f.select(F.col("document_id").alias("same_as"), "repo_full_name", F.col("p").alias("q"))
+    return rel.suffix_join(f, other, F.col("whole"), F.col("q"), ["repo_full_name"]).select("document_id", "same_as")
 
 
 @query(r"""

@@ -173,6 +173,12 @@ def rotation_slice(spark, d):
     return ranking.ring_slice(rotation_ring(spark, d), 25, 12).select("full_name", "turn")
 
 
+@query("SELECT ((25 + 12) % count(*))::bigint AS next_offset FROM repo_metrics")
+def rotation_cursor(spark, d):
+    """Where the next slice of the ring begins."""
+    return ranking.next_offset(table(spark, d, "repo_metrics"), 25, 12)
+
+
 @query("""
     SELECT evidence_id, repo_full_name FROM issue_evidence QUALIFY row_number() OVER (PARTITION BY repo_full_name ORDER BY comments_count DESC NULLS LAST, evidence_id) <= 5
 """)

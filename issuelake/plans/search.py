@@ -53,7 +53,7 @@ SELECT = "SELECT pos::int AS pos, chunk_id, file_path, score, cum_tokens FROM ke
 
 
 def _tables(spark, d):
-    chunks = table(spark, d, "code_chunk").select("chunk_id", "snapshot_id", "repo_name", "file_path", "info_class", "symbol_name", "start_line", "end_line", "contextual_header", "raw_content")
+    chunks = table(spark, d, "code_chunk").select("chunk_id", "snapshot_id", "repo_name", "file_path", "info_class", "symbol_name", "symbol_type", "start_line", "end_line", "contextual_header", "raw_content")
     return chunks, table(spark, d, "repo_snapshot").select("snapshot_id", "repo_name", "status", "commit_sha")
 
 
@@ -102,45 +102,46 @@ def retrieval_context(spark, d):
     return search.Retriever(*_tables(spark, d)).context_for(REPO, TITLE, BODY)
 
 
-#: Every issue whose id is divisible by 20, its title as the question, against the active chunks of its own repository; the files that its body mentions are the truth.
+#: Every active chunk with a symbol whose leading hexadecimal digits are divisible by 20 asks for its symbol among the active chunks of its own repository; the file it stands in is the truth, its test file a half.
 ROLLING = f"""
     active AS (SELECT c.* FROM code_chunk c JOIN repo_snapshot s USING (snapshot_id) WHERE s.status = 'ACTIVE' QUALIFY row_number() OVER (PARTITION BY c.chunk_id ORDER BY c.snapshot_id) = 1),
-    asked AS (SELECT evidence_id, repo_full_name AS repo_name, title, list_transform(list_distinct(regexp_extract_all(coalesce(body, ''), '[A-Za-z0-9_]+(?:/[A-Za-z0-9_]+)+\\.(?:py|js|ts|go|rs|java|c)')), lambda x: lower(x)) AS want FROM issue_evidence WHERE evidence_id % 20 = 0 AND title IS NOT NULL),
-    ad AS ({DIMS.format(id="chunk_id", text=CHUNK_TEXT, source="active")}), qd AS ({DIMS.format(id="evidence_id", text="title", source="asked")}),
-    an AS (SELECT chunk_id, sqrt(sum(v * v)) AS n FROM ad GROUP BY 1 HAVING sum(v * v) > 0), qn AS (SELECT evidence_id, sqrt(sum(v * v)) AS n FROM qd GROUP BY 1 HAVING sum(v * v) > 0),
-    dots AS (SELECT evidence_id, chunk_id, sum(ad.v * qd.v) AS dot FROM asked a JOIN qd USING (evidence_id) JOIN active c USING (repo_name) JOIN ad USING (chunk_id, d) GROUP BY 1, 2),
+    asked AS (SELECT chunk_id AS query_id, repo_name, symbol_name || ' ' || coalesce(symbol_type, '') AS title, [lower(file_path)] AS want FROM active WHERE ('0x' || substr(chunk_id, 1, 6))::int % 20 = 0 AND coalesce(symbol_name, '') <> '' AND file_path IS NOT NULL),
+    ad AS ({DIMS.format(id="chunk_id", text=CHUNK_TEXT, source="active")}), qd AS ({DIMS.format(id="query_id", text="title", source="asked")}),
+    an AS (SELECT chunk_id, sqrt(sum(v * v)) AS n FROM ad GROUP BY 1 HAVING sum(v * v) > 0), qn AS (SELECT query_id, sqrt(sum(v * v)) AS n FROM qd GROUP BY 1 HAVING sum(v * v) > 0),
+    dots AS (SELECT query_id, chunk_id, sum(ad.v * qd.v) AS dot FROM asked a JOIN qd USING (query_id) JOIN active c USING (repo_name) JOIN ad USING (chunk_id, d) GROUP BY 1, 2),
     hits AS (
-        SELECT a.evidence_id, c.chunk_id, c.file_path, c.repo_name AS hit_repo, a.repo_name AS asked_repo, round(coalesce(dot, 0) / (qn.n * an.n), 6) AS similarity
-        FROM asked a JOIN qn USING (evidence_id) JOIN active c USING (repo_name) JOIN an USING (chunk_id) LEFT JOIN dots ON dots.evidence_id = a.evidence_id AND dots.chunk_id = c.chunk_id
-        QUALIFY row_number() OVER (PARTITION BY a.evidence_id ORDER BY round(coalesce(dot, 0) / (qn.n * an.n), 6) DESC, c.chunk_id) <= 10
+        SELECT a.query_id, c.chunk_id, c.file_path, c.repo_name AS hit_repo, a.repo_name AS asked_repo, round(coalesce(dot, 0) / (qn.n * an.n), 6) AS similarity
+        FROM asked a JOIN qn USING (query_id) JOIN active c USING (repo_name) JOIN an USING (chunk_id) LEFT JOIN dots ON dots.query_id = a.query_id AND dots.chunk_id = c.chunk_id
+        QUALIFY row_number() OVER (PARTITION BY a.query_id ORDER BY round(coalesce(dot, 0) / (qn.n * an.n), 6) DESC, c.chunk_id) <= 10
     ),
-    files AS (SELECT evidence_id, lower(file_path) AS f, row_number() OVER (PARTITION BY evidence_id ORDER BY max(similarity) DESC, min(chunk_id)) AS r FROM hits WHERE file_path IS NOT NULL GROUP BY 1, 2),
-    lists AS (SELECT evidence_id, any_value(want) AS want, coalesce(list(f ORDER BY r) FILTER (WHERE f IS NOT NULL), []) AS got FROM asked LEFT JOIN files USING (evidence_id) GROUP BY 1)
+    files AS (SELECT query_id, lower(file_path) AS f, row_number() OVER (PARTITION BY query_id ORDER BY max(similarity) DESC, min(chunk_id)) AS r FROM hits WHERE file_path IS NOT NULL GROUP BY 1, 2),
+    lists AS (SELECT query_id, any_value(want) AS want, coalesce(list(f ORDER BY r) FILTER (WHERE f IS NOT NULL), []) AS got FROM asked LEFT JOIN files USING (query_id) GROUP BY 1)
 """
 
 
 def _hits(spark, d):
     chunks, snapshots = _tables(spark, d)
     active = chunks.join(snapshots.where("status = 'ACTIVE'").select("snapshot_id"), "snapshot_id", "left_semi").dropDuplicates(["chunk_id"])
-    asked = table(spark, d, "issue_evidence").where("evidence_id % 20 = 0 and title is not null").select(F.col("evidence_id").alias("id"), F.col("repo_full_name").alias("repo_name"), "title", "body")
+    twentieth = F.conv(F.substring("chunk_id", 1, 6), 16, 10).cast("int") % 20 == 0
+    asked = active.where(twentieth & (F.coalesce("symbol_name", F.lit("")) != "") & F.col("file_path").isNotNull())
+    questions = embedding.embedded(asked.withColumnRenamed("chunk_id", "id"), ["id", "repo_name"], F.concat("symbol_name", F.lit(" "), F.coalesce("symbol_type", F.lit(""))))
     base = embedding.embedded(active.withColumnRenamed("chunk_id", "id"), ["id", "repo_name"], embedding.embedding_text(F.col("contextual_header"), F.col("raw_content")))
-    questions = embedding.embedded(asked, ["id", "repo_name"], F.col("title"))
     found = ret.nearest_each(base, questions, 10, "id", "embedding", "repo_name")
     place = active.select(F.col("chunk_id").alias("id"), "file_path", F.col("repo_name").alias("hit_repo"))
-    want = F.transform(tx.mentioned_paths(F.coalesce("body", F.lit(""))), F.lower)
-    return asked.select(F.col("id").alias("evidence_id"), F.col("repo_name").alias("asked_repo"), want.alias("want")), found.join(place, "id").select(F.col("query_id").alias("evidence_id"), F.col("id").alias("chunk_id"), "file_path", "hit_repo", "similarity", "rank")
+    hits = found.join(place, "id").select("query_id", F.col("id").alias("chunk_id"), "file_path", "hit_repo", "similarity", "rank")
+    return asked.select(F.col("chunk_id").alias("query_id"), F.col("repo_name").alias("asked_repo"), F.array(F.lower("file_path")).alias("want")), hits
 
 
 def _lists(spark, d):
     asked, hits = _hits(spark, d)
-    best = hits.where("file_path is not null").groupBy("evidence_id", F.lower("file_path").alias("f")).agg(F.max("similarity").alias("s"), F.min("chunk_id").alias("c"))
+    best = hits.where("file_path is not null").groupBy("query_id", F.lower("file_path").alias("f")).agg(F.max("similarity").alias("s"), F.min("chunk_id").alias("c"))
     # ten files a question at most
-    got = best.groupBy("evidence_id").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("s")).alias("s"), "c", "f"))), lambda x: x["f"]).alias("got"))
-    return asked.join(got, "evidence_id", "left").withColumn("got", F.coalesce("got", F.array().cast("array<string>")))
+    got = best.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("s")).alias("s"), "c", "f"))), lambda x: x["f"]).alias("got"))
+    return asked.join(got, "query_id", "left").withColumn("got", F.coalesce("got", F.array().cast("array<string>")))
 
 
 SCORES = ROLLING + """, scored AS (
-    SELECT evidence_id, round(len(list_intersect(want, got[1:1])) / len(want), 4) AS recall_1, round(len(list_intersect(want, got[1:5])) / len(want), 4) AS recall_5, round(len(list_intersect(want, got[1:10])) / len(want), 4) AS recall_10,
+    SELECT query_id, round(len(list_intersect(want, got[1:1])) / len(want), 4) AS recall_1, round(len(list_intersect(want, got[1:5])) / len(want), 4) AS recall_5, round(len(list_intersect(want, got[1:10])) / len(want), 4) AS recall_10,
         round(coalesce(1.0::double / nullif(list_position(list_transform(got[1:10], lambda f: list_contains(want, f)), true), 0), 0), 4) AS mrr_10, CASE WHEN len(list_intersect(want, got[1:10])) > 0 THEN 1.0 ELSE 0.0 END::double AS hit_10
     FROM lists WHERE len(want) > 0)
 """
@@ -150,7 +151,7 @@ SCORES = ROLLING + """, scored AS (
 def exact_metrics(spark, d):
     """Recall, reciprocal rank and hit of each question, files compared exactly."""
     rows = _lists(spark, d).where("size(want) > 0")
-    return rows.select("evidence_id", *evaluate.exact_metrics(F.col("got"), F.col("want")))
+    return rows.select("query_id", *evaluate.exact_metrics(F.col("got"), F.col("want")))
 
 
 @query("WITH " + SCORES + """
@@ -167,23 +168,22 @@ MATCH = "(f = t OR ends_with(f, '/' || t) OR ends_with(t, '/' || f))"
 
 
 @query("WITH " + ROLLING + f"""
-    , g AS (SELECT evidence_id, want[1:1] AS prim, want[2:] AS supp, unnest(got) AS f, generate_subscripts(got, 1) AS rank FROM lists WHERE len(want) > 0)
-    SELECT evidence_id, rank::int AS rank, f AS file_path, CASE WHEN len(list_filter(prim, lambda t: {MATCH})) > 0 THEN 1.0 WHEN len(list_filter(supp, lambda t: {MATCH})) > 0 THEN 0.5 ELSE 0.0 END::double AS relevance FROM g
+    , g AS (SELECT query_id, want AS prim, [regexp_replace(want[1], '^src/', 'tests/')] AS supp, unnest(got) AS f, generate_subscripts(got, 1) AS rank FROM lists WHERE len(want) > 0)
+    SELECT query_id, rank::int AS rank, f AS file_path, CASE WHEN len(list_filter(prim, lambda t: {MATCH})) > 0 THEN 1.0 WHEN len(list_filter(supp, lambda t: {MATCH})) > 0 THEN 0.5 ELSE 0.0 END::double AS relevance FROM g
 """)
 def graded_relevance(spark, d):
-    """The grade of every retrieved file: 1 for the first file of the truth, a half for the others, else 0."""
+    """The grade of every retrieved file: 1 for the file of the truth, a half for its test file, else 0."""
     rows = _lists(spark, d).where("size(want) > 0")
-    prim, supp = F.slice("want", 1, 1), F.slice("want", 2, 1_000_000)
-    flat = rows.select("evidence_id", prim.alias("prim"), supp.alias("supp"), F.posexplode("got").alias("p", "file_path"))
-    return flat.select("evidence_id", (F.col("p") + 1).alias("rank"), "file_path", evaluate.relevance(F.col("file_path"), F.col("prim"), F.col("supp")).alias("relevance"))
+    flat = rows.select("query_id", F.col("want").alias("prim"), F.array(F.regexp_replace(F.col("want")[0], "^src/", "tests/")).alias("supp"), F.posexplode("got").alias("p", "file_path"))
+    return flat.select("query_id", (F.col("p") + 1).alias("rank"), "file_path", evaluate.relevance(F.col("file_path"), F.col("prim"), F.col("supp")).alias("relevance"))
 
 
-@query("WITH " + ROLLING + "SELECT count(*) AS hits, count(*) FILTER (WHERE hit_repo <> asked_repo) AS violations, count(DISTINCT evidence_id) AS questions FROM hits")
+@query("WITH " + ROLLING + "SELECT count(*) AS hits, count(*) FILTER (WHERE hit_repo <> asked_repo) AS violations, count(DISTINCT query_id) AS questions FROM hits")
 def isolation_violations(spark, d):
     """How many hits are of another repository than the question; it has to be none."""
     asked, hits = _hits(spark, d)
-    j = hits.join(asked.select("evidence_id", "asked_repo"), "evidence_id")
-    return j.agg(F.count("*").alias("hits"), F.count_if(F.col("hit_repo") != F.col("asked_repo")).alias("violations"), F.count_distinct("evidence_id").alias("questions"))
+    j = hits.join(asked.select("query_id", "asked_repo"), "query_id")
+    return j.agg(F.count("*").alias("hits"), F.count_if(F.col("hit_repo") != F.col("asked_repo")).alias("violations"), F.count_distinct("query_id").alias("questions"))
 
 
 @query(_fused("vec", "lex") + "SELECT list_sort(list_distinct(list(lower(file_path)))) AS files, list_sort(list_distinct(list(lower(symbol_name)) FILTER (WHERE symbol_name IS NOT NULL AND symbol_name <> ''))) AS symbols, count(DISTINCT lower(file_path)) AS n_files FROM kept")
@@ -210,3 +210,28 @@ def code_explorer(spark, d):
     locations = F.transform("paths", lambda p: F.struct(p.alias("path"), F.lit(None).cast("string").alias("lines")))
     return search.explore(issues.join(linked, "id", "left").select("id", "repo_name", "chunk_ids", locations.alias("locations")), chunks)
 
+
+RANKS = "WITH " + ROLLING + ", c AS (SELECT * FROM lists WHERE len(want) > 0)"
+EITHER = "(r = t OR ends_with(r, '/' || t) OR ends_with(t, '/' || r))"
+
+
+@query(RANKS + f"""
+    , k AS (SELECT k, query_id, want, list_slice(got, 1, k) AS top FROM c, (SELECT unnest([1, 3, 5, 10]) AS k)),
+    h AS (SELECT k, len(want) AS n, len(top) AS m, len(list_filter(want, lambda t: len(list_filter(top, lambda r: {EITHER})) > 0)) AS hits FROM k)
+    SELECT k, round(avg(hits / n), 6) AS recall, round(avg(CASE WHEN m > 0 THEN hits / m ELSE 0 END), 6) AS precision, round(avg(CASE WHEN hits > 0 THEN 1.0 ELSE 0.0 END)::double, 6) AS hit FROM h GROUP BY k
+""")
+def recall_at_k(spark, d):
+    """Mean recall, precision and hit rate of the retrieved files at several depths, paths compared by their ends."""
+    c = _lists(spark, d).where("size(want) > 0")
+    rows = c.select(F.explode(F.array(*[F.struct(F.lit(k).alias("k"), evaluate.recall_at(F.col("got"), F.col("want"), k).alias("r"), evaluate.precision_at(F.col("got"), F.col("want"), k).alias("p")) for k in (1, 3, 5, 10)])).alias("x")).select("x.*")
+    return rows.groupBy("k").agg(F.round(F.avg("r"), 6).alias("recall"), F.round(F.avg("p"), 6).alias("precision"), F.round(F.avg(F.when(F.col("r") > 0, 1.0).otherwise(0.0)), 6).alias("hit"))
+
+
+@query(RANKS + f"""
+    , r AS (SELECT query_id, list_position(list_transform(list_slice(got, 1, 10), lambda r: len(list_filter(want, lambda t: {EITHER})) > 0), true) AS p FROM c)
+    SELECT count(*) AS cases, round(avg(CASE WHEN coalesce(p, 0) > 0 THEN 1.0::double / p ELSE 0 END), 6) AS mrr FROM r
+""")
+def mrr(spark, d):
+    """Mean reciprocal rank of the file that a symbol stands in."""
+    rr = evaluate.reciprocal_rank(F.col("got"), F.col("want"), 10)
+    return _lists(spark, d).where("size(want) > 0").agg(F.count("*").alias("cases"), F.round(F.avg(rr), 6).alias("mrr"))

@@ -21,6 +21,7 @@ def local_session(name: str = "issuelake", cpus: int | str = "*", partitions: in
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -57,9 +58,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="issuelake-checkpoint-")
     sc.setCheckpointDir(configured)
+    drop_at_exit(spark, sc.getCheckpointDir() or configured)
     return configured
 
 
+def drop_at_exit(spark: SparkSession, path: str) -> None:
+    """Have the file system delete `path` when the driver ends: what is written there serves this session's queries alone."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write `df` to the shared checkpoint folder once; later reads survive the loss of an executor."""
     checkpoint_dir(df.sparkSession)
@@ -69,8 +78,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def stored(df: DataFrame) -> DataFrame:
     """Write `df` as a columnar table in the shared checkpoint folder and read it back.
 
-    Like cut_lineage, but later reads take only the columns they need.
+    Like cut_lineage, but later reads take only the columns they need. The
+    table is deleted when the driver ends.
     """
     path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    drop_at_exit(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

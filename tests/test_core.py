@@ -17,7 +17,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from issuelake.functions import text as tx
-from issuelake.operators import allocate, chunking, evaluate, profile, ranking, retrieval
+from issuelake.operators import allocate, chunking, evaluate, profile, ranking, records, retrieval, search, sourcefiles
 from issuelake.operators import relational as rel
 from issuelake.plans import ORACLES, QUERIES
 from issuelake.sources import files
@@ -193,12 +193,21 @@ def test_limits_hold_in_every_window(requests):
 
 def test_evidence_is_packed_like_the_plain_fold(spark):
     items = [(1, 9000), (2, 5000), (3, 4000), (4, 100), (5, 20_000)]
-    df = spark.createDataFrame([([{"id": i, "tokens": t} for i, t in items],), ([],)], "items array<struct<id:int,tokens:int>>")
+    rows = [("k", i, t) for i, t in items] + [("one", 1, 99_000), (None, 1, 5)]
+    df = spark.createDataFrame(rows, "key string, id int, tokens bigint")
     spent, ids = 0, []
     for i, t in items:
         if spent + t + 50 <= 14_000 or len(ids) < 2:
             spent, ids = spent + t + 50, [*ids, i]
-    assert [r[0] for r in df.select(allocate.pack_evidence(F.col("items"), 14_000)).collect()] == [ids, []]
+    got = sorted(tuple(r)[:2] for r in allocate.pack_in_order(df, ["key"], [F.col("id")], F.lit(14_000)).where("key is not null").collect())
+    assert got == [("k", i) for i in ids] + [("one", 1)]
+    assert allocate.pack_in_order(df, ["key"], [F.col("id")], F.lit(14_000)).where("key is null").count() == 1
+
+
+def test_a_package_is_reduced_from_its_end(spark):
+    df = spark.createDataFrame([("r", False, 1, 500, 1), ("r", False, 2, 400, 2), ("r", False, 3, 300, 3), ("r", True, 4, 900, 1)], "key string, test boolean, id int, tokens bigint, pos int")
+    left = lambda budget: sorted(r.id for r in allocate.reduced(df, ["key"], budget).collect())
+    assert left(2100) == [1, 2, 3, 4] and left(1800) == [1, 2, 4] and left(10) == [1, 4]
 
 
 def test_groups_are_held_out_whole(spark):
@@ -248,7 +257,48 @@ def test_trees_and_archives(spark, tmp_path):
         tar.addfile(link)
     (tmp_path / "r.tar.gz").write_bytes(buffer.getvalue())
     rows = files.read_archives(spark, str(tmp_path / "r.tar.gz")).collect()
-    assert [(r.relative_path, r.loc) for r in rows] == [("src/a.py", 2)]
+    # lines are line feeds and one
+    assert [(r.relative_path, r.loc, r.error) for r in rows] == [("src/a.py", 3, None)]
+    (tmp_path / "s.tar.gz").write_bytes(b"no archive")
+    rows = files.read_archives(spark, str(tmp_path / "*.tar.gz")).collect()
+    assert {(r.archive[-8:], r.relative_path, r.error is None) for r in rows} == {("r.tar.gz", "src/a.py", True), ("s.tar.gz", None, False)}
+
+
+def test_settings_and_reports(spark, tmp_path):
+    (tmp_path / "c.yaml").write_text("""# budget
+languages:
+  - python   # first
+  - "c#"
+limits: {}
+budget:
+  total: 40
+  share: 0.5
+  strict: true
+  note: 'a: b'
+  sizes: [1, 2, x]
+queries:
+  - name: one
+    stars: ">100"
+  - name: two
+    stars:
+empty:
+""".replace("limits: {}\n", ""))
+    assert files.read_settings(str(tmp_path / "c.yaml")) == {
+        "languages": ["python", "c#"], "budget": {"total": 40, "share": 0.5, "strict": True, "note": "a: b", "sizes": [1, 2, "x"]}, "queries": [{"name": "one", "stars": ">100"}, {"name": "two", "stars": None}], "empty": None,
+    }
+    df = spark.createDataFrame([(1, "a|b"), (2, None)], "n int, t string")
+    assert files.write_manifest(df, str(tmp_path / "m.json"), {"run": "r1"}) == {"rows": 2, "columns": {"n": "int", "t": "string"}, "run": "r1"} == json.loads((tmp_path / "m.json").read_text())
+    files.write_markdown(df.orderBy("n"), str(tmp_path / "t.md"), "Rows")
+    assert (tmp_path / "t.md").read_text() == "# Rows\n\n| n | t |\n|-|-|\n| 1 | a\\|b |\n| 2 |  |\n"
+    with pytest.raises(ValueError):
+        files.write_markdown(df, str(tmp_path / "t.md"), "Rows", 1)
+    traces = spark.sql("select 1 as id, named_struct('decision', 'PASS', 'n', 2) as s union all select 2, null")
+    files.write_traces(traces, str(tmp_path / "traces"))
+    assert json.loads((tmp_path / "traces" / "summary.json").read_text()) == [{"stage": "s", "decision": "PASS", "n": 1}, {"stage": "s", "decision": "SKIPPED", "n": 1}]
+    assert spark.read.json(str(tmp_path / "traces" / "trace.jsonl")).count() == spark.read.option("header", True).csv(str(tmp_path / "traces" / "trace.csv")).count() == 2
+    files.append_results(df, str(tmp_path / "e"), "r1")
+    files.append_results(df, str(tmp_path / "e"), "r2")
+    assert spark.read.parquet(str(tmp_path / "e")).groupBy("run_id").count().count() == 2
 
 
 def test_paged_source_stops_at_a_short_page(spark, tmp_path):
@@ -296,3 +346,62 @@ def test_uuids_and_line_ranges(spark):
     assert all(r.u == str(uuid.uuid5(uuid.NAMESPACE_URL, r.n)) for r in df.select("n", tx.uuid5(F.col("n")).alias("u")).collect())
     ranges = spark.createDataFrame([("3-9",), ("7",), ("x",), (None,), (" 2 - 4 ",)], "t string").select(tx.line_range(F.col("t")).alias("r")).select("r.*").collect()
     assert [tuple(r) for r in ranges] == [(3, 9), (7, 7), (1, 30), (1, 30), (2, 4)]
+
+
+def test_ties_beyond_any_margin_keep_the_least_ids_and_lengths_do_not_matter(spark):
+    base = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(1, 41)] + [(50, [1.0, 2.0, 3.0]), (51, [0.0, 0.0]), (52, None), (53, [])], "vec_id bigint, embedding array<float>")
+    out = retrieval.nearest_each(base, base.where("vec_id in (40, 50)"), 3).collect()
+    assert sorted((r.query_id, r["rank"], r.id) for r in out) == [(40, 1, 1), (40, 2, 2), (40, 3, 3)]
+
+
+def test_neighbours_within_groups(spark):
+    base = spark.createDataFrame([("a", "x", [1.0, 0.0]), ("b", "x", [1.0, 1.0]), ("c", "y", [1.0, 0.0])], "id string, g string, v array<double>")
+    asked = spark.createDataFrame([(1, "x", [1.0, 0.1]), (2, "z", [1.0, 0.0]), (3, "y", [0.0, 1.0])], "id bigint, g string, v array<double>")
+    out = retrieval.nearest_each(base, asked, 5, "id", "v", "g").collect()
+    assert sorted((r.query_id, r["rank"], r.id) for r in out) == [(1, 1, "a"), (1, 2, "b"), (3, 1, "c")]
+
+
+def test_paths_join_by_whole_suffixes_within_a_repository(spark):
+    mentioned = spark.createDataFrame([("r", "src/a/index.js"), ("r", "index.js"), ("q", "a/index.js"), ("r", None)], "repo string, path string")
+    files = spark.createDataFrame([("r", "a/index.js"), ("r", "lib/src/a/index.js"), ("r", "xindex.js"), ("q", "b/index.js")] + [("r", f"d{i}/index.js") for i in range(300)], "repo string, p string")
+    got = {(r.path, r.p) for r in rel.suffix_join(mentioned, files, F.col("path"), F.col("p"), ["repo"]).collect()}
+    assert got == {("src/a/index.js", "a/index.js"), ("src/a/index.js", "lib/src/a/index.js")} | {("index.js", p) for p in ["a/index.js", "lib/src/a/index.js", *[f"d{i}/index.js" for i in range(300)]]}
+
+
+def test_a_search_needs_a_repository_and_keeps_to_it(spark):
+    chunks = spark.createDataFrame(
+        [("c1", "s1", "o/a", "f.py", "SOURCE_CODE", "f", 1, 2, None, "alpha beta"), ("c1", "s1", "o/a", "f.py", "SOURCE_CODE", "f", 1, 2, None, "alpha beta"), ("c2", "s2", "o/b", "f.py", None, "f", 1, 2, "", "alpha beta"), ("c3", "s3", "o/a", "g.py", "TESTS", "", 1, 2, "H", "alpha")],
+        "chunk_id string, snapshot_id string, repo_name string, file_path string, info_class string, symbol_name string, start_line int, end_line int, contextual_header string, raw_content string",
+    )
+    snapshots = spark.createDataFrame([("s1", "o/a", "ACTIVE", "1"), ("s2", "o/b", "ACTIVE", "2"), ("s3", "o/a", "RETIRED", "0")], "snapshot_id string, repo_name string, status string, commit_sha string")
+    for repo in (None, " "):
+        with pytest.raises(ValueError):
+            search.isolated(chunks, snapshots, repo)
+    r = search.Retriever(chunks, snapshots)
+    for mode in search.MODES:
+        assert [x.chunk_id for x in r.chunks_for("o/a", "alpha", None, mode=mode).collect()] == ["c1"]
+    assert [x.chunk_id for x in r.chunks_for("o/a", "alpha", None, commit="no such").collect()] == ["c1"]
+    assert r.context_for("o/a", "alpha", "").first() == ("--- SOURCE FILE: f.py (Lines 1-2) in f ---\nalpha beta\n", ["c1"], 1)
+    assert r.context_for("o/a", " ", None).first() == ("", [], 0)
+    with pytest.raises(ValueError):
+        r.chunks_for("o/a", "alpha", None, mode="other")
+
+
+def test_ignore_files():
+    import re
+
+    def left_out(path, lines):
+        out = False
+        for leave, pattern in sourcefiles.gitignore(lines):
+            out = leave if re.search(pattern, path) else out
+        return out
+
+    lines = ["# c", "", "*.log", "/web/", "a/**/b.txt", "!keep.log", "x[0-9].py", "tmp"]
+    assert [left_out(p, lines) for p in ("d/e.log", "web/i.js", "src/web/i.js", "a/b.txt", "a/c/d/b.txt", "keep.log", "x1.py", "xa.py", "tmp/f", "atmp/f")] == [True, True, False, True, True, False, True, False, True, False]
+
+
+def test_flat_rows_and_fallbacks(spark):
+    df = spark.sql("select 1 as id, named_struct('decision', 'PASS', 'n', 2, 'xs', array('a', 'b'), 'ok', true) as s union all select 2, null")
+    assert sorted(map(tuple, records.flat_rows(df).collect())) == [(1, "PASS", 2, "a; b", True), (2, "SKIPPED", 0, "", False)]
+    some, none = spark.range(2), spark.range(0)
+    assert records.or_else(some, spark.range(5, 9)).count() == 2 and records.or_else(none, spark.range(5, 9)).count() == 4
