@@ -33,8 +33,8 @@ def unique_fetches(issues: DataFrame, time: str = "fetched_at", keys: tuple[str,
     return issues.withWatermark(time, late).dropDuplicatesWithinWatermark(list(keys))
 
 
-def limited(events: DataFrame, key: str = "user_id", gap: float = 4.6, per_window: int = 13, tokens: int = 1_000_000, window: float = 60.0, idle: float = 600.0) -> DataFrame:
-    """key, event_id, wait: rate limits with the last start and the open window of each key as state. Rows are taken in time order within a batch; the state of a key that sends nothing for `idle` seconds is dropped."""
+def limited(events: DataFrame, key: str = "user_id", gap: float = 4.6, per_window: int = 13, tokens: int = 1_000_000, window: float = 60.0, time: str = "ts", late: str = "2 hours", idle: float = 600.0) -> DataFrame:
+    """key, event_id, wait: rate limits with the last start and the open window of each key as state. Rows are taken in time order within a batch; rows later than `late` are dropped, and so is the state of a key when the watermark is `idle` seconds past its last row."""
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -43,11 +43,11 @@ def limited(events: DataFrame, key: str = "user_id", gap: float = 4.6, per_windo
         rows = pd.concat(list(batches)).sort_values(["t", "event_id"])
         at, held = limiter(rows["t"].tolist(), [int(c) for c in rows["c"]], gap, per_window, tokens, window, state.get if state.exists else None, True)
         state.update(held)
-        state.setTimeoutDuration(int(idle * 1000))
+        state.setTimeoutTimestamp(int(max(max(at) * 1000, state.getCurrentWatermarkMs()) + idle * 1000) + 1)
         yield pd.DataFrame({"key": [k[0]] * len(rows), "event_id": rows["event_id"].to_numpy(), "wait": [round(a - t, 3) for a, t in zip(at, rows["t"])]})
 
-    source = events.select(F.col(key).cast("bigint").alias("key"), "event_id", F.col("t").cast("double"), F.col("c").cast("bigint"))
-    return source.groupBy("key").applyInPandasWithState(step, "key bigint, event_id bigint, wait double", "last double, opened double, n int, spent bigint", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    source = events.withWatermark(time, late).select(F.col(key).cast("bigint").alias("key"), "event_id", time, F.col("t").cast("double"), F.col("c").cast("bigint"))
+    return source.groupBy("key").applyInPandasWithState(step, "key bigint, event_id bigint, wait double", "last double, opened double, n int, spent bigint", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 __all__ = ["limited", "limiter", "read_stream", "session_counts", "unique_fetches", "windowed_counts"]
