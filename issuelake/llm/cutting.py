@@ -116,8 +116,10 @@ def cut(
         piece = F.struct(F.size(s["out"]).alias("piece"), p.alias("core"), back.alias("back"), s["ends"].alias("ends"))
         return F.struct(F.substring(F.concat(s["tail"], p), F.lit(-(room + 1)), F.lit(room + 1)).alias("tail"), (s["ends"] + ends(p)).alias("ends"), F.concat(s["out"], F.array(piece)).alias("out"))
 
-    cores = fine.select("id", *[f"c{i}" for i in range(len(carry))], "first", F.size("ps").alias("n_pieces"), F.aggregate("ps", start, step, lambda s: s["out"]).alias("xs"))
-    out = cores.select("id", *[f"c{i}" for i in range(len(carry))], "first", "n_pieces", F.explode("xs").alias("x")).select("*", "x.piece", "x.core", "x.back", "x.ends").drop("x")
+    # the number of pieces comes out of the array with them: a condition on it must not be tried by cutting every row before repeated ones are gone
+    folded = F.aggregate("ps", start, step, lambda s: F.transform(s["out"], lambda x: F.struct(x["piece"].alias("piece"), x["core"].alias("core"), x["back"].alias("back"), x["ends"].alias("ends"), F.size(s["out"]).alias("n_pieces"))))
+    cores = fine.select("id", *[f"c{i}" for i in range(len(carry))], "first", F.explode(folded).alias("x"))
+    out = cores.select("*", "x.piece", "x.core", "x.back", "x.ends", "x.n_pieces").drop("x")
     shared = F.regexp_count("back", F.lit(r"\r\n|\r|\n"))
     content = F.concat("back", "core")
     line_from = F.col("first") + F.col("ends") - shared
