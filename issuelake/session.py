@@ -75,6 +75,24 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Bytes below which a core's share of a table counts as small.
+SMALL_SHARE = 64 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """`df`, over all cores where it is read from fewer files than there are cores and is small.
+
+    A small file is one row group and so one task, whatever its splits. Heavy
+    work on its rows is then dealt out first, at the price of moving a few
+    megabytes. Tables of more files, or of more bytes, are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size >= cores * SMALL_SHARE or not 0 < len(df.inputFiles()) < cores:
+        return df
+    return df.repartition(cores)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write `df` as a columnar table in the shared checkpoint folder and read it back.
 
