@@ -12,6 +12,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from issuelake.session import spread
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how this vocabulary cuts a text into pre-tokens.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -187,7 +189,7 @@ def encode_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
                 yield pa.RecordBatch.from_arrays([part.column(0), ids], names=[id_col, "ids"])
 
-    source = docs.select(F.col(id_col).alias("k"), F.col(text_col).cast("string").alias("t"))
+    source = spread(docs.select(F.col(id_col).alias("k"), F.col(text_col).cast("string").alias("t")))
     kind = source.schema["k"].dataType.simpleString()
     return source.mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
 
@@ -202,7 +204,7 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 counts = [len(enc.encode(text)) for text in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64())], names=[id_col, "n_tokens"])
 
-    source = docs.select(F.col(id_col).alias("k"), F.col(text_col).cast("string").alias("t"))
+    source = spread(docs.select(F.col(id_col).alias("k"), F.col(text_col).cast("string").alias("t")))
     kind = source.schema["k"].dataType.simpleString()
     return source.mapInArrow(run, f"`{id_col}` {kind}, n_tokens bigint")
 

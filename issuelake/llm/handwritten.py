@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from issuelake.llm.repair import Grammar, infer
-from issuelake.session import stored
+from issuelake.session import spread, stored
 
 GRAM = 24  #: tokens of a fingerprinted run, and the least size of a rule that tells of copying
 WINDOW = 8  #: of so many neighbouring runs one at least is a fingerprint, the smallest
@@ -291,7 +291,7 @@ COUNTS = ("n_tokens", "words", "literal_chars")
 def file_forms(files: DataFrame, id_col: str, repo_col: str | None, path_col: str, text_col: str, known: str | None = None) -> DataFrame:
     """One row per file with a text: row data, marks, the numbers of form(), sig, places and prints of fingerprints, and body (tokens, joined)."""
     repo = F.col(repo_col).cast("string") if repo_col else F.lit("")
-    source = files.select(F.col(id_col).alias("k"), repo.alias("repo"), F.col(path_col).cast("string").alias("p"), F.col(text_col).cast("string").alias("t"))
+    source = spread(files.select(F.col(id_col).alias("k"), repo.alias("repo"), F.col(path_col).cast("string").alias("p"), F.col(text_col).cast("string").alias("t")))
     kind = source.schema["k"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

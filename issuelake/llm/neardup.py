@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from issuelake.llm.components import hash_to_min
-from issuelake.session import stored
+from issuelake.session import spread, stored
 
 #: Counters of the frequency sketch and bits of the presence bitmap, as powers of two: both grow with the rows between two bounds.
 LEAST_BITS, MOST_BITS = 20, 26
@@ -453,6 +453,7 @@ def similar_pairs(records: DataFrame, text: Column, id_col: str = "evidence_id",
     if not 0 < threshold <= 1:
         raise ValueError("the threshold must be in (0, 1]")
     docs = records.select(F.col(id_col).cast("long").alias("id"), text.cast("string").alias("t")).where("id is not null")
+    docs = spread(docs)
 
     bits = min(MOST_BITS, max(LEAST_BITS, (2 * docs.count()).bit_length()))
 

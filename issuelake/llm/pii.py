@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from issuelake.session import spread
+
 #: A span counts from this score on.
 ACCEPT = 0.5
 #: The name list is broadcast; a longer one is refused rather than sent.
@@ -407,7 +409,7 @@ def scan(records: DataFrame, known_names: DataFrame, id_col: str = "evidence_id"
     if len(listed) > MOST_NAMES:
         raise ValueError(f"the name list has more than {MOST_NAMES} rows")
     pairs = sorted((r[0], r[1]) for r in listed)
-    source = records.select(F.col(id_col).alias("k"), F.col(body_col).cast("string"), F.col(user_col).cast("string"))
+    source = spread(records.select(F.col(id_col).alias("k"), F.col(body_col).cast("string"), F.col(user_col).cast("string")))
     kind = source.schema["k"].dataType.simpleString()
     struct = pa.list_(pa.struct([("pii_type", pa.string()), ("start_pos", pa.int32()), ("end_pos", pa.int32())]))
 

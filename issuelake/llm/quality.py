@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from issuelake.session import stored
+from issuelake.session import spread, stored
 
 #: More common words than this are refused rather than sent to every task.
 MOST_WORDS = 100_000
@@ -357,7 +357,7 @@ def document_statistics(docs: DataFrame, common_words: DataFrame, id_col: str =
         common.setdefault(lang, set()).add(word)
     listing = languages_of(common)
     scores = letter_pair_scores(docs, text_col)
-    source = docs.select(F.col(id_col).alias("k"), F.col(text_col).cast("string").alias("t"), F.lower(F.trim(F.col(lang_col).cast("string"))).alias("declared"))
+    source = spread(docs.select(F.col(id_col).alias("k"), F.col(text_col).cast("string").alias("t"), F.lower(F.trim(F.col(lang_col).cast("string"))).alias("declared")))
     kind = source.schema["k"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
