@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from issuelake.functions import text as tx
+from issuelake.functions.sql import register
 from issuelake.operators import chunking, evaluate
 from issuelake.plans.analysis import LABELS, confusion_matrix
 from issuelake.plans.registry import query
@@ -128,3 +129,13 @@ def order_changes(spark, d):
 def issue_uuids(spark, d):
     """The stable id of every issue, from its address."""
     return table(spark, d, "issue_evidence").where("html_url is not null").select("evidence_id", tx.uuid5(F.col("html_url")).alias("uuid"))
+
+
+@query("""
+    SELECT doc_id, greatest(1, length(text) // 4)::int AS estimate, coalesce(len(regexp_extract_all(lower(text), '[a-z0-9_]+')), 0)::int AS words, round((length(text) + 2) / (sqrt(length(text)::double * length(text) + 1) * sqrt(5.0::double)), 6) AS similarity FROM documents
+""")
+def sql_functions(spark, d):
+    """Functions registered with the session, called from SQL."""
+    register(spark)
+    table(spark, d, "documents").createOrReplaceTempView("issuelake_documents")
+    return spark.sql("SELECT doc_id, token_estimate(text) AS estimate, size(words_of(text)) AS words, round(cosine_similarity(array(CAST(length(text) AS DOUBLE), 1D), array(1D, 2D)), 6) AS similarity FROM issuelake_documents")

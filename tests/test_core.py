@@ -16,8 +16,9 @@ from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from issuelake.functions import sql
 from issuelake.functions import text as tx
-from issuelake.operators import allocate, chunking, evaluate, profile, ranking, records, retrieval, search, sourcefiles
+from issuelake.operators import allocate, chunking, evaluate, index, profile, ranking, records, retrieval, search, sourcefiles
 from issuelake.operators import relational as rel
 from issuelake.plans import ORACLES, QUERIES
 from issuelake.sources import files
@@ -405,3 +406,28 @@ def test_flat_rows_and_fallbacks(spark):
     assert sorted(map(tuple, records.flat_rows(df).collect())) == [(1, "PASS", 2, "a; b", True), (2, "SKIPPED", 0, "", False)]
     some, none = spark.range(2), spark.range(0)
     assert records.or_else(some, spark.range(5, 9)).count() == 2 and records.or_else(none, spark.range(5, 9)).count() == 4
+
+
+def test_sql_functions(spark):
+    assert sql.register(spark) == [f[0] for f in sql.FUNCTIONS]
+    row = spark.sql("select token_estimate('abcdefghi'), words_of('A b_1, c'), round(cosine_similarity(array(1d, 0d), array(1d, 1d)), 6), cosine_similarity(array(1d), array(1d, 1d)), round(rrf(array(1, null, 3), 60), 6)").first()
+    assert tuple(row) == (2, ["a", "b_1", "c"], 0.707107, None, round(1 / 61 + 1 / 63, 6))
+
+
+def test_postings_give_what_the_scan_gives(spark, tmp_path):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    index.write_postings(docs, "doc_id", F.col("text"), str(tmp_path / "p"), 8)
+    for terms in (["cache", "panel"], ["the"], ["no_such_word", "the"]):
+        want = retrieval.matching_all(docs, terms, "doc_id", F.col("text"), 20).collect()
+        assert [tuple(r) for r in index.matching_indexed(spark, str(tmp_path / "p"), terms, 20, 8).collect()] == [tuple(r) for r in want]
+
+
+def test_the_vector_index_holds_every_row_and_recalls_enough(spark):
+    e = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select("vec_id", "embedding")
+    asked = e.where("vec_id % 20 = 0")
+    pairs = lambda df: {(r.query_id, r.id) for r in df.collect()}
+    exact = pairs(retrieval.nearest_each(e, asked, 10))
+    assert pairs(index.nearest_indexed(e, asked, 10, centres=16, probes=16)) == exact
+    recall = len(pairs(index.nearest_indexed(e, asked, 10)) & exact) / len(exact)
+    assert recall >= 0.9, recall
+    assert index.nearest_indexed(e.limit(0), asked, 10).count() == 0
