@@ -41,7 +41,12 @@ def lexical_and_topk(spark, d):
     return ret.matching_all(table(spark, d, "documents"), ["cache", "panel"], "doc_id", F.col("text"), 20)
 
 
-@query()
+# of two words, the minimal covers are the neighbouring hits of different words
+@query(f"""
+    WITH t AS (SELECT doc_id, unnest({TOKENS}) AS w, generate_subscripts({TOKENS}, 1) AS p FROM documents), h AS (SELECT * FROM t WHERE w IN ('cache', 'panel')),
+    n AS (SELECT *, lag(w) OVER o AS w0, lag(p) OVER o AS p0 FROM h WINDOW o AS (PARTITION BY doc_id ORDER BY p))
+    SELECT doc_id, round(coalesce(sum(0.1::double / (p - p0)) FILTER (WHERE w <> w0), 0), 6) AS rank_score FROM n GROUP BY doc_id HAVING count(DISTINCT w) = 2 ORDER BY rank_score DESC, doc_id LIMIT 20
+""")
 def lexical_cover_density(spark, d):
     """Documents with all words, by how close together these stand."""
     return ret.cover_density(table(spark, d, "documents"), ["cache", "panel"], "doc_id", F.col("text"), 20)
