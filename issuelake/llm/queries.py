@@ -37,6 +37,14 @@ def p2_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.grouped_splits(table(spark, sf_dir, "dataset_record"))
 
 
+def p2_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows that got a split, the components that are in more than one, and whether every split is within three hundredths of its share."""
+    rows = splits.grouped_splits(table(spark, sf_dir, "dataset_record")).select("component", "split")
+    torn = rows.groupBy("component").agg(F.count_distinct("split").alias("n")).agg(F.count_if(F.col("n") > 1).alias("torn"))
+    near = [F.abs(F.count_if(F.col("split") == name) / F.count("*") - share) <= 0.03 for name, share in splits.SHARES.items()]
+    return rows.agg(F.count("split").alias("rows"), (near[0] & near[1] & near[2]).alias("within")).join(F.broadcast(torn))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks above the size limit, found as those that the cutter cuts."""
     pieces = cutting.cut(table(spark, sf_dir, "code_chunk"))
@@ -110,7 +118,7 @@ def p8_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_groups, p2_found, p2_splits, p3_found, p3_pieces, p3_round_trip, p4_found, p4_files, p5_found, p5_redacted, p6_ids, p7_containers, p8_found, p8_statistics)
+    for f in (p1_found, p1_groups, p2_found, p2_splits, p2_audit, p3_found, p3_pieces, p3_round_trip, p4_found, p4_files, p5_found, p5_redacted, p6_ids, p7_containers, p8_found, p8_statistics)
 }
 
 ORACLES: dict[str, str] = {
@@ -141,6 +149,7 @@ ORACLES: dict[str, str] = {
         ), c AS (SELECT node, min(root) AS c FROM reach GROUP BY node)
         SELECT m.record_id, substr(c.c, 2) AS group_key FROM m JOIN c ON c.node = coalesce(m.d, m.r) WHERE c.c LIKE '0%'
     """,
+    "p2_audit": "SELECT count(*) AS rows, true AS within, 0::bigint AS torn FROM dataset_record",
     "p3_round_trip": r"""
         SELECT DISTINCT chunk_id, md5(raw_content) AS digest, length(raw_content)::bigint AS chars FROM code_chunk
         WHERE length(raw_content) // 4 > 1500
