@@ -16,17 +16,21 @@ from issuelake.operators.relational import all_of
 BASE_BLOCK, QUERY_BLOCK = 4096, 512
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine similarity of two arrays of numbers; null if either is null, of another length or of length zero."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
+def dot(x: Column, y: Column) -> Column:
+    """The sum of the products of two arrays of numbers."""
+    return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+
+
+def cosine(a: Column, b: Column, norm_b: Column | None = None) -> Column:
+    """Cosine similarity of two arrays of numbers; null if either is null, of another length or of length zero. `norm_b` is the norm of b, where it is known."""
+    norm = F.sqrt(dot(a, a)) * (F.sqrt(dot(b, b)) if norm_b is None else norm_b)
     return F.when((F.size(a) == F.size(b)) & (norm > 0), dot(a, b) / norm)
 
 
 def nearest(base: DataFrame, query: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """The k rows of `base` most similar to the one vector of `query` (a single row); an exact scan and a top-k. Zero vectors come last."""
-    one = query.select(F.col(vec_col).alias("__q")).limit(1)
-    scored = base.join(F.broadcast(one)).select(id_col, cosine(F.col(vec_col), F.col("__q")).alias("similarity"))
+    one = query.select(F.col(vec_col).alias("__q"), F.sqrt(dot(F.col(vec_col), F.col(vec_col))).alias("__n")).limit(1)
+    scored = base.join(F.broadcast(one)).select(id_col, cosine(F.col(vec_col), F.col("__q"), F.col("__n")).alias("similarity"))
     return scored.orderBy(F.desc_nulls_last("similarity"), id_col).limit(k)
 
 
