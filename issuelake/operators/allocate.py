@@ -77,15 +77,16 @@ def balanced_quotas(sizes: Mapping[str, int], budget: int) -> dict[str, int]:
 
 
 def balanced_select(rows: DataFrame, pool: str, order: Sequence[Column], budget: int, most_pools: int = 10_000) -> DataFrame:
-    """The first rows of every pool, as many as its quota. Only the sizes of the pools reach the driver; more pools than `most_pools` are refused."""
-    sizes = rows.groupBy(pool).agg(F.count("*").alias("n")).where(F.col(pool).isNotNull()).limit(most_pools + 1).collect()
+    """The first rows of every pool, as many as its quota; rows of a null pool are one. Only the sizes of the pools reach the driver; more pools than `most_pools` are refused. Each partition is cut to the largest quota before rows move."""
+    keyed = rows.withColumn("__pool", F.coalesce(F.col(pool).cast("string"), F.lit("\0")))
+    sizes = keyed.groupBy("__pool").agg(F.count("*").alias("n")).limit(most_pools + 1).collect()
     if len(sizes) > most_pools:
         raise ValueError(f"more than {most_pools} pools")
     quotas = balanced_quotas({r[0]: r["n"] for r in sizes}, budget)
-    spark = rows.sparkSession
-    q = spark.createDataFrame(list(quotas.items()), f"`{pool}` string, quota int")
-    ranked = rows.withColumn("__rn", F.row_number().over(Window.partitionBy(pool).orderBy(*order)))
-    return ranked.join(F.broadcast(q), pool).where(F.col("__rn") <= F.col("quota")).drop("__rn", "quota")
+    q = rows.sparkSession.createDataFrame(list(quotas.items()), "__pool string, quota int")
+    # the constant bound is what lets each partition be cut; the quota of the pool follows
+    ranked = keyed.withColumn("__rn", F.row_number().over(Window.partitionBy("__pool").orderBy(*order))).where(F.col("__rn") <= max(quotas.values(), default=0))
+    return ranked.join(F.broadcast(q), "__pool").where(F.col("__rn") <= F.col("quota")).drop("__rn", "quota", "__pool")
 
 
 def pack_in_order(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], budget: Column, at_least: int = 2, extra: int = 50) -> DataFrame:

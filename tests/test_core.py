@@ -431,3 +431,12 @@ def test_the_vector_index_holds_every_row_and_recalls_enough(spark):
     recall = len(pairs(index.nearest_indexed(e, asked, 10)) & exact) / len(exact)
     assert recall >= 0.9, recall
     assert index.nearest_indexed(e.limit(0), asked, 10).count() == 0
+
+
+def test_pools_are_served_by_their_quotas_nulls_too(spark):
+    rows = [(f"a{i:03}", "x") for i in range(200)] + [("b1", "y"), ("c1", None), ("c2", None), ("c3", None)]
+    df = spark.createDataFrame(rows, "name string, pool string")
+    got = sorted(r.name for r in allocate.balanced_select(df, "pool", [F.col("name")], 8).collect())
+    # two each at first, then what is left over goes round
+    assert got == ["a000", "a001", "a002", "a003", "b1", "c1", "c2", "c3"]
+    assert allocate.balanced_select(df.limit(0), "pool", [F.col("name")], 8).count() == 0
