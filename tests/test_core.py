@@ -362,6 +362,43 @@ def test_neighbours_within_groups(spark):
     assert sorted((r.query_id, r["rank"], r.id) for r in out) == [(1, 1, "a"), (1, 2, "b"), (3, 1, "c")]
 
 
+def test_a_group_near_to_nothing_keeps_the_kinds_of_its_ids(spark, monkeypatch):
+    base = spark.createDataFrame([("a", "x", [1.0, 0.0]), ("b", "y", [1.0, 1.0])], "id string, g string, v array<double>")
+    asked = spark.createDataFrame([("p", "x", [0.0, 0.0]), ("q", "y", [1.0, 0.0])], "id string, g string, v array<double>")
+    assert [(r.query_id, r.id, r["rank"]) for r in retrieval.nearest_each(base, asked, 5, "id", "v", "g").collect()] == [("q", "b", 1)]
+    # two blocks, of which one is empty
+    monkeypatch.setattr(retrieval, "BASE_BLOCK", 1)
+    twice = base.where("id = 'b'")
+    assert sorted((r.query_id, r.id, r["rank"]) for r in retrieval.nearest_each(twice.union(twice), asked, 5, "id", "v", "g").collect()) == [("q", "b", 1), ("q", "b", 2)]
+
+
+@pytest.fixture(scope="module")
+def cancelled(spark, tmp_path_factory):
+    """Two repositories; the words of the first one's only question share a dimension and differ in sign, so that its vector is zero."""
+    d = str(tmp_path_factory.mktemp("cancelled"))
+    chunks = [
+        ("000000aa", "s1", "r/one", "src/a.py", "bindShard", "function", "bindShard function of a"), ("000001bb", "s1", "r/one", "src/b.py", None, None, "nothing"),
+        ("000014cc", "s2", "r/two", "src/c.py", "load_page", "function", "load_page function"), ("000015dd", "s2", "r/two", "tests/c.py", None, None, "load_page and other words"),
+    ]
+    c = spark.createDataFrame(chunks, "chunk_id string, snapshot_id string, repo_name string, file_path string, symbol_name string, symbol_type string, raw_content string")
+    c.selectExpr("*", "cast(null as string) info_class", "1 start_line", "9 end_line", "cast(null as string) contextual_header").write.parquet(f"{d}/code_chunk.parquet")
+    spark.createDataFrame([("s1", "r/one", "ACTIVE", "k1"), ("s2", "r/two", "ACTIVE", "k2")], "snapshot_id string, repo_name string, status string, commit_sha string").write.parquet(f"{d}/repo_snapshot.parquet")
+    return d
+
+
+CANCELLED = {
+    "exact_metrics": [("000000aa", 0.0, 0.0, 0.0, 0.0, 0.0), ("000014cc", 1.0, 1.0, 1.0, 1.0, 1.0)],
+}
+
+
+@pytest.mark.parametrize("name", sorted(CANCELLED))
+def test_a_repository_whose_questions_have_no_vector(spark, cancelled, name):
+    con = duckdb.connect()
+    for t in ("code_chunk", "repo_snapshot"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{cancelled}/{t}.parquet/*.parquet'")
+    assert sorted(map(tuple, QUERIES[name](spark, cancelled).collect())) == sorted(con.execute(ORACLES[name]).fetchall()) == CANCELLED[name]
+
+
 def test_paths_join_by_whole_suffixes_within_a_repository(spark):
     mentioned = spark.createDataFrame([("r", "src/a/index.js"), ("r", "index.js"), ("q", "a/index.js"), ("r", None)], "repo string, path string")
     files = spark.createDataFrame([("r", "a/index.js"), ("r", "lib/src/a/index.js"), ("r", "xindex.js"), ("q", "b/index.js")] + [("r", f"d{i}/index.js") for i in range(300)], "repo string, p string")
