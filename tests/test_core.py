@@ -388,6 +388,7 @@ def cancelled(spark, tmp_path_factory):
 
 CANCELLED = {
     "exact_metrics": [("000000aa", 0.0, 0.0, 0.0, 0.0, 0.0), ("000014cc", 1.0, 1.0, 1.0, 1.0, 1.0)],
+    "isolation_violations": [(2, 0, 1)],
 }
 
 
