@@ -389,6 +389,7 @@ def cancelled(spark, tmp_path_factory):
 CANCELLED = {
     "exact_metrics": [("000000aa", 0.0, 0.0, 0.0, 0.0, 0.0), ("000014cc", 1.0, 1.0, 1.0, 1.0, 1.0)],
     "isolation_violations": [(2, 0, 1)],
+    "recall_at_k": [(1, 0.5, 0.5, 0.5), (3, 0.5, 0.25, 0.5), (5, 0.5, 0.25, 0.5), (10, 0.5, 0.25, 0.5)],
 }
 
 
