@@ -390,6 +390,7 @@ CANCELLED = {
     "exact_metrics": [("000000aa", 0.0, 0.0, 0.0, 0.0, 0.0), ("000014cc", 1.0, 1.0, 1.0, 1.0, 1.0)],
     "graded_relevance": [("000014cc", 1, "src/c.py", 1.0), ("000014cc", 2, "tests/c.py", 0.5)],
     "isolation_violations": [(2, 0, 1)],
+    "mrr": [(2, 0.5)],
     "recall_at_k": [(1, 0.5, 0.5, 0.5), (3, 0.5, 0.25, 0.5), (5, 0.5, 0.25, 0.5), (10, 0.5, 0.25, 0.5)],
 }
 
