@@ -392,6 +392,7 @@ CANCELLED = {
     "isolation_violations": [(2, 0, 1)],
     "mrr": [(2, 0.5)],
     "recall_at_k": [(1, 0.5, 0.5, 0.5), (3, 0.5, 0.25, 0.5), (5, 0.5, 0.25, 0.5), (10, 0.5, 0.25, 0.5)],
+    "rolling_evaluation": [(2, 1, 0.5, 0.5, 0.5, 0.5, 0.5)],
 }
 
 
