@@ -404,6 +404,26 @@ def test_a_repository_whose_questions_have_no_vector(spark, cancelled, name):
     assert sorted(map(tuple, QUERIES[name](spark, cancelled).collect())) == sorted(con.execute(ORACLES[name]).fetchall()) == CANCELLED[name]
 
 
+def test_every_symbol_counts_in_the_mean_reciprocal_rank(spark, tmp_path):
+    # of these ids, only the first is of those whose leading digits are divisible by 20; 00000b and 00000c ask the same, which is found first in the file of 00000b
+    chunks = [
+        ("000000aa", "s1", "r/one", "src/a.py", "alpha", "function", "alpha function"), ("000001bb", "s1", "r/one", "src/b.py", "beta", "method", "gamma method"), ("000002cc", "s1", "r/one", "src/c.py", "gamma", "method", "beta method"),
+        ("00000b00", "s1", "r/one", "lib/d.py", "delta", "class", "delta class"), ("00000c00", "s1", "r/one", "lib/e.py", "Delta", "class", "delta class"), ("00000d00", "s1", "r/one", "lib/f.py", None, "class", "nothing"),
+        # in another repository, of none, and in two snapshots, of which the least one counts
+        ("00000e00", "s2", "r/two", "lib/g.py", "delta", "class", "other"), ("00000f00", "s3", None, "lib/h.py", "alpha", None, "alpha"), ("00001000", "s4", "r/two", "lib/x.py", None, None, "delta class"), ("00001000", "s2", "r/two", "lib/i.py", "iota", None, "iota"),
+        ("00001100", "s5", "r/one", "lib/j.py", "alpha", "function", "alpha function"),
+    ]
+    c = spark.createDataFrame(chunks, "chunk_id string, snapshot_id string, repo_name string, file_path string, symbol_name string, symbol_type string, raw_content string")
+    c.selectExpr("*", "cast(null as string) info_class", "1 start_line", "9 end_line", "cast(null as string) contextual_header").write.parquet(f"{tmp_path}/code_chunk.parquet")
+    spark.createDataFrame([(f"s{i}", "r", "ACTIVE" if i < 5 else "RETIRED", "k") for i in range(1, 6)], "snapshot_id string, repo_name string, status string, commit_sha string").write.parquet(f"{tmp_path}/repo_snapshot.parquet")
+    con = duckdb.connect()
+    for t in ("code_chunk", "repo_snapshot"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    # by ids the ranks are 1, 2, 2, 1, 2, 1, none without a repository, and 1
+    got = list(map(tuple, QUERIES["mrr"](spark, str(tmp_path)).collect()))
+    assert got == con.execute(ORACLES["mrr"]).fetchall() == [(8, 0.6875)]
+
+
 def test_paths_join_by_whole_suffixes_within_a_repository(spark):
     mentioned = spark.createDataFrame([("r", "src/a/index.js"), ("r", "index.js"), ("q", "a/index.js"), ("r", None)], "repo string, path string")
     files = spark.createDataFrame([("r", "a/index.js"), ("r", "lib/src/a/index.js"), ("r", "xindex.js"), ("q", "b/index.js")] + [("r", f"d{i}/index.js") for i in range(300)], "repo string, p string")
